@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import sharding
+from gaugeworks.llm import bpe, sharding
 from gaugeworks.llm.common import table
 
 
@@ -15,5 +15,20 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op1_sharding": op1_sharding}
+def word_bpe() -> str:
+    """Content of the public word-level BPE file, read by the driver."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        return f.read()
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts to token ids and back."""
+    spec = word_bpe()
+    out = bpe.bpe_decode(bpe.bpe_encode(table(spark, sf_dir, "documents"), spec), spec)
+    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op4_bpe": op4_bpe}
 SQL: dict[str, str] = {}
