@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import bpe, sharding
+from gaugeworks.llm import bpe, quality, sharding
 from gaugeworks.llm.common import table
 
 
@@ -30,5 +30,14 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op4_bpe": op4_bpe}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored for quality; learned from labelled rows outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = quality.train(docs, table(spark, sf_dir, "labels"), "quality", exclude=held)
+    out = quality.classify(docs, model)
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op4_bpe": op4_bpe, "op10_quality": op10_quality}
 SQL: dict[str, str] = {}
