@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import bpe, quality, sharding
+from gaugeworks.llm import bpe, decontamination, quality, sharding
 from gaugeworks.llm.common import table
 
 
@@ -39,5 +39,37 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op4_bpe": op4_bpe, "op10_quality": op10_quality}
-SQL: dict[str, str] = {}
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents against all benchmark items."""
+    found = decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontamination.verdict(found).select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+OP2_SQL = r"""
+WITH low AS (
+  SELECT doc_id AS id, coalesce(text, '') AS t, 'd' AS kind FROM documents
+  UNION ALL SELECT item_id, coalesce(text, ''), 'b' FROM benchmark),
+w AS (SELECT kind, id, regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM low),
+item AS (SELECT id AS item_id, ws, least(13, len(ws)) AS size FROM w WHERE kind = 'b' AND len(ws) > 0),
+phrase AS (SELECT DISTINCT item_id, size, array_to_string(ws[a : a + size - 1], ' ') AS p FROM (SELECT *, unnest(range(1, len(ws) - size + 2)) AS a FROM item)),
+place AS (SELECT id AS doc_id, s.size, a, array_to_string(ws[a : a + s.size - 1], ' ') AS p
+          FROM (SELECT w.id, w.ws, s.size, unnest(range(1, len(w.ws) - s.size + 2)) AS a FROM w, (SELECT DISTINCT size FROM phrase) s WHERE w.kind = 'd' AND len(w.ws) >= s.size) AS t
+          JOIN (SELECT DISTINCT size FROM phrase) s USING (size)),
+hit AS (SELECT place.doc_id, place.a, place.size, phrase.item_id FROM place JOIN phrase ON place.size = phrase.size AND place.p = phrase.p),
+n AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(a, a + size)) AS k FROM hit) GROUP BY doc_id),
+i AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id)
+SELECT w.id AS doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM w LEFT JOIN n ON n.doc_id = w.id LEFT JOIN i ON i.doc_id = w.id WHERE w.kind = 'd'
+"""
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op2_decontamination": op2_decontamination, "op4_bpe": op4_bpe, "op10_quality": op10_quality}
+SQL: dict[str, str] = {"op2_decontamination": OP2_SQL}
