@@ -155,3 +155,70 @@ def hash_bytes(data: bytes) -> int:
     """The word hash of one byte string."""
     b = np.frombuffer(data, np.uint8)
     return int(word_hashes(b, np.array([0]), np.array([len(b)]))[0])
+
+
+# ---- chunks: packed documents that several passes read again -------------------------------------------------------
+
+CHUNK = pa.schema([("chunk", pa.int64()), ("offs", pa.binary()), ("text", pa.binary())])
+
+
+def chunked(docs: DataFrame, text_col: str, carry: list[str], tag: str) -> DataFrame:
+    """A scratch table of chunks of about 1 MB of whole texts: chunk (a unique number), offs, text (compressed bytes),
+    rows (the carried columns of each document). Nulls in text are empty texts. Later passes name documents by chunk and place."""
+    import zstandard
+    from pyspark import TaskContext
+
+    from pyspark.sql import functions as F
+
+    own = docs.select(F.col(text_col).alias("text"), F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(carry)]).alias("row"))
+    kind = own.schema["row"].dataType.simpleString()
+
+    def run(batches):
+        pack, part, k = zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId(), 0
+        for b in batches:
+            buf, offs = packed(b.column(0))
+            rows = b.column(1)
+            for a, z in slices(offs):
+                own_rows = rows.slice(a, z - a)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([part << 32 | k], pa.int64()),
+                        pa.array([(offs[a : z + 1] - offs[a]).tobytes()], pa.binary()),
+                        pa.array([pack.compress(buf[offs[a] : offs[z]].tobytes())], pa.binary()),
+                        pa.ListArray.from_arrays(pa.array([0, z - a], pa.int32()), own_rows),
+                    ],
+                    ["chunk", "offs", "text", "rows"],
+                )
+                k += 1
+
+    return cut(own.mapInArrow(run, f"chunk long, offs binary, text binary, rows array<{kind}>"), tag)
+
+
+def unpack(b: pa.RecordBatch, names: tuple[str, ...] = ()) -> Iterator[tuple]:
+    """For each row of a batch of chunks: its number, bytes, offsets, carried rows, and the named further cells."""
+    import zstandard
+
+    unzip = zstandard.ZstdDecompressor()
+    col = {n: b.column(k) for k, n in enumerate(b.schema.names)}
+    for i in range(len(b)):
+        offs = np.frombuffer(col["offs"][i].as_py(), np.int64)
+        buf = np.frombuffer(unzip.decompress(col["text"][i].as_py(), max_output_size=max(1, int(offs[-1]))), np.uint8) if offs[-1] else np.zeros(0, np.uint8)
+        rows = col["rows"][i].values if "rows" in col else None
+        yield col["chunk"][i].as_py(), buf, offs, rows, *[col[n][i].as_py() for n in names]
+
+
+def text_bytes(chunks: DataFrame) -> int:
+    """A bound on the compressed bytes of a chunk table's texts, from their lengths alone."""
+    from pyspark.sql import functions as F
+
+    return int(chunks.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
+
+
+def blobs(chunk_rows: list[bytes] | None, dtype) -> np.ndarray:
+    return np.frombuffer(b"".join(chunk_rows or []), dtype)
+
+
+def by_bucket(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """For ascending uint64 keys: buckets 0..n-1 cut the key space into equal ranges; where each bucket's keys begin."""
+    edges = (np.arange(1, n, dtype=object) * (1 << 64) // n).astype(np.uint64)
+    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]]), np.arange(n)

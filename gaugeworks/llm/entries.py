@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import bpe, decontamination, quality, sharding
+from gaugeworks.llm import bpe, decontamination, quality, sharding, substring
 from gaugeworks.llm.common import table
 
 
@@ -71,5 +71,23 @@ FROM w LEFT JOIN n ON n.doc_id = w.id LEFT JOIN i ON i.doc_id = w.id WHERE w.kin
 """
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_decontamination": op2_decontamination, "op4_bpe": op4_bpe, "op10_quality": op10_quality}
-SQL: dict[str, str] = {"op2_decontamination": OP2_SQL}
+def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without passages that also start earlier."""
+    out = substring.find_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP5_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT doc_id, a, hash(array_to_string(ws[a : a + 19], ' ')) AS p, md5(array_to_string(ws[a : a + 19], ' ')) AS q FROM (SELECT *, unnest(range(1, len(ws) - 18)) AS a FROM w)),
+later AS (SELECT doc_id, a FROM (SELECT doc_id, a, row_number() OVER (PARTITION BY p, q ORDER BY doc_id, a) AS k FROM win) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(a, a + 20)) AS i FROM later),
+g AS (SELECT doc_id, list(i) AS gi FROM gone GROUP BY doc_id),
+k AS (SELECT w.doc_id, ws, coalesce(gi, []) AS gi FROM w LEFT JOIN g USING (doc_id)),
+pos AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS kept FROM (SELECT doc_id, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS i FROM w) AS t ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT k.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(gi) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM k LEFT JOIN pos USING (doc_id)
+"""
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op2_decontamination": op2_decontamination, "op4_bpe": op4_bpe, "op5_substring": op5_substring, "op10_quality": op10_quality}
+SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op5_substring": OP5_SQL}
