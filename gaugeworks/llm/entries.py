@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import bpe, decontamination, quality, sharding, substring
+from gaugeworks.llm import bpe, decontamination, jaccard, quality, sharding, substring
 from gaugeworks.llm.common import table
 
 
@@ -89,5 +89,21 @@ SELECT k.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(gi) AS BIGINT) AS
 """
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_decontamination": op2_decontamination, "op4_bpe": op4_bpe, "op5_substring": op5_substring, "op10_quality": op10_quality}
-SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op5_substring": OP5_SQL}
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in classes linked by Jaccard similarity of 4-word shingles of 0.85 or more."""
+    return jaccard.classes(table(spark, sf_dir, "documents"), 4, 85, 100)
+
+
+OP3_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[a : a + 3], ' ') AS g FROM (SELECT *, unnest(range(1, greatest(len(ws) - 2, 2))) AS a FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 85 * (na.n + nb.n - c)),
+r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) LEFT JOIN n USING (doc_id)
+"""
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op2_decontamination": op2_decontamination, "op4_bpe": op4_bpe, "op3_jaccard": op3_jaccard, "op5_substring": op5_substring, "op10_quality": op10_quality}
+SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op3_jaccard": OP3_SQL, "op5_substring": OP5_SQL}
