@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import bpe, decontamination, jaccard, quality, sharding, substring
+from gaugeworks.llm import bpe, chat, decontamination, jaccard, quality, sharding, substring
 from gaugeworks.llm.common import table
 
 
@@ -105,5 +105,13 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM (SELECT a AS doc_
 """
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_decontamination": op2_decontamination, "op4_bpe": op4_bpe, "op3_jaccard": op3_jaccard, "op5_substring": op5_substring, "op10_quality": op10_quality}
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one that speaks the template's own control strings, formatted and read back."""
+    hard = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra)
+    return chat.read_back(chat.format_windows(rows))
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op2_decontamination": op2_decontamination, "op4_bpe": op4_bpe, "op3_jaccard": op3_jaccard, "op5_substring": op5_substring, "op6_chat": op6_chat, "op10_quality": op10_quality}
 SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op3_jaccard": OP3_SQL, "op5_substring": OP5_SQL}
