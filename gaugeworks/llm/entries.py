@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import bpe, chat, decontamination, jaccard, quality, sharding, substring
+from gaugeworks.llm import ann, bpe, chat, decontamination, jaccard, quality, sharding, substring
 from gaugeworks.llm.common import table
 
 
@@ -113,5 +113,11 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_windows(rows))
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_decontamination": op2_decontamination, "op4_bpe": op4_bpe, "op3_jaccard": op3_jaccard, "op5_substring": op5_substring, "op6_chat": op6_chat, "op10_quality": op10_quality}
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest of each fiftieth vector among all others."""
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.search(rows.where(F.col("vec_id") % 50 == 0), ann.build(rows), 5)
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op2_decontamination": op2_decontamination, "op4_bpe": op4_bpe, "op3_jaccard": op3_jaccard, "op5_substring": op5_substring, "op6_chat": op6_chat, "op7_ann": op7_ann, "op10_quality": op10_quality}
 SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op3_jaccard": OP3_SQL, "op5_substring": OP5_SQL}
