@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 MAX_SLICE = 1 << 20
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -26,7 +27,12 @@ def cut(df: DataFrame, tag: str, block_mb: int = 16) -> DataFrame:
     """Write df to the shared scratch folder and read it back: a short lineage that outlives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").option("parquet.block.size", block_mb << 20).parquet(path)
+    before = spark.conf.get(BATCH_BYTES)
+    spark.conf.set(BATCH_BYTES, str(4 << 20))  # what goes to Python at once lies outside the JVM's heap
+    try:
+        df.write.option("compression", "zstd").option("parquet.block.size", block_mb << 20).parquet(path)
+    finally:
+        spark.conf.set(BATCH_BYTES, before)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
