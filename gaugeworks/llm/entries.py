@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import ann, bpe, chat, decontamination, jaccard, quality, sharding, substring
+from gaugeworks.llm import ann, bpe, chat, context_tree, decontamination, jaccard, quality, sharding, substring
 from gaugeworks.llm.common import table
 
 
@@ -119,5 +119,12 @@ def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(rows.where(F.col("vec_id") % 50 == 0), ann.build(rows), 5)
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_decontamination": op2_decontamination, "op4_bpe": op4_bpe, "op3_jaccard": op3_jaccard, "op5_substring": op5_substring, "op6_chat": op6_chat, "op7_ann": op7_ann, "op10_quality": op10_quality}
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by a model of nine tenths of them."""
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(False))
+    out = context_tree.score(table(spark, sf_dir, "documents"), ~held)
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op2_decontamination": op2_decontamination, "op4_bpe": op4_bpe, "op3_jaccard": op3_jaccard, "op5_substring": op5_substring, "op6_chat": op6_chat, "op7_ann": op7_ann, "op8_lm": op8_lm, "op10_quality": op10_quality}
 SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op3_jaccard": OP3_SQL, "op5_substring": OP5_SQL}
