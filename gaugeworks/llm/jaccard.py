@@ -92,7 +92,7 @@ def _short(keys: np.ndarray, bits: int) -> np.ndarray:
     return keys >> np.uint64(32 - bits)
 
 
-_MEMBERS = "kind int, chunk long, row int, id long, n int, node long, frag int, tokens array<long>, prefix array<long>"
+_MEMBERS = "kind int, chunk long, row int, id long, n int, node long, frag int, shared int, tokens array<long>, prefix array<long>"
 
 
 def _members(chunks: DataFrame, classes: DataFrame, n: int, num: int, den: int, bits: int) -> DataFrame:
@@ -117,6 +117,7 @@ def _members(chunks: DataFrame, classes: DataFrame, n: int, num: int, den: int,
                         pa.array([len(s) for s in own], pa.int32()),
                         pa.array(nodes, pa.int64()),
                         pa.nulls(m, pa.int32()),
+                        pa.nulls(m, pa.int32()),
                         none,
                         none,
                     ],
@@ -135,20 +136,20 @@ def _members(chunks: DataFrame, classes: DataFrame, n: int, num: int, den: int,
                     s, kind = s[shared], kind[shared]
                     prefix = s[np.lexsort((s, kind))[:first]].view(np.int64)
                     for k, piece in enumerate(np.split(s, np.searchsorted(s, _EDGES))):
-                        out.append((name, len(shared), k, piece.view(np.int64), prefix if k == 0 else None))
+                        out.append((name, len(shared), k, len(s), piece.view(np.int64), prefix if k == 0 else None))
                 if out:
-                    name, size, frag, piece, prefix = zip(*out)
+                    name, size, frag, own_shared, piece, prefix = zip(*out)
                     m = len(out)
                     null = pa.nulls(m, pa.int64())
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.ones(m), pa.int32()), null, pa.nulls(m, pa.int32()), null, pa.array(size, pa.int32()), pa.array(name, pa.int64()), pa.array(frag, pa.int32()), pa.array(piece, long_list), pa.array(prefix, long_list)],
+                        [pa.array(np.ones(m), pa.int32()), null, pa.nulls(m, pa.int32()), null, pa.array(size, pa.int32()), pa.array(name, pa.int64()), pa.array(frag, pa.int32()), pa.array(own_shared, pa.int32()), pa.array(piece, long_list), pa.array(prefix, long_list)],
                         _names,
                     )
 
     return chunks.join(classes, "chunk", "left").mapInArrow(run, _MEMBERS)
 
 
-_names = ["kind", "chunk", "row", "id", "n", "node", "frag", "tokens", "prefix"]
+_names = ["kind", "chunk", "row", "id", "n", "node", "frag", "shared", "tokens", "prefix"]
 _EDGES = np.array([k << 61 for k in range(1, FRAGMENTS)], np.uint64)
 
 
@@ -193,26 +194,31 @@ def join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, id_col: str =
     docs.sparkSession.sparkContext._jvm.System.gc()  # lets Spark delete shuffle files of what is now written
     own = members.where("kind = 0").select("chunk", "row", "id", "n", "node")
     segments = members.where("kind = 1").select("node", "frag", "n", "tokens").dropDuplicates(["node", "frag"])
-    prefixes = members.where("kind = 1 AND frag = 0").groupBy("node", "n").agg(F.first("prefix").alias("prefix"))
+    prefixes = members.where("kind = 1 AND frag = 0").groupBy("node", "n", "shared").agg(F.first("prefix").alias("prefix"))
 
-    near = prefixes.select("node", "n", F.explode(F.slice("prefix", 1, HUB_GRAMS)).alias("token"))
-    order = [F.struct(F.xxhash64("node", F.lit(k)).alias("h"), F.col("node").alias("hub"), F.col("n").alias("hn")) for k in (1, 2)]
+    near = prefixes.select("node", "n", "shared", F.explode(F.slice("prefix", 1, HUB_GRAMS)).alias("token"))
+    order = [F.struct(F.xxhash64("node", F.lit(k)).alias("h"), F.col("node").alias("hub"), F.col("n").alias("hn"), F.col("shared").alias("hs")) for k in (1, 2)]
     hubs = near.groupBy("token").agg(*[F.min(o).alias(f"h{k}") for k, o in enumerate(order)], F.count(F.lit(1)).alias("m")).where("m > 1")
-    to_hub = near.join(hubs, "token").select("node", "n", F.explode(F.array("h0", "h1")).alias("h")).where("node <> h.hub").where(_sizes("n", "h.hn", num, den))
+    to_hub = near.join(hubs, "token").select("node", "n", "shared", F.explode(F.array("h0", "h1")).alias("h")).where("node <> h.hub").where(_may_link("n", "shared", "h.hn", "h.hs", num, den))
     best = to_hub.groupBy("node").agg(F.min("h").alias("x"), F.max("h").alias("y"))
     pairs = best.select("node", F.explode(F.array_distinct(F.array("x.hub", "y.hub"))).alias("hub"))
     pairs = cut(pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "pairs")
     links = cut(linked(overlaps(pairs, segments), num, den), "links")
     labels = components(links)
 
-    held = prefixes.join(labels, "node", "left").select("node", "n", F.coalesce("label", "node").alias("label"), "prefix")
+    held = prefixes.join(labels, "node", "left").select("node", "n", "shared", F.coalesce("label", "node").alias("label"), "prefix")
     held = cut(held, "prefixes")
-    posted = held.select("node", "n", "label", F.explode("prefix").alias("token"))
+    posted = held.select("node", "n", "shared", "label", F.explode("prefix").alias("token"))
     mixed = posted.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
     posted = cut(posted.join(mixed, "token"), "mixed")
-    a = posted.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    b = posted.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    rest = a.join(b, "token").where("la < lb").where(_sizes("na", "nb", num, den)).select("a", "b").distinct()
+    # candidates of a token by size and shared size first: those of one such kind are met only where the kinds can link
+    kinds = posted.groupBy("token", "n", "shared").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    x, y = (kinds.select("token", *[F.col(c).alias(f"{c}{k}") for c in ("n", "shared", "lo", "hi")]) for k in "xy")
+    meet = x.join(y, "token").where("(nx, sharedx) <= (ny, sharedy) AND NOT (lox = hiy AND hix = loy)").where(_may_link("nx", "sharedx", "ny", "sharedy", num, den))
+    a = posted.select("token", F.col("n").alias("nx"), F.col("shared").alias("sharedx"), F.col("node").alias("a"), F.col("label").alias("la"))
+    b = posted.select("token", F.col("n").alias("ny"), F.col("shared").alias("sharedy"), F.col("node").alias("b"), F.col("label").alias("lb"))
+    rest = a.join(meet.select("token", "nx", "sharedx", "ny", "sharedy"), ["token", "nx", "sharedx"]).join(b, ["token", "ny", "sharedy"]).where("la <> lb")
+    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = cut(linked(overlaps(cut(rest, "pairs"), segments), num, den), "links")
     top = more.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
     top = components(top.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).distinct())
@@ -222,8 +228,10 @@ def join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, id_col: str =
     return chunks, cut(own, "classes")
 
 
-def _sizes(x: str, y: str, num: int, den: int):
-    return den * F.least(x, y).cast("long") >= num * F.greatest(x, y).cast("long")
+def _may_link(n: str, shared: str, n2: str, shared2: str, num: int, den: int):
+    """Sizes allow a link: the smaller set is large enough, and the n-grams that occur elsewhere are enough for the overlap."""
+    size = den * F.least(n, n2).cast("long") >= num * F.greatest(n, n2).cast("long")
+    return size & ((num + den) * F.least(shared, shared2).cast("long") >= num * (F.col(n).cast("long") + F.col(n2)))
 
 
 def classes(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
