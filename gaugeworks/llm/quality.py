@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from gaugeworks.llm.common import IS_SPACE, LOWER, packed, slices, word_hashes, words
 
 BITS = 18
+#: Steps of a fit at least, so that few labelled rows are gone through more often.
+STEPS = 320
 LEVELS = 24
 #: Structure statistics, each cut into LEVELS one-hot levels behind the hashed words.
 STATS = ("bytes", "word length", "upper", "symbols", "digits", "bars", "newlines", "punctuation", "high bytes", "distinct words", "distinct lines", "longest word", "stated length")
@@ -110,6 +112,7 @@ def fit(doc: np.ndarray, feature: np.ndarray, label: np.ndarray, k: int = 6, epo
     params = [np.array([np.log(p / (1 - p))]), np.zeros(len(live)), rng.normal(0, 0.02, (len(live), k))]
     m1, m2 = [np.zeros_like(x) for x in params], [np.zeros_like(x) for x in params]
     step = 0
+    epochs = max(epochs, -(-STEPS // max(1, -(-n // 256))))
     for _ in range(epochs if len(live) else 0):
         turn = rng.permutation(n)
         for a in range(0, n, 256):
@@ -143,7 +146,7 @@ def _inputs(docs: DataFrame, id_col: str, text_col: str, chars_col: str, more: t
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), stated.alias("stated"), *more)
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows: int = 12_000, exclude=None, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> Model:
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows: int = 12_000, exclude=None, epochs: int = 8, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> Model:
     """Fit on at most max_rows labelled documents, the ones of smallest hash of id; exclude is a condition on id_col of rows not to learn from.
 
     Only labels, texts and n_chars are read. Null labels are no labels; one document with several labels counts by its smallest.
@@ -172,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_ro
     parts = [np.frombuffer(blobs[k], "<u4") for k in order]
     label = got.column("label").to_numpy()[order].astype(np.float64)
     doc = np.repeat(np.arange(len(parts)), [len(x) for x in parts]) if parts else np.zeros(0, np.int64)
-    return fit(doc, np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64), label)
+    return fit(doc, np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64), label, epochs=epochs)
 
 
 def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
