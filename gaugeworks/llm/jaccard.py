@@ -196,10 +196,10 @@ def join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, id_col: str =
     segments = members.where("kind = 1").select("node", "frag", "n", "tokens").dropDuplicates(["node", "frag"])
     prefixes = members.where("kind = 1 AND frag = 0").groupBy("node", "n", "shared").agg(F.first("prefix").alias("prefix"))
 
-    near = prefixes.select("node", "n", "shared", F.explode(F.slice("prefix", 1, HUB_GRAMS)).alias("token"))
-    order = [F.struct(F.xxhash64("node", F.lit(k)).alias("h"), F.col("node").alias("hub"), F.col("n").alias("hn"), F.col("shared").alias("hs")) for k in (1, 2)]
+    near = _posted(prefixes.withColumn("prefix", F.slice("prefix", 1, HUB_GRAMS)), "node", "n")
+    order = [F.struct(F.xxhash64("node", F.lit(k)).alias("h"), F.col("node").alias("hub"), F.col("n").alias("hn"), F.col("rest").alias("hs")) for k in (1, 2)]
     hubs = near.groupBy("token").agg(*[F.min(o).alias(f"h{k}") for k, o in enumerate(order)], F.count(F.lit(1)).alias("m")).where("m > 1")
-    to_hub = near.join(hubs, "token").select("node", "n", "shared", F.explode(F.array("h0", "h1")).alias("h")).where("node <> h.hub").where(_may_link("n", "shared", "h.hn", "h.hs", num, den))
+    to_hub = near.join(hubs, "token").select("node", "n", "rest", F.explode(F.array("h0", "h1")).alias("h")).where("node <> h.hub").where(_may_link("n", "rest", "h.hn", "h.hs", num, den))
     best = to_hub.groupBy("node").agg(F.min("h").alias("x"), F.max("h").alias("y"))
     pairs = best.select("node", F.explode(F.array_distinct(F.array("x.hub", "y.hub"))).alias("hub"))
     pairs = cut(pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "pairs")
@@ -208,16 +208,16 @@ def join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, id_col: str =
 
     held = prefixes.join(labels, "node", "left").select("node", "n", "shared", F.coalesce("label", "node").alias("label"), "prefix")
     held = cut(held, "prefixes")
-    posted = held.select("node", "n", "shared", "label", F.explode("prefix").alias("token"))
+    posted = _posted(held, "node", "n", "label")
     mixed = posted.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
     posted = cut(posted.join(mixed, "token"), "mixed")
-    # candidates of a token by size and shared size first: those of one such kind are met only where the kinds can link
-    kinds = posted.groupBy("token", "n", "shared").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-    x, y = (kinds.select("token", *[F.col(c).alias(f"{c}{k}") for c in ("n", "shared", "lo", "hi")]) for k in "xy")
-    meet = x.join(y, "token").where("(nx, sharedx) <= (ny, sharedy) AND NOT (lox = hiy AND hix = loy)").where(_may_link("nx", "sharedx", "ny", "sharedy", num, den))
-    a = posted.select("token", F.col("n").alias("nx"), F.col("shared").alias("sharedx"), F.col("node").alias("a"), F.col("label").alias("la"))
-    b = posted.select("token", F.col("n").alias("ny"), F.col("shared").alias("sharedy"), F.col("node").alias("b"), F.col("label").alias("lb"))
-    rest = a.join(meet.select("token", "nx", "sharedx", "ny", "sharedy"), ["token", "nx", "sharedx"]).join(b, ["token", "ny", "sharedy"]).where("la <> lb")
+    # candidates of a token by size and rest first: those of one such kind are met only where the kinds can link
+    kinds = posted.groupBy("token", "n", "rest").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    x, y = (kinds.select("token", *[F.col(c).alias(f"{c}{k}") for c in ("n", "rest", "lo", "hi")]) for k in "xy")
+    meet = x.join(y, "token").where("(nx, restx) <= (ny, resty) AND NOT (lox = hiy AND hix = loy)").where(_may_link("nx", "restx", "ny", "resty", num, den))
+    a = posted.select("token", F.col("n").alias("nx"), F.col("rest").alias("restx"), F.col("node").alias("a"), F.col("label").alias("la"))
+    b = posted.select("token", F.col("n").alias("ny"), F.col("rest").alias("resty"), F.col("node").alias("b"), F.col("label").alias("lb"))
+    rest = a.join(meet.select("token", "nx", "restx", "ny", "resty"), ["token", "nx", "restx"]).join(b, ["token", "ny", "resty"]).where("la <> lb")
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = cut(linked(overlaps(cut(rest, "pairs"), segments), num, den), "links")
     top = more.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
@@ -228,10 +228,17 @@ def join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, id_col: str =
     return chunks, cut(own, "classes")
 
 
-def _may_link(n: str, shared: str, n2: str, shared2: str, num: int, den: int):
-    """Sizes allow a link: the smaller set is large enough, and the n-grams that occur elsewhere are enough for the overlap."""
+def _posted(prefixes: DataFrame, *keep: str) -> DataFrame:
+    """A row for each n-gram of a prefix; rest: how many n-grams of the set stand there or behind it in the order."""
+    own = prefixes.select(*keep, "shared", F.posexplode("prefix").alias("pos", "token"))
+    return own.select(*keep, "token", (F.col("shared") - F.col("pos")).alias("rest"))
+
+
+def _may_link(n: str, rest: str, n2: str, rest2: str, num: int, den: int):
+    """Sizes allow a link: the smaller set is large enough, and if this is the first n-gram both have, what stands behind it is enough
+    for the overlap. Linked sets pass at the first n-gram both have."""
     size = den * F.least(n, n2).cast("long") >= num * F.greatest(n, n2).cast("long")
-    return size & ((num + den) * F.least(shared, shared2).cast("long") >= num * (F.col(n).cast("long") + F.col(n2)))
+    return size & ((num + den) * F.least(rest, rest2).cast("long") >= num * (F.col(n).cast("long") + F.col(n2)))
 
 
 def classes(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
