@@ -1,9 +1,9 @@
 """All queries of the engine's own operators, by name, with their DuckDB equivalents."""
 
-from gaugeworks.plans import ranking
+from gaugeworks.plans import analytics, ranking, texts
 
 QUERIES = {}
 SQL = {}
-for part in (ranking,):
+for part in (ranking, analytics, texts):
     QUERIES |= part.QUERIES
     SQL |= part.SQL
