@@ -125,8 +125,8 @@ def table_cells(tex: str):
     """FN-39: cleaned cells of a tabular, by row."""
     body = F.regexp_extract(F.col(tex), r"(?s)\\begin\{tabular\}\{[^}]*\}(.*?)\\end\{tabular\}", 1)
     bare = F.regexp_replace(F.regexp_replace(body, r"\\(?:top|mid|bottom)rule|\\hline", ""), r"\\text(?:bf|it)\{([^{}]*)\}", "$1")
-    rows = F.filter(F.transform(F.split(bare, r"\\\\"), F.trim), lambda r: r != "")
-    return F.transform(rows, lambda r: F.transform(F.split(r, r"(?<!\\)&"), lambda c: F.lower(F.trim(F.regexp_replace(c, r"\$|\\(?=[%&_#])", "")))))
+    rows = F.filter(F.transform(F.split(bare, r"\\\\"), T.strip), lambda r: r != "")
+    return F.transform(rows, lambda r: F.transform(F.split(r, r"(?<!\\)&"), lambda c: F.lower(T.strip(F.regexp_replace(c, r"\$|\\(?=[%&_#])", "")))))
 
 
 def cell_accuracy(got: str, want: str):

@@ -35,7 +35,7 @@ add(
     "served_histogram_costs",
     "AG-5, PRJ-7, PRJ-13, PRJ-17: calls, errors, spend, median, share, cost of 100 calls without errors.",
     """SELECT user_id AS model, count(*) AS calls, count(CASE WHEN event_type = 'error' THEN 1 END) AS errors, round(sum(value), 4) AS aiu, round(PCT(value, 0.5), 6) AS median_s,
-count(DISTINCT event_type) AS kinds, round(sum(value) / nullif(count(*) - count(CASE WHEN event_type = 'error' THEN 1 END), 0), 5) AS usd_per_100 FROM {events} GROUP BY user_id""",
+count(DISTINCT event_type) AS kinds, round(sum(value) / nullif(count(*) - count(CASE WHEN event_type = 'error' THEN 1 END), 0), 9) AS usd_per_100 FROM {events} GROUP BY user_id""",
 )
 add(
     "served_counts",

@@ -1,9 +1,9 @@
 """All queries of the engine's own operators, by name, with their DuckDB equivalents."""
 
-from gaugeworks.plans import analytics, ranking, texts
+from gaugeworks.plans import analytics, ranking, streamed, texts
 
 QUERIES = {}
 SQL = {}
-for part in (ranking, analytics, texts):
+for part in (ranking, analytics, texts, streamed):
     QUERIES |= part.QUERIES
     SQL |= part.SQL
