@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import cut
+from gaugeworks.llm.common import cut, lean
 
 BLOCK = 4096
 
@@ -115,7 +115,7 @@ def build(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", sam
                 codes, norm = encode(shared.value, u)
                 yield pa.RecordBatch.from_arrays([pa.array([y.tobytes()], pa.binary()) for y in (ids, codes.astype(np.uint8 if k <= 256 else np.int32), norm.astype(np.float32), x)], ["ids", "codes", "norms", "x"])
 
-    return books, cut(vectors(df, id_col, vec_col, dim).mapInArrow(run, "ids binary, codes binary, norms binary, x binary"), "index", 4), dim
+    return books, cut(vectors(df, id_col, vec_col, dim).mapInArrow(lean(run), "ids binary, codes binary, norms binary, x binary"), "index", 4), dim
 
 
 def cosine(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -205,7 +205,7 @@ def search(queries: DataFrame, index: tuple[Codebooks, DataFrame, int], k: int =
                     best = _top(*[np.concatenate(y) for y in zip(best, found)], k)
             yield pa.RecordBatch.from_arrays([pa.array(y) for y in best], ["query_id", "vec_id", "score"])
 
-        found = blocks.mapInArrow(run, "query_id long, vec_id long, score double")
+        found = blocks.mapInArrow(lean(run), "query_id long, vec_id long, score double")
         out = found if out is None else out.union(found)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return out.distinct().withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -22,9 +22,9 @@ import regex
 from pyspark.sql import DataFrame
 from unicodedata import normalize
 
-from gaugeworks.llm.common import packed
+from gaugeworks.llm.common import bounded, lean, packed
 
-CACHE = 1 << 18
+CACHE = 1 << 17
 BLOCK = 1 << 18
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _space = regex.compile(f"[{SPACE}]")
@@ -304,11 +304,20 @@ class Tokenizer:
         return b"".join([*out, *self.plain(text[a:])])
 
 
+class Vocabulary:
+    """What decoding needs of a tokenizers JSON file."""
+
+    def __init__(self, spec: str):
+        conf = json.loads(spec)
+        self.text_of = {i: t for t, i in conf["model"]["vocab"].items()} | {a["id"]: a["content"] for a in conf.get("added_tokens", [])}
+        self.decoder = conf.get("decoder")
+
+
 class Decoder:
     """Incremental ids to text. Without a decoder in the file tokens are joined by blanks; a byte-level decoder
     turns them into bytes, and a UTF-8 state machine gives out the characters that are complete."""
 
-    def __init__(self, tokenizer: Tokenizer):
+    def __init__(self, tokenizer: Tokenizer | Vocabulary):
         self.text_of = tokenizer.text_of
         self.bytes_out = bool(tokenizer.decoder) and "ByteLevel" in _kinds(tokenizer.decoder)
         self.byte_of = {c: b for b, c in enumerate(byte_chars())}
@@ -326,7 +335,7 @@ class Decoder:
         return out
 
 
-def decode(tokenizer: Tokenizer, ids: bytes, step: int = 1 << 16) -> str:
+def decode(tokenizer: Tokenizer | Vocabulary, ids: bytes, step: int = 1 << 16) -> str:
     every, d = np.frombuffer(ids, "<u4"), Decoder(tokenizer)
     return "".join([d.push(every[a : a + step].tolist()) for a in range(0, len(every), step)] + [d.push([], True)])
 
@@ -356,17 +365,17 @@ def _pattern(conf: dict) -> str:
     raise ValueError("the file has no split pattern")
 
 
-_loaded: dict[int, Tokenizer] = {}
+_loaded: dict = {}
 
 
-def _tokenizer(spec: str) -> Tokenizer:
-    key = hash(spec)
+def _load(kind, spec: str):
+    key = kind.__name__, hash(spec)
     if key not in _loaded:
-        _loaded[key] = Tokenizer(spec)
+        _loaded[key] = kind(spec)
     return _loaded[key]
 
 
-def _grouped(values: Iterator[tuple], schema: pa.Schema, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def _grouped(values: Iterator[tuple], schema: pa.Schema, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Record batches of rows whose sized cells have about limit bytes together."""
     rows, size = [], 0
     for row in values:
@@ -389,7 +398,7 @@ def bpe_encode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str
     schema = pa.schema([("id", pa.int64()), ("ids", pa.binary())])
 
     def run(batches):
-        t = _tokenizer(shared.value)
+        t = _load(Tokenizer, shared.value)
 
         def rows():
             for b in batches:
@@ -398,8 +407,10 @@ def bpe_encode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str
                     yield from zip(part.column(0).to_pylist(), t.encode_all(part.column(1).to_pylist()))
 
         yield from _grouped(rows(), schema)
+        t.cache.clear()
 
-    return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).mapInArrow(run, "id long, ids binary").withColumnRenamed("id", id_col)
+    bounded(docs.sparkSession)
+    return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).mapInArrow(lean(run), "id long, ids binary").withColumnRenamed("id", id_col)
 
 
 def bpe_decode(encoded: DataFrame, spec: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -408,7 +419,7 @@ def bpe_decode(encoded: DataFrame, spec: str, id_col: str = "doc_id", ids_col: s
     schema = pa.schema([("id", pa.int64()), ("ids", pa.binary()), ("text", pa.string())])
 
     def run(batches):
-        t = _tokenizer(shared.value)
+        t = _load(Vocabulary, shared.value)
 
         def rows():
             for b in batches:
@@ -419,4 +430,4 @@ def bpe_decode(encoded: DataFrame, spec: str, id_col: str = "doc_id", ids_col: s
 
         yield from _grouped(rows(), schema)
 
-    return encoded.select(encoded[id_col].alias("id"), encoded[ids_col].alias("ids")).mapInArrow(run, "id long, ids binary, text string").withColumnRenamed("id", id_col)
+    return encoded.select(encoded[id_col].alias("id"), encoded[ids_col].alias("ids")).mapInArrow(lean(run), "id long, ids binary, text string").withColumnRenamed("id", id_col)

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugeworks.llm.common import bounded, lean
+
 OPEN, END = "### ", "</turn>\n"
 _escape = re.compile(r"([\\#<])")
 _escape_role = re.compile(r"([\\#<:])")
@@ -118,6 +120,7 @@ def format_windows(conversations: DataFrame, budget: int = 512, history: int = 1
     of its own, whole. Conversations are dealt by key and streamed: a task holds a window at a time, however long one is.
     Other columns are not read.
     """
+    bounded(conversations.sparkSession)
     rows = conversations.select(F.col(conv_col).cast("long").alias("conv"), F.col(turn_col).alias("turn"), F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text"))
     span = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
     schema = pa.schema([("conv", pa.int64()), ("window", pa.int64()), ("text", pa.string()), ("loss", pa.list_(span)), ("repeated", pa.int32()), ("first_turn", pa.int64())])
@@ -135,7 +138,7 @@ def format_windows(conversations: DataFrame, budget: int = 512, history: int = 1
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
     dealt = rows.repartition(F.col("conv")).sortWithinPartitions("conv", "turn", "role", "text").select("conv", "role", "text")
-    return dealt.mapInArrow(run, "conv long, window long, text string, loss array<struct<start:long,stop:long>>, repeated int, first_turn long").withColumnRenamed("conv", conv_col)
+    return dealt.mapInArrow(lean(run), "conv long, window long, text string, loss array<struct<start:long,stop:long>>, repeated int, first_turn long").withColumnRenamed("conv", conv_col)
 
 
 def read_back(formatted: DataFrame, conv_col: str = "conv_id") -> DataFrame:
@@ -163,4 +166,4 @@ def read_back(formatted: DataFrame, conv_col: str = "conv_id") -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], schema)
 
     rows = formatted.select(F.col(conv_col).alias("conv"), "window", "text", "loss", "repeated").repartition(F.col("conv")).sortWithinPartitions("conv", "window").select("conv", "text", "loss", "repeated")
-    return rows.mapInArrow(run, "conv long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long").withColumnRenamed("conv", conv_col)
+    return rows.mapInArrow(lean(run), "conv long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long").withColumnRenamed("conv", conv_col)

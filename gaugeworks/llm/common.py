@@ -15,6 +15,62 @@ BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _written: list[tuple[SparkSession, str]] = []
 
 
+def bounded(spark: SparkSession) -> None:
+    """What goes to Python at once lies outside the JVM's heap, so sessions with Spark's default of 64 MB get a smaller bound."""
+    if spark.conf.get(BATCH_BYTES).strip("b") == str(64 << 20):
+        spark.conf.set(BATCH_BYTES, str(4 << 20))
+
+
+_trimmed = [0.0]
+
+
+def trim(every_s: float = 0.0) -> None:
+    """Give freed memory back, as workers are used again by other operators."""
+    import ctypes
+    import time
+
+    if time.monotonic() - _trimmed[0] < every_s:
+        return
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # not this C library
+    _trimmed[0] = time.monotonic()
+
+
+def lean(run):
+    """A function for mapInArrow that leaves no freed memory behind."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return wrapped
+
+
+def lean_group(run):
+    """The same for applyInArrow, every few seconds."""
+
+    def group(t: pa.Table) -> pa.Table:
+        out = run(t)
+        trim(2.0)
+        return out
+
+    return group
+
+
+def lean_cogroup(run):
+    def group(key, a: pa.Table, b: pa.Table) -> pa.Table:
+        out = run(key, a, b)
+        trim(2.0)
+        return out
+
+    return group
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder of spark.checkpoint.dir; one under the warehouse where none is set."""
     sc = spark.sparkContext
@@ -27,12 +83,8 @@ def cut(df: DataFrame, tag: str, block_mb: int = 16) -> DataFrame:
     """Write df to the shared scratch folder and read it back: a short lineage that outlives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    before = spark.conf.get(BATCH_BYTES)
-    spark.conf.set(BATCH_BYTES, str(4 << 20))  # what goes to Python at once lies outside the JVM's heap
-    try:
-        df.write.option("compression", "zstd").option("parquet.block.size", block_mb << 20).parquet(path)
-    finally:
-        spark.conf.set(BATCH_BYTES, before)
+    bounded(spark)
+    df.write.option("compression", "zstd").option("parquet.block.size", block_mb << 20).parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
@@ -197,7 +249,7 @@ def chunked(docs: DataFrame, text_col: str, carry: list[str], tag: str) -> DataF
                 )
                 k += 1
 
-    return cut(own.mapInArrow(run, f"chunk long, offs binary, text binary, rows array<{kind}>"), tag)
+    return cut(own.mapInArrow(lean(run), f"chunk long, offs binary, text binary, rows array<{kind}>"), tag)
 
 
 def unpack(b: pa.RecordBatch, names: tuple[str, ...] = ()) -> Iterator[tuple]:

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import IS_SPACE, LOWER, blobs, chunked, cut, mix, unpack, word_hashes, words
+from gaugeworks.llm.common import IS_SPACE, LOWER, blobs, chunked, cut, lean, lean_cogroup, lean_group, mix, unpack, word_hashes, words
 
 DEPTH = 5
 BUCKETS = 256
@@ -207,7 +207,7 @@ def _messages(chunks: DataFrame) -> DataFrame:
         if held:
             yield from emit()
 
-    return chunks.mapInArrow(run, "kind int, bucket int, block long, keys binary, counts binary")
+    return chunks.mapInArrow(lean(run), "kind int, bucket int, block long, keys binary, counts binary")
 
 
 def _gathered(t: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
@@ -289,17 +289,17 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(train, F.lit(True)).alias("train"), F.col(text_col).alias("text"))
     chunks = chunked(own, "text", ["id", "train"], "lm")
     sent = cut(_messages(chunks), "counts")
-    sums = sent.where("kind = 0").select("bucket", "keys", "counts").groupBy("bucket").applyInArrow(_sums, "node int, n0 double, n1 double, below double")
+    sums = sent.where("kind = 0").select("bucket", "keys", "counts").groupBy("bucket").applyInArrow(lean_group(_sums), "node int, n0 double, n1 double, below double")
     sums = sums.groupBy("node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("below").alias("below")).orderBy("node").toArrow()
     top = Top(*[sums.column(c).to_numpy() for c in ("node", "n0", "n1", "below")])
     shared = docs.sparkSession.sparkContext.broadcast(top)
-    answers = cut(sent.groupBy("kind", "bucket").applyInArrow(_answers(shared), "block long, kind int, keys binary, vals binary, known long"), "answers")
+    answers = cut(sent.groupBy("kind", "bucket").applyInArrow(lean_group(_answers(shared)), "block long, kind int, keys binary, vals binary, known long"), "answers")
     ends = own.where("train").count()
     learned = answers.where("kind = 1").agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0]
     total = round(_blank_count(top)) + ends
     log_total = float(np.log10(total + 0.1 * (learned + (ends > 0) + 1)))
     block = chunks.withColumn("block", F.shiftright("chunk", 4))
-    out = block.groupBy("block").cogroup(answers.select("block", "kind", "keys", "vals").groupBy("block")).applyInArrow(_scores(log_total, ends), "id long, train boolean, n_tokens long, n_known long, base_score double, score double")
+    out = block.groupBy("block").cogroup(answers.select("block", "kind", "keys", "vals").groupBy("block")).applyInArrow(lean_cogroup(_scores(log_total, ends)), "id long, train boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("id").alias(id_col), "train", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import IS_ALNUM, LOWER, packed, slices, word_hashes, words
+from gaugeworks.llm.common import IS_ALNUM, LOWER, bounded, lean, packed, slices, word_hashes, words
 from gaugeworks.llm.fm_index import FMIndex
 
 WINDOW = 13
@@ -154,6 +154,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: st
     A window is `window` consecutive words of an item, or all of a shorter item that has words. Null and empty texts have
     no words and no hits; items without words have no windows; repeated items count once. No row is dropped; other columns are not read.
     """
+    bounded(docs.sparkSession)
     out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     names = ["id", "text", "n_words", "spans", "items"]
     for k, phrases in enumerate(phrase_blocks(benchmark, window, item_col, item_text, block_bytes)):
@@ -168,7 +169,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: st
                     found[2] = pa.array([sorted({*x, *y}) for x, y in zip(b.column(4).to_pylist(), found[2].to_pylist())], found[2].type)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *found], names)
 
-        out = out.mapInArrow(run, f"id long, text string, {_FOUND}")
+        out = out.mapInArrow(lean(run), f"id long, text string, {_FOUND}")
     return out.select(F.col("id").alias(id_col), "n_words", "spans", "items")
 
 
@@ -180,6 +181,7 @@ def verdict(found: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs, all columns as they are, whose hit words are less than a twentieth of their words."""
+    bounded(docs.sparkSession)
     at = docs.columns.index(text_col)
     blocks = [docs.sparkSession.sparkContext.broadcast(p) for p in phrase_blocks(benchmark, window, item_col, item_text, block_bytes)]
 
@@ -192,4 +194,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
             hit = np.array([sum(z - a for a, z in merge_spans(x)) for x in spans], np.int64)
             yield b.filter(pa.array((hit == 0) | (20 * hit < n_words)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import IS_SPACE, LOWER, blobs, chunked, cut, grams, mix, text_bytes, unpack, word_hashes, words
+from gaugeworks.llm.common import IS_SPACE, LOWER, blobs, chunked, cut, grams, lean, lean_group, mix, text_bytes, unpack, word_hashes, words
 
 NOT_SPACE = ~IS_SPACE
 FRAGMENTS = 8
@@ -78,8 +78,8 @@ def _frequencies(chunks: DataFrame, n: int, bits: int) -> DataFrame:
         ends = np.cumsum([len(r) // 4 for r in rows])
         return pa.table([t.column("chunk"), t.column("bucket"), pa.array([kind[a:z].tobytes() for a, z in zip([0, *ends[:-1]], ends)], pa.binary())], ["chunk", "bucket", "classes"])
 
-    counted = chunks.select("chunk", "offs", "text").mapInArrow(count, "bucket int, chunk long, low binary, times binary")
-    return counted.groupBy("bucket").applyInArrow(meet, "chunk long, bucket int, classes binary").groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "classes"))).alias("classes"))
+    counted = chunks.select("chunk", "offs", "text").mapInArrow(lean(count), "bucket int, chunk long, low binary, times binary")
+    return counted.groupBy("bucket").applyInArrow(lean_group(meet), "chunk long, bucket int, classes binary").groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "classes"))).alias("classes"))
 
 
 def _distinct(own: list[np.ndarray]) -> np.ndarray:
@@ -146,7 +146,7 @@ def _members(chunks: DataFrame, classes: DataFrame, n: int, num: int, den: int,
                         _names,
                     )
 
-    return chunks.join(classes, "chunk", "left").mapInArrow(run, _MEMBERS)
+    return chunks.join(classes, "chunk", "left").mapInArrow(lean(run), _MEMBERS)
 
 
 _names = ["kind", "chunk", "row", "id", "n", "node", "frag", "shared", "tokens", "prefix"]
@@ -268,4 +268,4 @@ def keep_one(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, id_col: st
                 rows = rows.take(pa.array(kept))
                 yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k < 0 else rows.field(k) for k in order], names)
 
-    return chunks.join(kept, "chunk").mapInArrow(run, docs.schema)
+    return chunks.join(kept, "chunk").mapInArrow(lean(run), docs.schema)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import IS_SPACE, LOWER, packed, slices, word_hashes, words
+from gaugeworks.llm.common import IS_SPACE, LOWER, bounded, lean, packed, slices, word_hashes, words
 
 BITS = 18
 #: Steps of a fit at least, so that few labelled rows are gone through more often.
@@ -143,6 +143,7 @@ def _stated(batch: pa.RecordBatch, k: int) -> np.ndarray:
 
 def _inputs(docs: DataFrame, id_col: str, text_col: str, chars_col: str, more: tuple = ()) -> DataFrame:
     stated = F.col(chars_col).cast("long") if chars_col in docs.columns else F.lit(None).cast("long")
+    bounded(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), stated.alias("stated"), *more)
 
 
@@ -169,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_ro
                 yield pa.RecordBatch.from_arrays([ids.slice(a, z - a), pa.array(blobs, pa.binary()), pa.array(label[a:z], pa.int32())], ["id", "features", "label"])
 
     inputs = _inputs(docs, id_col, text_col, chars_col).join(F.broadcast(own), "id")
-    got = inputs.select("id", "text", "stated", "label").mapInArrow(run, "id long, features binary, label int").toArrow()
+    got = inputs.select("id", "text", "stated", "label").mapInArrow(lean(run), "id long, features binary, label int").toArrow()
     order = np.argsort(got.column("id").to_numpy(), kind="stable")
     blobs = got.column("features").to_pylist()
     parts = [np.frombuffer(blobs[k], "<u4") for k in order]
@@ -193,11 +194,12 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 got = score(shared.value, *features(buf[offs[a] : offs[z]], offs[a : z + 1] - offs[a], stated[a:z]), z - a)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), pa.array(got, pa.float64())], ["id", "score"])
 
-    return _inputs(docs, id_col, text_col, chars_col).mapInArrow(run, "id long, score double").withColumnRenamed("id", id_col)
+    return _inputs(docs, id_col, text_col, chars_col).mapInArrow(lean(run), "id long, score double").withColumnRenamed("id", id_col)
 
 
 def keep(docs: DataFrame, models: list[tuple[Model, float]], text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """The rows of docs, all columns as they are, that every model scores at its threshold or above."""
+    bounded(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(models)
     names = docs.columns
     at, chars = names.index(text_col), names.index(chars_col) if chars_col in names else -1
@@ -213,4 +215,4 @@ def keep(docs: DataFrame, models: list[tuple[Model, float]], text_col: str = "te
                     good[a:z] &= score(model, *own, z - a) >= least
             yield b.filter(pa.array(good))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import IS_SPACE, blobs, by_bucket, chunked, grams, mix, text_bytes, unpack, word_hashes, words
+from gaugeworks.llm.common import IS_SPACE, blobs, by_bucket, chunked, grams, lean, lean_group, mix, text_bytes, unpack, word_hashes, words
 
 GRAM = 4
 WINDOW = 20
@@ -136,8 +136,8 @@ def _repeated_anchors(chunks: DataFrame, window: int, n: int) -> DataFrame:
         on = [k for k, x in enumerate(out) if x]
         return pa.table([t.column("chunk").take(pa.array(on, pa.int64())), pa.array([out[k] for k in on], pa.binary())], ["chunk", "keys"])
 
-    counted = chunks.select("chunk", "offs", "text").mapInArrow(count, "bucket int, chunk long, keys binary, twice binary")
-    return counted.groupBy("bucket").applyInArrow(meet, "chunk long, keys binary")
+    counted = chunks.select("chunk", "offs", "text").mapInArrow(lean(count), "bucket int, chunk long, keys binary, twice binary")
+    return counted.groupBy("bucket").applyInArrow(lean_group(meet), "chunk long, keys binary")
 
 
 def _send(chunks: DataFrame, window: int, n: int) -> DataFrame:
@@ -183,13 +183,13 @@ def _send(chunks: DataFrame, window: int, n: int) -> DataFrame:
                 ident ^= mix(key + (anchor - start).astype(np.uint64))
                 held.append((key, ident, meta, count, (h[at] >> np.uint64(32)).astype(np.uint32)))
                 size += len(at)
-                if size > 4 << 20:
+                if size > 1 << 20:
                     yield flush(held)
                     held, size = [], 0
         if held:
             yield flush(held)
 
-    return chunks.mapInArrow(run, "bucket int, meta binary, words binary")
+    return chunks.mapInArrow(lean(run), "bucket int, meta binary, words binary")
 
 
 def _judge(window: int):
@@ -237,8 +237,8 @@ def repeated_runs(docs: DataFrame, window: int, id_col: str, text_col: str, carr
     chunks = chunked(docs.withColumn(id_col, F.col(id_col).cast("long")), text_col, [id_col, *[c for c in carry if c != id_col]], "passages")
     n = max(512, text_bytes(chunks) >> 21)
     repeated = _repeated_anchors(chunks, window, n).groupBy("chunk").agg(F.collect_list("keys").alias("keys"))
-    sent = _send(chunks.join(repeated, "chunk"), window, n)
-    runs = sent.groupBy("bucket").applyInArrow(_judge(window), "chunk long, runs binary")
+    sent = _send(chunks.join(repeated, "chunk"), window, 4 * n)
+    runs = sent.groupBy("bucket").applyInArrow(lean_group(_judge(window)), "chunk long, runs binary")
     return chunks.join(runs.groupBy("chunk").agg(F.collect_list("runs").alias("runs")), "chunk", "left")
 
 
@@ -281,7 +281,7 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
                 )
 
     out = repeated_runs(docs.select(id_col, text_col), window, id_col, text_col, [])
-    return out.mapInArrow(run, "id long, n_words long, n_removed long, spans array<struct<start:int,stop:int>>, kept string").withColumnRenamed("id", id_col)
+    return out.mapInArrow(lean(run), "id long, n_words long, n_removed long, spans array<struct<start:int,stop:int>>, kept string").withColumnRenamed("id", id_col)
 
 
 def drop_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -313,4 +313,4 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
                 cols = [pa.array(texts, pa.string()) if k < 0 else rows.field(k) for k in order]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    return repeated_runs(marked, window, id_col, text_col, carry).mapInArrow(run, docs.schema)
+    return repeated_runs(marked, window, id_col, text_col, carry).mapInArrow(lean(run), docs.schema)
