@@ -22,7 +22,7 @@ def jsonl_log(spark: SparkSession, path, schema: StructType) -> DataFrame:
 
 def numbered_lines(spark: SparkSession, path) -> DataFrame:
     """file, line (from 1), value: file order as a sequence, for logs whose time stamps are too coarse. Files are read whole, so keep them of moderate size."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.split("value", "\n").alias("l"))
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split("value", "\n").alias("l"))
     return whole.select("file", F.posexplode("l").alias("pos", "value")).select("file", (F.col("pos") + 1).alias("line"), "value").where(F.trim("value") != "")
 
 
@@ -79,7 +79,7 @@ def markdown_table(spark: SparkSession, path) -> DataFrame:
     """SRC-26: cells of table rows; rules and other lines are skipped."""
     line = F.trim("value")
     rows = spark.read.text(path).where(line.startswith("|") & ~line.rlike(r"^\|[\s:|-]+$"))
-    return rows.select(F.transform(F.split(F.regexp_replace(line, r"^\||\|$", ""), r"\|"), F.trim).alias("cells"))
+    return rows.select(F.transform(F.split(F.regexp_replace(line, r"^\||\|$", ""), r"\|"), lambda c: F.trim(c)).alias("cells"))
 
 
 def roster(spark: SparkSession, text: str, default_effort: str | None = None) -> DataFrame:
@@ -99,14 +99,14 @@ def roster(spark: SparkSession, text: str, default_effort: str | None = None) ->
 def labels(spark: SparkSession, path) -> DataFrame:
     """SRC-14, DM-12: {item: {family or *: {field: value or list}}} as rows item, family, field, value array."""
     kind = "map<string, map<string, map<string, string>>>"
-    whole = spark.read.option("wholetext", True).text(path).select(F.from_json("value", kind).alias("m"))
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", kind).alias("m"))
     rows = whole.select(F.explode("m").alias("item", "f")).select("item", F.explode("f").alias("family", "v")).select("item", "family", F.explode("v").alias("field", "raw"))
     return rows.select("item", "family", "field", F.coalesce(F.from_json("raw", "array<string>"), F.array("raw")).alias("value"))
 
 
 def power_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """SRC-21: gpu, watts, mem_mib, util of comma-separated sampler lines; others are dropped."""
-    parts = F.transform(F.split(column, ","), F.trim)
+    parts = F.transform(F.split(column, ","), lambda c: F.trim(c))
     num = lambda k: F.get(parts, F.lit(k)).try_cast("double")
     out = lines.select("*", num(0).cast("int").alias("gpu"), num(1).alias("watts"), num(2).alias("mem_mib"), num(3).alias("util"))
     return out.where(F.size(parts) == 4).where("gpu IS NOT NULL AND watts IS NOT NULL AND mem_mib IS NOT NULL AND util IS NOT NULL")
