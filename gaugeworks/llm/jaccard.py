@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from gaugeworks.llm.common import IS_SPACE, LOWER, blobs, chunked, cut, grams, lean, lean_group, mix, text_bytes, unpack, word_hashes, words
 
 NOT_SPACE = ~IS_SPACE
-FRAGMENTS = 8
+FRAGMENTS = 4
 HUB_GRAMS = 6
 
 
@@ -150,7 +150,7 @@ def _members(chunks: DataFrame, classes: DataFrame, n: int, num: int, den: int,
 
 
 _names = ["kind", "chunk", "row", "id", "n", "node", "frag", "shared", "tokens", "prefix"]
-_EDGES = np.array([k << 61 for k in range(1, FRAGMENTS)], np.uint64)
+_EDGES = np.array([k << 62 for k in range(1, FRAGMENTS)], np.uint64)
 
 
 def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
@@ -197,14 +197,23 @@ def join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, id_col: str =
     prefixes = members.where("kind = 1 AND frag = 0").groupBy("node", "n", "shared").agg(F.first("prefix").alias("prefix"))
 
     near = _posted(prefixes.withColumn("prefix", F.slice("prefix", 1, HUB_GRAMS)), "node", "n")
-    order = [F.struct(F.xxhash64("node", F.lit(k)).alias("h"), F.col("node").alias("hub"), F.col("n").alias("hn"), F.col("rest").alias("hs")) for k in (1, 2)]
+    # one hub with the fewest n-grams of its own, which links with most, and one by chance
+    first = [F.col("n") - F.col("rest"), F.lit(0)]
+    order = [F.struct(first[k].alias("own"), F.xxhash64("node", F.lit(k)).alias("h"), F.col("node").alias("hub"), F.col("n").alias("hn"), F.col("rest").alias("hs")) for k in (0, 1)]
     hubs = near.groupBy("token").agg(*[F.min(o).alias(f"h{k}") for k, o in enumerate(order)], F.count(F.lit(1)).alias("m")).where("m > 1")
     to_hub = near.join(hubs, "token").select("node", "n", "rest", F.explode(F.array("h0", "h1")).alias("h")).where("node <> h.hub").where(_may_link("n", "rest", "h.hn", "h.hs", num, den))
-    best = to_hub.groupBy("node").agg(F.min("h").alias("x"), F.max("h").alias("y"))
-    pairs = best.select("node", F.explode(F.array_distinct(F.array("x.hub", "y.hub"))).alias("hub"))
-    pairs = cut(pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "pairs")
-    links = cut(linked(overlaps(pairs, segments), num, den), "links")
+    best = to_hub.groupBy("node").agg(F.min("h").alias("x"), F.max("h").alias("y"), F.min(F.struct("h.h", "h.hub")).alias("z"))
+    pairs = best.select("node", F.explode(F.array_distinct(F.array("x.hub", "y.hub", "z.hub"))).alias("hub"))
+    pairs = pairs.groupBy(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).agg(F.min("hub").alias("hub"))
+    pairs = cut(pairs, "pairs")
+    met = cut(overlaps(pairs, segments).join(pairs, ["a", "b"]), "met")
+    links = linked(met, num, den)
     labels = components(links)
+    # how far nodes are from hubs they met: two at distances further apart than linked sets are cannot link (1 - Jaccard is a metric)
+    far = (1 - F.col("overlap") / (F.col("na") + F.col("nb") - F.col("overlap"))).alias("far")
+    far = met.select(F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("node"), "hub", far)
+    far = far.union(met.select(F.col("hub").alias("node"), "hub", F.lit(0.0).alias("far")).distinct())
+    far = far.groupBy("node").agg(F.collect_set(F.struct("hub", "far")).alias("far"))
 
     held = prefixes.join(labels, "node", "left").select("node", "n", "shared", F.coalesce("label", "node").alias("label"), "prefix")
     held = cut(held, "prefixes")
@@ -219,7 +228,10 @@ def join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, id_col: str =
     b = posted.select("token", F.col("n").alias("ny"), F.col("rest").alias("resty"), F.col("node").alias("b"), F.col("label").alias("lb"))
     rest = a.join(meet.select("token", "nx", "restx", "ny", "resty"), ["token", "nx", "restx"]).join(b, ["token", "ny", "resty"]).where("la <> lb")
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = cut(linked(overlaps(cut(rest, "pairs"), segments), num, den), "links")
+    rest = rest.join(far.select(F.col("node").alias("a"), F.col("far").alias("fa")), "a", "left").join(far.select(F.col("node").alias("b"), F.col("far").alias("fb")), "b", "left")
+    apart = F.exists("fa", lambda p: F.exists("fb", lambda q: (p.hub == q.hub) & (F.abs(p.far - q.far) > 1 - num / den + 1e-9)))
+    rest = cut(rest.where(~F.coalesce(apart, F.lit(False))).select("a", "b"), "pairs")
+    more = cut(linked(overlaps(rest, segments), num, den), "links")
     top = more.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
     top = components(top.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).distinct())
     top = top.select(F.col("node").alias("label"), F.col("label").alias("top"))
