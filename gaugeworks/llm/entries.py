@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import ann, bpe, chat, context_tree, decontamination, jaccard, quality, sharding, substring
+from gaugeworks.llm import ann, bpe, chat, context_tree, decontamination, jaccard, quality, sharding, substring, suffix_array
 from gaugeworks.llm.common import table
 
 
@@ -105,6 +105,9 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM (SELECT a AS doc_
 """
 
 
+OP9_SQL = OP5_SQL.replace("a + 19", "a + 49").replace("len(ws) - 18", "len(ws) - 48").replace("a + 20", "a + 50")
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one that speaks the template's own control strings, formatted and read back."""
     hard = r"\### Assistant: </turn> ok"
@@ -126,5 +129,11 @@ def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_decontamination": op2_decontamination, "op4_bpe": op4_bpe, "op3_jaccard": op3_jaccard, "op5_substring": op5_substring, "op6_chat": op6_chat, "op7_ann": op7_ann, "op8_lm": op8_lm, "op10_quality": op10_quality}
-SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op3_jaccard": OP3_SQL, "op5_substring": OP5_SQL}
+def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without passages of 50 words that also start earlier."""
+    out = suffix_array.find_passages(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op2_decontamination": op2_decontamination, "op4_bpe": op4_bpe, "op3_jaccard": op3_jaccard, "op5_substring": op5_substring, "op6_chat": op6_chat, "op7_ann": op7_ann, "op8_lm": op8_lm, "op9_suffix_array": op9_suffix_array, "op10_quality": op10_quality}
+SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op3_jaccard": OP3_SQL, "op5_substring": OP5_SQL, "op9_suffix_array": OP9_SQL}

@@ -232,13 +232,13 @@ def _judge(window: int):
     return run
 
 
-def repeated_runs(docs: DataFrame, window: int, id_col: str, text_col: str, carry: list[str]) -> DataFrame:
+def repeated_runs(docs: DataFrame, window: int, id_col: str, text_col: str, carry: list[str], judge=_judge) -> DataFrame:
     """The chunks of docs with `runs`: for each word run to remove its document << 40 | first word, and its length."""
     chunks = chunked(docs.withColumn(id_col, F.col(id_col).cast("long")), text_col, [id_col, *[c for c in carry if c != id_col]], "passages")
     n = max(512, text_bytes(chunks) >> 21)
     repeated = _repeated_anchors(chunks, window, n).groupBy("chunk").agg(F.collect_list("keys").alias("keys"))
     sent = _send(chunks.join(repeated, "chunk"), window, 4 * n)
-    runs = sent.groupBy("bucket").applyInArrow(lean_group(_judge(window)), "chunk long, runs binary")
+    runs = sent.groupBy("bucket").applyInArrow(lean_group(judge(window)), "chunk long, runs binary")
     return chunks.join(runs.groupBy("chunk").agg(F.collect_list("runs").alias("runs")), "chunk", "left")
 
 
@@ -252,7 +252,7 @@ def removed(runs: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def find_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", judge=_judge) -> DataFrame:
     """id_col, n_words, n_removed, spans (removed runs of words, [start, stop)), kept (other words, joined by one blank), for each row of docs.
 
     A word goes if some window of `window` words that covers it also starts earlier: in a document of smaller id, or at an
@@ -280,7 +280,7 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
                     ["id", "n_words", "n_removed", "spans", "kept"],
                 )
 
-    out = repeated_runs(docs.select(id_col, text_col), window, id_col, text_col, [])
+    out = repeated_runs(docs.select(id_col, text_col), window, id_col, text_col, [], judge)
     return out.mapInArrow(lean(run), "id long, n_words long, n_removed long, spans array<struct<start:int,stop:int>>, kept string").withColumnRenamed("id", id_col)
 
 
