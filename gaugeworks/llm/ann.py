@@ -92,7 +92,7 @@ def _matrix(col: pa.Array, dim: int) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def build(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = 8192, m: int = 8, k: int = 128) -> tuple[Codebooks, DataFrame, int]:
+def build(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = 8192, m: int = 12, k: int = 128) -> tuple[Codebooks, DataFrame, int]:
     """Codebooks fitted on the `sample` vectors of smallest hash of id, the index of all vectors (blocks of ids, codes, norms and
     original vectors, in the scratch folder), and their dimension: the most frequent in the sample, ties to the larger."""
     own = vectors(df, id_col, vec_col)
@@ -139,9 +139,10 @@ def _block_best(books: Codebooks, qid: np.ndarray, q: np.ndarray, table: np.ndar
     out_q, out_id, out_s = [], [], []
     for a in range(0, len(q), 256):
         lut = table[a : a + 256]
-        rough = np.broadcast_to(-norms, (len(lut), len(norms))).copy()
+        rough = np.zeros((len(lut), len(norms)), np.float32)
         for level in range(codes.shape[1]):
-            rough += 2 * lut[:, level, :][:, codes[:, level]]
+            rough += lut[:, level, :][:, codes[:, level]]
+        rough /= np.sqrt(np.maximum(norms, 1e-12))  # by the stored norms: cosine with the reconstruction
         n = min(short, len(norms))
         near = np.argpartition(-rough, n - 1, 1)[:, :n] if n < len(norms) else np.tile(np.arange(n), (len(lut), 1))
         score = cosine(np.repeat(q[a : a + 256], n, 0), x[near.ravel()]).reshape(len(lut), n)
@@ -172,7 +173,7 @@ def _top(q: np.ndarray, i: np.ndarray, s: np.ndarray, k: int):
     return q[keep], i[keep], s[keep]
 
 
-def search(queries: DataFrame, index: tuple[Codebooks, DataFrame, int], k: int = 5, short: int = 128, id_col: str = "vec_id", vec_col: str = "embedding", pass_rows: int = 100_000) -> DataFrame:
+def search(queries: DataFrame, index: tuple[Codebooks, DataFrame, int], k: int = 5, short: int = 256, id_col: str = "vec_id", vec_col: str = "embedding", pass_rows: int = 100_000) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest by cosine found for each query among rows of other ids, ties to the smaller id.
 
     Of each block of the index the `short` best by look-up tables are scored exactly. Queries go out in passes of at most
