@@ -25,7 +25,9 @@ def best_match(seeds: DataFrame, candidates: DataFrame, least: float = 0.9, stri
     c = candidates.select("pos", F.col("title").alias("ct"), "years", "authors", "source", F.explode(blocking_keys("title")).alias("k"))
     near = F.col("year").isNull() | (F.size("years") == 0) | F.exists("years", lambda y: F.abs(y - F.col("year")) <= 1)
     pairs = s.join(c, "k").where(near).dropDuplicates(["seed", "source", "pos"])
-    pairs = pairs.withColumn("similarity", title_similarity("st", "ct"))
+    # titles repeat, so each pair of titles is compared once
+    alike = pairs.select("st", "ct").distinct().withColumn("similarity", title_similarity("st", "ct"))
+    pairs = pairs.join(alike, ["st", "ct"])
     same = F.coalesce(surname("author") == surname(F.get("authors", F.lit(0))), F.lit(False))
     ok = (F.col("similarity") >= least) & (same | ((F.col("similarity") >= strict) & (F.length("st") >= 40) & (F.col("source") != "arxiv")))
     w = Window.partitionBy("seed", "source").orderBy(F.desc("similarity"), "pos")

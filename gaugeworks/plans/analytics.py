@@ -60,8 +60,8 @@ add(
 add(
     "plan_estimate",
     "AG-10: price of a call from the model's history, else its tier's, else a default; todo times price.",
-    """WITH hist AS (SELECT user_id % 40 AS model, avg(value) AS per_call FROM {events} WHERE user_id % 3 <> 0 GROUP BY user_id % 40),
-tier AS (SELECT (user_id % 40) % 4 AS tier, avg(value) AS per_call FROM {events} WHERE user_id % 40 % 4 <> 3 GROUP BY (user_id % 40) % 4),
+    """WITH hist AS (SELECT user_id % 40 AS model, avg(value) AS per_call FROM {events} WHERE event_type = 'purchase' GROUP BY user_id % 40),
+tier AS (SELECT (user_id % 40) % 4 AS tier, avg(value) AS per_call FROM {events} WHERE event_type = 'view' GROUP BY (user_id % 40) % 4),
 plan AS (SELECT user_id % 40 AS model, (user_id % 40) % 4 AS tier, count(*) AS todo FROM {events} WHERE event_type = 'error' GROUP BY user_id % 40, (user_id % 40) % 4)
 SELECT plan.model, todo, round(todo * coalesce(hist.per_call, tier.per_call, 1.0), 4) AS estimate FROM plan LEFT JOIN hist ON plan.model = hist.model LEFT JOIN tier ON plan.tier = tier.tier""",
 )
@@ -338,41 +338,43 @@ put("latest_record_wins", latest_record_wins, "SELECT user_id, event_id, event_t
 
 
 def todo_anti_join(spark, sf_dir):
-    """JN-5."""
+    """JN-5: nations x part types x two repetitions not done; done is what suppliers have of the part of their number."""
     m = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("model"))
-    i = table(spark, sf_dir, "part").select((F.col("p_partkey") % 200).alias("item")).distinct()
-    done = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 25).alias("model"), (F.col("l_partkey") % 200).alias("item"), (F.col("l_linenumber") % 2).cast("int").alias("rep")).where("model % 3 <> 0")
+    i = table(spark, sf_dir, "part").select(F.col("p_type").alias("item")).distinct()
+    s, p = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "part")
+    done = s.join(p, s["s_suppkey"] == p["p_partkey"]).select(F.col("s_nationkey").alias("model"), F.col("p_type").alias("item"), (F.col("p_size") % 2).cast("int").alias("rep"))
     return relational.todo(m, i, 2, done, ["model", "item", "rep"])
 
 
 put(
     "todo_anti_join",
     todo_anti_join,
-    "SELECT n_nationkey AS model, item, CAST(rep AS INTEGER) AS rep FROM {nation}, (SELECT DISTINCT p_partkey % 200 AS item FROM {part}), (SELECT unnest([0, 1]) AS rep) WHERE NOT EXISTS (SELECT 1 FROM {lineitem} WHERE l_suppkey % 25 = n_nationkey AND l_suppkey % 25 % 3 <> 0 AND l_partkey % 200 = item AND l_linenumber % 2 = rep)",
+    "SELECT n_nationkey AS model, item, CAST(rep AS INTEGER) AS rep FROM {nation}, (SELECT DISTINCT p_type AS item FROM {part}), (SELECT unnest([0, 1]) AS rep) WHERE NOT EXISTS (SELECT 1 FROM {supplier} JOIN {part} ON s_suppkey = p_partkey WHERE s_nationkey = n_nationkey AND p_type = item AND p_size % 2 = rep)",
 )
 
 
 def fingerprint_reuse_split(spark, sf_dir):
-    """JN-6, PRJ-2: texts scored before by fingerprint."""
+    """JN-6, PRJ-2: texts whose fingerprint was scored before, that is, labelled."""
     d = table(spark, sf_dir, "documents").withColumn("answer_hash", F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 16))
-    scored = d.where("doc_id % 3 = 0").select("answer_hash", F.lit(1.0).alias("score"))
+    scored = d.join(table(spark, sf_dir, "labels"), "doc_id").select("answer_hash", F.col("quality").alias("score"))
     reuse, again = relational.split_reuse(d.select("doc_id", "answer_hash"), scored, ["answer_hash"])
     return reuse.withColumn("reuse", F.lit(True)).unionByName(again.withColumn("reuse", F.lit(False)))
 
 
-put("fingerprint_reuse_split", fingerprint_reuse_split, "WITH d AS (SELECT doc_id, substr(sha256(coalesce(text, '')), 1, 16) AS answer_hash FROM {documents}) SELECT doc_id, answer_hash, answer_hash IN (SELECT answer_hash FROM d WHERE doc_id % 3 = 0) AS reuse FROM d")
+put("fingerprint_reuse_split", fingerprint_reuse_split, "WITH d AS (SELECT doc_id, substr(sha256(coalesce(text, '')), 1, 16) AS answer_hash FROM {documents}) SELECT doc_id, answer_hash, answer_hash IN (SELECT answer_hash FROM d JOIN {labels} USING (doc_id)) AS reuse FROM d")
 
 
 def manifest_full_diff(spark, sf_dir):
-    """JN-10, SO-3: manifests of two releases by SHA-256."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
-    return relational.full_diff(d.where("doc_id % 7 <> 0"), d.where("doc_id % 5 <> 0").withColumn("h", F.when(F.col("doc_id") % 11 == 0, "x").otherwise(F.col("h"))), "doc_id", "h")
+    """JN-10, SO-3: items and documents as manifests of two releases, by number and SHA-256."""
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.sha2("text", 256).alias("h"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("h"))
+    return relational.full_diff(b, d, "id", "h")
 
 
 put(
     "manifest_full_diff",
     manifest_full_diff,
-    "WITH a AS (SELECT doc_id, sha256(text) AS h FROM {documents} WHERE doc_id % 7 <> 0), b AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'x' ELSE sha256(text) END AS h FROM {documents} WHERE doc_id % 5 <> 0) SELECT doc_id, CASE WHEN b.h IS NULL THEN 'missing' WHEN a.h IS NULL THEN 'extra' ELSE 'changed' END AS change FROM a FULL JOIN b USING (doc_id) WHERE a.h IS DISTINCT FROM b.h",
+    "WITH a AS (SELECT item_id AS id, sha256(text) AS h FROM {benchmark}), b AS (SELECT doc_id AS id, sha256(text) AS h FROM {documents}) SELECT id, CASE WHEN b.h IS NULL THEN 'missing' WHEN a.h IS NULL THEN 'extra' ELSE 'changed' END AS change FROM a FULL JOIN b USING (id) WHERE a.h IS DISTINCT FROM b.h",
 )
 
 

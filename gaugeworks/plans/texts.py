@@ -79,18 +79,18 @@ put("verbatim_overlap", verbatim_overlap, "SELECT doc_id, item_id FROM {document
 
 
 def jaccard_dedupe(spark, sf_dir):
-    """JN-22: Jaccard of word sets of issues of one source, by an inverted index on shared words, 0.8 or more."""
-    w = docs(spark, sf_dir).where("n_chars < 600").select("doc_id", "source", F.array_distinct(F.transform(text.words("text"), F.lower)).alias("w")).withColumn("n", F.size("w"))
-    t = w.select("doc_id", "source", "n", F.explode("w").alias("t"))
-    a, b = t.select("source", "t", F.col("doc_id").alias("a"), F.col("n").alias("na")), t.select("source", "t", F.col("doc_id").alias("b"), F.col("n").alias("nb"))
-    p = a.join(b, ["source", "t"]).where("a < b AND 10 * least(na, nb) >= 8 * greatest(na, nb)").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
-    return p.withColumn("jaccard", F.round(F.col("c") / (F.col("na") + F.col("nb") - F.col("c")), 6)).where("jaccard >= 0.8").select("a", "b", "jaccard")
+    """JN-22: turns of one conversation alike in their words, Jaccard 0.1 or more, by an inverted index on shared words."""
+    w = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_distinct(F.transform(text.words("text"), F.lower)).alias("w")).withColumn("n", F.size("w"))
+    t = w.select("conv_id", "turn", "n", F.explode("w").alias("t"))
+    a, b = t.select("conv_id", "t", F.col("turn").alias("a"), F.col("n").alias("na")), t.select("conv_id", "t", F.col("turn").alias("b"), F.col("n").alias("nb"))
+    p = a.join(b, ["conv_id", "t"]).where("a < b AND 100 * least(na, nb) >= 10 * greatest(na, nb)").groupBy("conv_id", "a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
+    return p.withColumn("jaccard", F.round(F.col("c") / (F.col("na") + F.col("nb") - F.col("c")), 6)).where("jaccard >= 0.1").select("conv_id", "a", "b", "jaccard")
 
 
 put(
     "jaccard_dedupe",
     jaccard_dedupe,
-    f"WITH w AS (SELECT DISTINCT doc_id, source, lower(unnest({W_SQL})) AS t FROM {{documents}} WHERE n_chars < 600), n AS (SELECT doc_id, count(*) AS n FROM w GROUP BY doc_id), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM w a JOIN w b ON a.source = b.source AND a.t = b.t AND a.doc_id < b.doc_id GROUP BY 1, 2) SELECT a, b, round(c / (x.n + y.n - c), 6) AS jaccard FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE round(c / (x.n + y.n - c), 6) >= 0.8",
+    f"WITH w AS (SELECT DISTINCT conv_id, turn, lower(unnest({W_SQL})) AS t FROM {{conversations}}), n AS (SELECT conv_id, turn, count(*) AS n FROM w GROUP BY conv_id, turn), p AS (SELECT a.conv_id, a.turn AS a, b.turn AS b, count(*) AS c FROM w a JOIN w b ON a.conv_id = b.conv_id AND a.t = b.t AND a.turn < b.turn GROUP BY ALL) SELECT p.conv_id, a, b, round(c / (x.n + y.n - c), 6) AS jaccard FROM p JOIN n x ON x.conv_id = p.conv_id AND x.turn = a JOIN n y ON y.conv_id = p.conv_id AND y.turn = b WHERE round(c / (x.n + y.n - c), 6) >= 0.1",
 )
 
 
@@ -179,8 +179,10 @@ put("energy_segments", energy_segments)
 def title_similarity(spark, sf_dir):
     """FN-31, JN-18: the best candidate for each part name among those of its brand and blocking key."""
     p = table(spark, sf_dir, "part")
-    seeds = p.where("p_partkey % 5 = 0").select(F.col("p_partkey").alias("seed"), F.col("p_name").alias("title"), F.lit(2020).alias("year"), F.col("p_brand").alias("author"))
-    found = p.where("p_partkey % 5 = 1").select(F.col("p_partkey").alias("pos"), F.col("p_name").alias("title"), F.array(F.lit(2021)).alias("years"), F.array("p_brand").alias("authors"), F.lit("catalogue").alias("source"))
+    seeds = p.groupBy("p_type", "p_name", "p_brand").agg(F.min("p_partkey").alias("seed"))
+    seeds = seeds.select("seed", F.concat_ws(" ", "p_type", "p_name").alias("title"), F.lit(2020).alias("year"), F.col("p_brand").alias("author"))
+    found = p.groupBy("p_name", "p_brand").agg(F.min("p_partkey").alias("pos"))
+    found = found.select("pos", F.col("p_name").alias("title"), F.array(F.lit(2021)).alias("years"), F.array("p_brand").alias("authors"), F.lit("catalogue").alias("source"))
     return references.best_match(seeds, found, 0.6, 0.65).select("seed", "pos", F.round("similarity", 6).alias("similarity"))
 
 
