@@ -161,8 +161,9 @@ put("calibrated_score", calibrated_score, f"WITH @FACT, {OFFSET_SQL} SELECT mode
 
 
 def votes(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select((F.col("event_id") % 997).alias("item"), (F.col("user_id") % 5).alias("coder"), "event_type", "event_id")
-    return relational.keep_first(e, ["item", "coder"], ["event_id"])
+    """Units of five events in order of id, users as coders; a user's vote in a unit is the type of most of its events there, ties to the smaller."""
+    e = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 5).alias("item"), F.col("user_id").alias("coder"), "event_type")
+    return judging.majority(e, ["item", "coder"], "event_type", 1).select("item", "coder", F.col("label").alias("event_type"))
 
 
 VOTES_SQL = "votes AS (SELECT item, coder, event_type FROM (SELECT event_id % 997 AS item, user_id % 5 AS coder, event_type, row_number() OVER (PARTITION BY event_id % 997, user_id % 5 ORDER BY event_id) AS k FROM {events}) AS t WHERE k = 1)"
@@ -186,8 +187,8 @@ put("agreement_levels", agreement_levels, f"WITH {VOTES_SQL}, {TOP_SQL} SELECT C
 
 
 def panel_votes(spark, sf_dir):
-    """AG-18: each coder as a family; its panel is the others."""
-    v = votes(spark, sf_dir).withColumn("family", F.col("coder").cast("string")).select("item", "event_type", "family")
+    """AG-18: coders in five families; a family's panel is the coders of the others."""
+    v = votes(spark, sf_dir).withColumn("family", (F.col("coder") % 5).cast("string")).select("item", "event_type", "family")
     return judging.panels(v, v.select("family").distinct(), ["item"], "event_type", 3).where("label IS NOT NULL").groupBy("panel", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
