@@ -108,6 +108,15 @@ def rank_bootstrap(scores: DataFrame, draws: int, seed: int) -> DataFrame:
     return overall.withColumn("rank", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("overall"), "model")))
 
 
+def behind_leader(drawn: DataFrame, scores: DataFrame) -> DataFrame:
+    """ST-18: drawn with diff (observed composite of the observed leader less the model's) and drawn_diff (the same within each resample)."""
+    seen = scores.groupBy("model", "task").agg(F.avg("score").alias("mean")).groupBy("model").agg(F.avg("mean").alias("seen"))
+    leader = seen.orderBy(F.desc("seen"), "model").limit(1).select(F.col("model").alias("leader"), F.col("seen").alias("best"))
+    own = F.broadcast(seen.crossJoin(leader).select("model", "leader", (F.col("best") - F.col("seen")).alias("diff")))
+    lead = F.max(F.when(F.col("model") == F.col("leader"), F.col("overall"))).over(Window.partitionBy("b"))
+    return drawn.join(own, "model").withColumn("drawn_diff", lead - F.col("overall")).drop("leader")
+
+
 def floor_quantile(x: str, p: float):
     """WN-15: the value at index floor(p (n - 1)), no interpolation."""
     s = F.array_sort(F.collect_list(x))

@@ -286,18 +286,28 @@ put(
 BOOT = f"""WITH @FACT, it AS (SELECT DISTINCT task, item FROM item_score), pl AS (SELECT task, item, row_number() OVER (PARTITION BY task ORDER BY item) - 1 AS pos, count(*) OVER (PARTITION BY task) AS n FROM it),
 cells AS (SELECT pl.*, b FROM pl, (SELECT unnest(range(0, {{draws}})) AS b)), drawn AS (SELECT c.b, c.task, pl.item FROM {judging.RESAMPLE_SQL} c JOIN pl ON pl.task = c.task AND pl.pos = c.pick),
 pt AS (SELECT b, model, d.task, avg(score) AS mean FROM drawn d JOIN item_score s ON s.task = d.task AND s.item = d.item GROUP BY ALL), ov AS (SELECT b, model, avg(mean) AS overall FROM pt GROUP BY ALL)"""
+#: Draws of the SQL twins alone; the queries take the reference's numbers.
 DRAWS = 100
+RANK_DRAWS, CI_DRAWS = 1000, 2000
 
 
-def boot(spark, sf_dir):
-    s = item_scores(fact(spark, sf_dir)).select("model", "item", "task", "score")
-    return judging.rank_bootstrap(s, DRAWS, 3)
+def boot_scores(spark, sf_dir):
+    return item_scores(fact(spark, sf_dir)).select("model", "item", "task", "score")
 
 
 def rank_bootstrap(spark, sf_dir):
-    """ST-18: chance of rank 1, median rank, rank interval by floor index."""
-    g = boot(spark, sf_dir).groupBy("model")
-    return g.agg(F.round(F.avg((F.col("rank") == 1).cast("int")), 6).alias("p_first"), F.percentile("rank", 0.5).alias("median_rank"), judging.floor_quantile("rank", 0.025).cast("long").alias("lo"), judging.floor_quantile("rank", 0.975).cast("long").alias("hi"))
+    """ST-18: chance of rank 1, median rank, rank interval, difference to the observed leader and its interval, by floor index."""
+    s = boot_scores(spark, sf_dir)
+    g = judging.behind_leader(judging.rank_bootstrap(s, RANK_DRAWS, 3), s).groupBy("model")
+    return g.agg(
+        F.round(F.avg((F.col("rank") == 1).cast("int")), 6).alias("p_first"),
+        F.percentile("rank", 0.5).alias("median_rank"),
+        judging.floor_quantile("rank", 0.025).cast("long").alias("lo"),
+        judging.floor_quantile("rank", 0.975).cast("long").alias("hi"),
+        F.round(F.first("diff"), 6).alias("diff"),
+        F.round(judging.floor_quantile("drawn_diff", 0.025), 6).alias("diff_lo"),
+        F.round(judging.floor_quantile("drawn_diff", 0.975), 6).alias("diff_hi"),
+    )
 
 
 def _boot_sql(tail):
@@ -313,7 +323,8 @@ put(
 
 def stratified_bootstrap_ci(spark, sf_dir):
     """ST-17: interval of the composite by linear percentiles."""
-    return boot(spark, sf_dir).groupBy("model").agg(F.round(F.percentile("overall", 0.025), 6).alias("lo"), F.round(F.percentile("overall", 0.975), 6).alias("hi"))
+    drawn = judging.rank_bootstrap(boot_scores(spark, sf_dir), CI_DRAWS, 3)
+    return drawn.groupBy("model").agg(F.round(F.percentile("overall", 0.025), 6).alias("lo"), F.round(F.percentile("overall", 0.975), 6).alias("hi"))
 
 
 put("stratified_bootstrap_ci", stratified_bootstrap_ci, _boot_sql(" SELECT model, round(quantile_cont(overall, 0.025), 6) AS lo, round(quantile_cont(overall, 0.975), 6) AS hi FROM ov GROUP BY model"))

@@ -54,3 +54,64 @@ def test_alpha_of_every_event(spark, level):
     total = sum(n.values())
     got = analytics.QUERIES[f"krippendorff_{level}"](spark, SF).first()
     assert got.n_pairable == total and got.alpha == pytest.approx(1 - (total - 1) * d_o / d_e, abs=1e-7)
+
+
+def item_scores():
+    """Scores by task, item and model."""
+    from gaugeworks.plans.dual import FACT
+
+    sql = f"WITH {FACT} SELECT task, item, model, score FROM item_score".replace("{lineitem}", f"'{SF}/lineitem.parquet'")
+    return {(t, i, m): s for t, i, m, s in duckdb.sql(sql).fetchall()}
+
+
+def composites(draws, seed):
+    """By model the composite of each task-stratified resample, drawn by the whole-number hash; b = None takes all items once."""
+    import numpy as np
+
+    scores, big = item_scores(), 2147483647
+    models = sorted({m for _, _, m in scores})
+    tasks = sorted({t for t, _, _ in scores})
+    items = {t: sorted({i for u, i, _ in scores if u == t}) for t in tasks}
+    held = {t: np.array([[scores.get((t, i, m), np.nan) for i in items[t]] for m in models]) for t in tasks}
+
+    def overall(b):
+        means = []
+        for t in tasks:
+            n, pick = len(items[t]), []
+            for pos in range(n):
+                x = (b * 7919 + pos * 104729 + t * 1299709 + seed * 15485863) % big if b is not None else 0
+                x = (x * x + 48271 * x + 12345) % big
+                pick.append((x * x + 69621 * x + 12345) % big % n if b is not None else pos)
+            means.append(np.nanmean(held[t][:, pick], axis=1))
+        return np.mean(means, axis=0)
+
+    return models, overall(None), np.array([overall(b) for b in range(draws)])
+
+
+@tables
+def test_rank_bootstrap_has_1000_draws_and_differences(spark):
+    import numpy as np
+
+    models, seen, drawn = composites(1000, 3)
+    ranks = np.argsort(np.argsort(-drawn, axis=1, kind="stable"), axis=1) + 1
+    leader = int(np.argmax(seen))
+    diffs = np.sort(drawn[:, [leader]] - drawn, axis=0)
+    got = {r.model: r for r in analytics.rank_bootstrap(spark, SF).collect()}
+    assert sorted(got) == models
+    for k, m in enumerate(models):
+        r, own = got[m], np.sort(ranks[:, k])
+        assert (r.median_rank, r.lo, r.hi) == (np.median(own), own[24], own[974])
+        want = ((own == 1).mean(), seen[leader] - seen[k], diffs[24, k], diffs[974, k])
+        assert (r.p_first, r.diff, r.diff_lo, r.diff_hi) == pytest.approx(want, abs=2e-6)
+
+
+@tables
+def test_stratified_ci_has_2000_draws(spark):
+    import numpy as np
+
+    models, _, drawn = composites(2000, 3)
+    lo, hi = np.quantile(drawn, [0.025, 0.975], axis=0)
+    got = {r.model: (r.lo, r.hi) for r in analytics.stratified_bootstrap_ci(spark, SF).collect()}
+    assert sorted(got) == models
+    for k, m in enumerate(models):
+        assert got[m] == pytest.approx((lo[k], hi[k]), abs=2e-6)
