@@ -331,8 +331,8 @@ put("stratified_bootstrap_ci", stratified_bootstrap_ci, _boot_sql(" SELECT model
 
 
 def bootstrap_ci(spark, sf_dir):
-    """ST-3: interval of a model's task means, the draws of a seeded generator."""
-    return judging.seeded_bootstrap_ci(task_scores(item_scores(fact(spark, sf_dir))), ["model"], "mean", "task", 500)
+    """ST-3: interval of a model's item scores in each task, the draws of a seeded generator."""
+    return judging.seeded_bootstrap_ci(item_scores(fact(spark, sf_dir)), ["model", "task"], "score", "item")
 
 
 put("bootstrap_ci", bootstrap_ci)

@@ -115,3 +115,20 @@ def test_stratified_ci_has_2000_draws(spark):
     assert sorted(got) == models
     for k, m in enumerate(models):
         assert got[m] == pytest.approx((lo[k], hi[k]), abs=2e-6)
+
+
+@tables
+def test_bootstrap_ci_resamples_items_of_a_task(spark):
+    import random
+
+    import numpy as np
+
+    own = {}
+    for (t, _, m), v in sorted(item_scores().items()):
+        own.setdefault((m, t), []).append(v)
+    got = {(r.model, r.task): (r.mean, r.lo, r.hi) for r in analytics.bootstrap_ci(spark, SF).collect()}
+    assert sorted(got) == sorted(own)
+    for key, x in own.items():
+        rng, n = random.Random(1), len(x)
+        means = [sum(x[rng.randrange(n)] for _ in range(n)) / n for _ in range(2000)]
+        assert got[key] == pytest.approx((sum(x) / n, *(np.quantile(means, [0.025, 0.975]) if n > 1 else (x[0], x[0]))), abs=1e-9)
