@@ -149,6 +149,52 @@ def fix_point_reach(edges: DataFrame, roots: DataFrame, limit: int = 50) -> Data
     return seen
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
+def jaccard_pairs(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b, jaccard: pairs a < b of a Jaccard of num / den or more. sets: node, w (distinct, not empty).
+
+    Words are ordered by how many sets have them, rare ones first. Two sets that link share a word among the first of both
+    (prefix); the words they share are at most those counted there and the rest of the set whose prefix ends first."""
+    least = F.floor((num * F.col("n") + den - 1) / den).cast("int")
+    words = sets.select("node", F.size("w").alias("n"), F.explode("w").alias("t"))
+    often = words.groupBy("t").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    own = words.join(often, "t").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("o"))
+    own = own.withColumn("rest", least - 1).withColumn("k", F.size("o") - F.col("rest")).where("k > 0").withColumn("o", F.slice("o", F.lit(1), F.col("k")))
+    own = own.withColumn("last", F.element_at("o", -1)).select("node", "n", "rest", F.col("last.f").alias("lf"), F.col("last.t").alias("lt"), F.explode(F.transform("o", lambda x: x.t)).alias("t"))
+    a, b = (own.select("t", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "rest", "lf", "lt")]) for s in "ab")
+    first = (F.col("lf_a") < F.col("lf_b")) | ((F.col("lf_a") == F.col("lf_b")) & (F.col("lt_a") <= F.col("lt_b")))
+    need = F.floor((num * (F.col("n_a") + F.col("n_b")) + num + den - 1) / (num + den))
+    pairs = a.join(b, "t").where((F.col("node_a") < F.col("node_b")) & (den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b")))
+    pairs = pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), (need - F.when(first, F.col("rest_a")).otherwise(F.col("rest_b"))).cast("int").alias("least"))
+    pairs = pairs.groupBy("a", "b", "least").agg(F.count(F.lit(1)).alias("c")).where("c >= least")
+    both = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("w").alias("wa")), "a").join(sets.select(F.col("node").alias("b"), F.col("w").alias("wb")), "b")
+    both = both.select("a", "b", F.size(F.array_intersect("wa", "wb")).alias("c"), (F.size("wa") + F.size("wb")).alias("n")).where(F.col("c") * (num + den) >= num * F.col("n"))
+    return both.select("a", "b", (F.col("c") / (F.col("n") - F.col("c"))).alias("jaccard"))
+
+
+def first_match_groups(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """JN-22: id, first, jaccard: in order of id, a row joins the earliest group whose first row has a Jaccard of num / den or more with it, else it begins a group.
+
+    sets: id, w (distinct, in order); rows without words are alone, their jaccard null. Equal sets are one node. A round settles
+    all nodes without an undecided smaller neighbour: they begin groups, and their neighbours cannot."""
+    rows = _kept(sets.withColumn("key", F.sha2(F.array_join(F.transform("w", lambda x: x.cast("string")), " "), 256)))
+    nodes = _kept(rows.where(F.size("w") > 0).groupBy("key").agg(F.min("id").alias("node"), F.first("w").alias("w")))
+    edges = _kept(jaccard_pairs(nodes.select("node", "w"), num, den))
+    left, members = edges.select("a", "b"), edges.select("b").limit(0)
+    while not left.isEmpty():
+        heads = left.select("a").join(left.select(F.col("b").alias("a")), "a", "left_anti").distinct()
+        out = _kept(left.join(heads, "a", "left_semi").select("b").distinct())
+        members = members.union(out)
+        left = _kept(left.join(out, "b", "left_anti").join(out.select(F.col("b").alias("a")), "a", "left_anti").select("a", "b"))
+    joins = edges.join(members.select(F.col("b").alias("a")), "a", "left_anti").groupBy("b").agg(F.min("a").alias("first"), F.min_by("jaccard", "a").alias("jaccard"))
+    named = nodes.select("key", "node").join(joins.withColumnRenamed("b", "node"), "node", "left")
+    named = named.select("key", F.coalesce("first", "node").alias("first"), F.coalesce("jaccard", F.lit(1.0)).alias("jaccard"))
+    return rows.select("id", "key").join(named, "key", "left").select("id", F.coalesce("first", "id").alias("first"), "jaccard")
+
+
 def gate(cites: DataFrame, entries: DataFrame) -> DataFrame:
     """JN-20: key and state: ok, unverified, unknown (cited, no entry), unused (entry, not cited). entries: key, verified."""
     both = cites.select("key", F.lit(True).alias("cited")).distinct().join(entries.select("key", "verified"), "key", "full_outer")

@@ -79,12 +79,10 @@ put("verbatim_overlap", verbatim_overlap, "SELECT doc_id, item_id FROM {document
 
 
 def jaccard_dedupe(spark, sf_dir):
-    """JN-22: turns of one conversation alike in their words, Jaccard 0.1 or more, by an inverted index on shared words."""
-    w = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_distinct(F.transform(text.words("text"), F.lower)).alias("w")).withColumn("n", F.size("w"))
-    t = w.select("conv_id", "turn", "n", F.explode("w").alias("t"))
-    a, b = t.select("conv_id", "t", F.col("turn").alias("a"), F.col("n").alias("na")), t.select("conv_id", "t", F.col("turn").alias("b"), F.col("n").alias("nb"))
-    p = a.join(b, ["conv_id", "t"]).where("a < b AND 100 * least(na, nb) >= 10 * greatest(na, nb)").groupBy("conv_id", "a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
-    return p.withColumn("jaccard", F.round(F.col("c") / (F.col("na") + F.col("nb") - F.col("c")), 6)).where("jaccard >= 0.1").select("conv_id", "a", "b", "jaccard")
+    """JN-22: documents grouped by their words: the first document of the earliest group alike by a Jaccard of 0.35 or more."""
+    w = F.array_sort(F.array_distinct(F.transform(text.words("text"), lambda x: F.xxhash64(F.lower(x)))))
+    groups = relational.first_match_groups(docs(spark, sf_dir).select(F.col("doc_id").alias("id"), w.alias("w")), 35, 100)
+    return groups.select(F.col("id").alias("doc_id"), F.col("first").alias("group_id"), F.round("jaccard", 6).alias("jaccard"))
 
 
 put(

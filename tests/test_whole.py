@@ -5,7 +5,8 @@ import os
 import duckdb
 import pytest
 
-from gaugeworks.plans import analytics
+from gaugeworks.operators import relational
+from gaugeworks.plans import analytics, texts
 
 SF = "/root/testdata/sf0.001"
 tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -132,3 +133,39 @@ def test_bootstrap_ci_resamples_items_of_a_task(spark):
         rng, n = random.Random(1), len(x)
         means = [sum(x[rng.randrange(n)] for _ in range(n)) / n for _ in range(2000)]
         assert got[key] == pytest.approx((sum(x) / n, *(np.quantile(means, [0.025, 0.975]) if n > 1 else (x[0], x[0]))), abs=1e-9)
+
+
+def greedy(sets):
+    """First-match groups row by row. sets: (id, words)."""
+    firsts, out = [], []
+    for i, w in sorted(sets, key=lambda x: x[0]):
+        found = next(((f, len(w & v) / len(w | v)) for f, v in firsts if w and 100 * len(w & v) >= 35 * len(w | v)), None)
+        if found is None:
+            firsts += [(i, w)] if w else []
+            found = (i, 1.0 if w else None)
+        out.append((i, *found))
+    return out
+
+
+def test_first_match_groups(spark):
+    import random
+
+    rnd = random.Random(5)
+    sets = [(k, frozenset(rnd.sample(range(14), rnd.randint(0, 8)))) for k in range(150)]
+    # 1 is like 0 and 2 is like 1 alone: 2 begins a group; 7 of 20 words is 0.35
+    sets += [(200, frozenset(range(100, 110))), (201, frozenset(range(105, 115))), (202, frozenset(range(111, 119))), (203, frozenset(range(300, 320))), (204, frozenset(range(300, 307)))]
+    df = spark.createDataFrame([(i, sorted(w)) for i, w in sets], "id long, w array<long>").repartition(3)
+    assert sorted(map(tuple, relational.first_match_groups(df, 35, 100).collect())) == greedy(sets)
+
+
+@tables
+def test_jaccard_dedupe_groups_all_documents(spark):
+    import re
+
+    word = re.compile(r"[0-9A-Za-zÀ-ÿ]+(?:[-'][0-9A-Za-zÀ-ÿ]+)*")
+    found = duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall()
+    want = [(i, f, None if j is None else round(j, 6)) for i, f, j in greedy([(i, frozenset(x.lower() for x in word.findall(t or ""))) for i, t in found])]
+    got = sorted(tuple(r) for r in texts.jaccard_dedupe(spark, SF).select("doc_id", "group_id", "jaccard").collect())
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert [x[2] for x in got] == pytest.approx([x[2] for x in want], abs=2e-6)
+    assert len({g for _, g, _ in got}) < len(got)
