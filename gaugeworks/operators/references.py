@@ -1,4 +1,4 @@
-"""Bibliographic matching: blocked best match, credit, multi-source status, audit roll-up (JN-18, FN-33 to FN-35, PRJ-16, AG-9)."""
+"""Bibliographic matching: best match, credit, multi-source status, audit roll-up (JN-18, FN-33 to FN-35, PRJ-16, AG-9)."""
 
 from __future__ import annotations
 
@@ -8,11 +8,34 @@ from pyspark.sql import functions as F
 from gaugeworks.functions.text import fold, surname, title_similarity
 
 
-def blocking_keys(title):
-    """Keys of which a true match shares one: the first two and the last two folded words, and the longest."""
-    w = F.split(fold(title), " ")
-    longest = F.array_sort(w, lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
-    return F.array_distinct(F.array(F.concat(F.lit("f:"), F.array_join(F.slice(w, 1, 2), " ")), F.concat(F.lit("l:"), F.array_join(F.slice(F.reverse(w), 1, 2), " ")), F.concat(F.lit("w:"), F.element_at(longest, 1))))
+ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789 "
+
+
+def _views(titles: DataFrame, t: str) -> DataFrame:
+    """Column t, kind, f, n, counts: the folded title (kind 0) and its part before a colon if of 15 characters (kind 1), length, characters."""
+    both = titles.select(t).distinct().select(t, F.posexplode(F.array(fold(t), fold(F.substring_index(t, ":", 1)))).alias("kind", "f"))
+    both = both.withColumn("n", F.length("f")).where("n > 0 AND (kind = 0 OR n >= 15)")
+    return both.withColumn("counts", F.array(*[F.length("f") - F.length(F.replace("f", F.lit(x), F.lit(""))) for x in ALPHABET])).drop("f")
+
+
+def alike_titles(seeds: DataFrame, candidates: DataFrame, least: float, on: list[str]) -> DataFrame:
+    """st, ct, similarity: the distinct pairs of titles st of seeds and ct of candidates, equal in `on`, of a similarity of `least` or more.
+
+    A ratio is at most that of the characters in common, at any place, and of the shorter length; pairs below `least` by
+    these are not compared. Without `on` a title meets only those of a length that can reach it."""
+    a = seeds.select("st", *on).distinct().join(_views(seeds, "st").withColumnsRenamed({"n": "na", "counts": "ca"}), "st")
+    b = candidates.select("ct", *on).distinct().join(_views(candidates, "ct").withColumnsRenamed({"n": "nb", "counts": "cb"}), "ct")
+    if not on:
+        lo, hi = F.floor(F.col("na") * least / (2 - least)), F.ceil(F.col("na") * (2 - least) / least)
+        a = a.withColumn("nb", F.explode(F.sequence(lo.cast("int"), hi.cast("int"))))
+    bound = lambda m: 2.0 * m / (F.col("na") + F.col("nb")) >= least
+    if on:
+        pairs = a.join(b, [*on, "kind"]).where(bound(F.least("na", "nb")))
+    else:
+        pairs = a.join(b, ["kind", "nb"])
+    shared = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.least(x, y)), F.lit(0), lambda n, x: n + x)
+    pairs = pairs.where(bound(shared)).select("st", "ct").distinct()
+    return pairs.withColumn("similarity", title_similarity("st", "ct")).where(F.col("similarity") >= least)
 
 
 def best_match(seeds: DataFrame, candidates: DataFrame, least: float = 0.9, strict: float = 0.95) -> DataFrame:
@@ -20,18 +43,16 @@ def best_match(seeds: DataFrame, candidates: DataFrame, least: float = 0.9, stri
 
     seeds: seed, title, year, author. candidates: pos, title, years, authors, source. A match needs `least`, or `strict` and a
     title of 40 characters where the first author differs (never for preprints), and any year within one of the seed's.
-    Only pairs that share a blocking key are compared."""
-    s = seeds.select("seed", F.col("title").alias("st"), "year", "author", F.explode(blocking_keys("title")).alias("k"))
-    c = candidates.select("pos", F.col("title").alias("ct"), "years", "authors", "source", F.explode(blocking_keys("title")).alias("k"))
+    Pairs of titles repeat, so each is compared once, if it can be alike enough."""
+    s = seeds.select("seed", F.col("title").alias("st"), "year", surname("author").alias("by"))
+    c = candidates.select("pos", F.col("title").alias("ct"), "years", surname(F.get("authors", F.lit(0))).alias("by"), "source")
+    same = s.join(alike_titles(s, c, least, ["by"]), "st").join(c, ["ct", "by"])
+    long, other = s.where(F.length("st") >= 40), c.where("source <> 'arxiv'").drop("by")
+    free = long.join(alike_titles(long, other, max(least, strict), []), "st").join(other, "ct")
     near = F.col("year").isNull() | (F.size("years") == 0) | F.exists("years", lambda y: F.abs(y - F.col("year")) <= 1)
-    pairs = s.join(c, "k").where(near).dropDuplicates(["seed", "source", "pos"])
-    # titles repeat, so each pair of titles is compared once
-    alike = pairs.select("st", "ct").distinct().withColumn("similarity", title_similarity("st", "ct"))
-    pairs = pairs.join(alike, ["st", "ct"])
-    same = F.coalesce(surname("author") == surname(F.get("authors", F.lit(0))), F.lit(False))
-    ok = (F.col("similarity") >= least) & (same | ((F.col("similarity") >= strict) & (F.length("st") >= 40) & (F.col("source") != "arxiv")))
+    pairs = same.select("seed", "source", "pos", "similarity", "year", "years").unionByName(free.select("seed", "source", "pos", "similarity", "year", "years")).where(near)
     w = Window.partitionBy("seed", "source").orderBy(F.desc("similarity"), "pos")
-    return pairs.where(ok).withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select("seed", "source", "pos", "similarity")
+    return pairs.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select("seed", "source", "pos", "similarity")
 
 
 def credit(exists, doi_given, doi_right):

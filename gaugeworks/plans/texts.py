@@ -175,7 +175,7 @@ put("energy_segments", energy_segments)
 
 
 def title_similarity(spark, sf_dir):
-    """FN-31, JN-18: the best candidate for each part name among those of its brand and blocking key."""
+    """FN-31, JN-18: the best candidate for each part name among those of its brand."""
     p = table(spark, sf_dir, "part")
     seeds = p.groupBy("p_type", "p_name", "p_brand").agg(F.min("p_partkey").alias("seed"))
     seeds = seeds.select("seed", F.concat_ws(" ", "p_type", "p_name").alias("title"), F.lit(2020).alias("year"), F.col("p_brand").alias("author"))

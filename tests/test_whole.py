@@ -5,7 +5,8 @@ import os
 import duckdb
 import pytest
 
-from gaugeworks.operators import relational
+from gaugeworks.functions import text
+from gaugeworks.operators import references, relational
 from gaugeworks.plans import analytics, texts
 
 SF = "/root/testdata/sf0.001"
@@ -169,3 +170,53 @@ def test_jaccard_dedupe_groups_all_documents(spark):
     assert [x[:2] for x in got] == [x[:2] for x in want]
     assert [x[2] for x in got] == pytest.approx([x[2] for x in want], abs=2e-6)
     assert len({g for _, g, _ in got}) < len(got)
+
+
+@pytest.mark.parametrize("least, strict", [(0.9, 0.95), (0.6, 0.65)])
+def test_best_match_against_all_pairs(spark, least, strict):
+    import random
+    import string
+
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice(string.ascii_lowercase[:9]) for _ in range(rnd.randint(2, 9)))
+
+    def typos(t, n):
+        for _ in range(n):
+            k = rnd.randrange(len(t))
+            t = t[:k] + rnd.choice("abcxyz: ") + t[k + 1 :]
+        return t
+
+    titles = [" ".join(word() for _ in range(rnd.randint(1, 10))) for _ in range(25)] + ["A study of many things: " + word() for _ in range(5)]
+    # one typo near each end and one in the longest word: no first two, last two or longest words in common
+    titles.append("on the generalisation of incomprehensibilities in small models")
+    seeds = [(k, t, rnd.choice([None, 2019, 2020, 2024]), rnd.choice(["Ann Lee", "Bo Chu", None])) for k, t in enumerate(titles)]
+    found = [(t, rnd.choice([[2020], [2018, 2021], []]), rnd.choice([["Lee, A."], ["Bo Chu"], []]), rnd.choice(["arxiv", "x", "y"])) for u in titles for t in (u, typos(u, 1), typos(u, 4), typos(u, len(u) // 3))]
+    seeds.append((99, titles[-1], 2020, "Ann Lee"))
+    found.append(("in the generalisation of incomprehensibilitees in small modelz", [2020], ["Ann Lee"], "z"))
+    found = [(k, *f) for k, f in enumerate(found)]
+    last = lambda a: None if a is None else (a.split(",")[0].strip() if "," in a else a.split(" ")[-1]).lower()
+    want = {}
+    for seed, st, year, author in seeds:
+        for pos, ct, years, authors, source in found:
+            r = text.similarity(st, ct)
+            same = bool(author and authors) and last(author) == last(authors[0])
+            ok = r >= least and (same or (r >= strict and len(st) >= 40 and source != "arxiv"))
+            if ok and (year is None or not years or any(abs(y - year) <= 1 for y in years)) and r > want.get((seed, source), (0, 0))[1]:
+                want[seed, source] = (pos, r)
+    s = spark.createDataFrame(seeds, "seed int, title string, year int, author string")
+    c = spark.createDataFrame(found, "pos int, title string, years array<int>, authors array<string>, source string")
+    got = {(r.seed, r.source): (r.pos, r.similarity) for r in references.best_match(s, c, least, strict).collect()}
+    assert got == want and (99, "z") in got
+
+
+@tables
+def test_title_similarity_against_all_pairs_of_a_brand(spark):
+    sql = f"""SELECT s.seed, c.pos, st, ct FROM (SELECT min(p_partkey) AS seed, p_type || ' ' || p_name AS st, p_brand FROM '{SF}/part.parquet' GROUP BY p_type, p_name, p_brand) s
+JOIN (SELECT min(p_partkey) AS pos, p_name AS ct, p_brand FROM '{SF}/part.parquet' GROUP BY p_name, p_brand) c USING (p_brand) ORDER BY 1, 2"""
+    want = {}
+    for seed, pos, st, ct in duckdb.sql(sql).fetchall():
+        r = text.similarity(st, ct)
+        if r >= 0.6 and r > want.get(seed, (0, 0))[1]:
+            want[seed] = (pos, r)
+    got = {r.seed: (r.pos, r.similarity) for r in texts.title_similarity(spark, SF).collect()}
+    assert got == {k: (p, pytest.approx(r, abs=1e-6)) for k, (p, r) in want.items()}
