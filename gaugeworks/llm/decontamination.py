@@ -116,7 +116,7 @@ def search(phrases: Phrases, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndar
             spans[d][-1] = (spans[d][-1][0], max(b, spans[d][-1][1]))
         else:
             spans[d].append((a, b))
-    return np.diff(begin), spans, [sorted(phrases.items[k] for k in x) for x in items]
+    return np.diff(begin), spans, [sorted({phrases.items[k] for k in x}) for x in items]
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -68,3 +68,10 @@ def test_empty(spark):
     assert [(r.n_words, r.spans) for r in find(d, none).collect()] == [(3, [])]
     assert drop_contaminated(d, none).count() == 1
     assert find(d.limit(0), none).count() == 0
+
+
+def test_repeated_item_counts_once_in_one_pass(spark):
+    d = spark.createDataFrame([(1, "a b c d e and f g h i j")], "doc_id long, text string")
+    b = spark.createDataFrame([(7, "a b c d e"), (7, "a b c d e"), (7, "f g h i j"), (8, "a b c d e")], "item_id long, text string")
+    for block in (1 << 20, 8):
+        assert [r["items"] for r in find(d, b, 5, block_bytes=block).collect()] == [["7", "8"]]
