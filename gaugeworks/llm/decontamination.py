@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +29,9 @@ def hashed_words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
 class Phrases:
     """Distinct windows by length, each length with an alphabet of its own words, and the items that hold each window."""
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int):
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int):
         by_size: dict[int, dict[bytes, set[int]]] = defaultdict(lambda: defaultdict(set))
-        self.items = [str(i) for i, _ in items]
+        self.items = [None if i is None else str(i) for i, _ in items]
         buf, offs = packed(pa.array([t for _, t in items], pa.string()))
         h, first = hashed_words(buf, offs)
         for k in range(len(items)):
@@ -45,6 +46,11 @@ class Phrases:
             self.sizes.append((size, alphabet, codes.reshape(rows.shape) + 1, [sorted(x) for x in windows.values()]))
 
 
+def in_order(items: Iterable[str | None]) -> list[str | None]:
+    """Distinct items, the one for all without an id last."""
+    return sorted({*items}, key=lambda i: (i is None, i or ""))
+
+
 class Shard:
     """Stretches of one phrase length's own words, collected from documents until they are indexed.
 
@@ -83,7 +89,7 @@ class Shard:
         return place, np.repeat(np.arange(len(lo)), count)
 
 
-def search(phrases: Phrases, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[list[str]]]:
+def search(phrases: Phrases, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[list[str | None]]]:
     """For each packed document: its number of words, merged spans of hit words, items with occurring windows."""
     n = len(offs) - 1
     shards = [Shard(*x) for x in phrases.sizes]
@@ -116,7 +122,7 @@ def search(phrases: Phrases, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndar
             spans[d][-1] = (spans[d][-1][0], max(b, spans[d][-1][1]))
         else:
             spans[d].append((a, b))
-    return np.diff(begin), spans, [sorted({phrases.items[k] for k in x}) for x in items]
+    return np.diff(begin), spans, [in_order(phrases.items[k] for k in x) for x in items]
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -131,12 +137,12 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def phrase_blocks(benchmark: DataFrame, window: int, item_col: str, text_col: str, block_bytes: int):
     """The benchmark in passes of bounded size, split by a hash of the item; one pass for the usual test sets."""
-    rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("item IS NOT NULL")
+    rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = 1 + total // block_bytes
     for k in range(parts):
         own = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k) if parts > 1 else rows
-        yield Phrases(sorted((r.item, r.text or "") for r in own.collect()), window)
+        yield Phrases(sorted(((r.item, r.text or "") for r in own.collect()), key=lambda r: (r[0] is None, r[0] or "", r[1])), window)
 
 
 _FOUND = "n_words long, spans array<struct<start:int,stop:int>>, items array<string>"
@@ -152,7 +158,8 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: st
     """id_col, n_words, spans (merged runs of hit words, [start, stop) in words), items (ids of items with an occurring window), for each row of docs.
 
     A window is `window` consecutive words of an item, or all of a shorter item that has words. Null and empty texts have
-    no words and no hits; items without words have no windows; repeated items count once. No row is dropped; other columns are not read.
+    no words and no hits; items without words have no windows; repeated items count once, and so do all items with a null id,
+    as one null at the end of items. No row is dropped; other columns are not read.
     """
     bounded(docs.sparkSession)
     out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -166,7 +173,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: st
                 if k:
                     both = [[*x, *y] for x, y in zip(b.column(3).to_pylist(), found[1].to_pylist())]
                     found[1] = pa.array([[{"start": a, "stop": z} for a, z in merge_spans([(s["start"], s["stop"]) for s in x])] for x in both], found[1].type)
-                    found[2] = pa.array([sorted({*x, *y}) for x, y in zip(b.column(4).to_pylist(), found[2].to_pylist())], found[2].type)
+                    found[2] = pa.array([in_order([*x, *y]) for x, y in zip(b.column(4).to_pylist(), found[2].to_pylist())], found[2].type)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *found], names)
 
         out = out.mapInArrow(lean(run), f"id long, text string, {_FOUND}")

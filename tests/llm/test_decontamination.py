@@ -75,3 +75,26 @@ def test_repeated_item_counts_once_in_one_pass(spark):
     b = spark.createDataFrame([(7, "a b c d e"), (7, "a b c d e"), (7, "f g h i j"), (8, "a b c d e")], "item_id long, text string")
     for block in (1 << 20, 8):
         assert [r["items"] for r in find(d, b, 5, block_bytes=block).collect()] == [["7", "8"]]
+
+
+def test_items_without_an_id_hit_as_in_sql(spark):
+    import duckdb
+
+    from gaugeworks.llm import entries
+
+    rows = {1: "a b c d e " * 4, 2: "z " * 9 + "f g h i j k l m n o p q r", 3: "nothing of it", 4: "f g h i j k l m n o p q r a b c d e"}
+    items = [(None, "a b c d e"), (None, "a b c d e"), (7, "f g h i j k l m n o p q r"), (None, None)]
+    d = spark.createDataFrame(sorted(rows.items()), "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR); CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", sorted(rows.items()))
+    con.executemany("INSERT INTO benchmark VALUES (?, ?)", items)
+    cur = con.execute(entries.OP2_SQL)
+    at = [[c[0] for c in cur.description].index(k) for k in ("doc_id", "n_words", "n_hit", "n_items", "contaminated")]
+    want = sorted(tuple(r[k] for k in at) for r in cur.fetchall())
+    for block in (1 << 20, 8):
+        out = verdict(find(d, b, block_bytes=block)).collect()
+        assert sorted((r.doc_id, r.n_words, r.n_hit, len(r["items"]), r.contaminated) for r in out) == want
+        assert {r.doc_id: r["items"] for r in out} == {1: [None], 2: ["7"], 3: [], 4: ["7", None]}
+        assert [r.doc_id for r in drop_contaminated(d, b, block_bytes=block).collect()] == [3]
