@@ -1,4 +1,4 @@
-"""Bibliographic matching: best match, credit, multi-source status, audit roll-up (JN-18, FN-33 to FN-35, PRJ-16, AG-9)."""
+"""Bibliographic matching: best match, credit, multi-source status, audit roll-up (JN-18, FN-34, PRJ-16, AG-9)."""
 
 from __future__ import annotations
 

@@ -220,3 +220,11 @@ JOIN (SELECT min(p_partkey) AS pos, p_name AS ct, p_brand FROM '{SF}/part.parque
             want[seed] = (pos, r)
     got = {r.seed: (r.pos, r.similarity) for r in texts.title_similarity(spark, SF).collect()}
     assert got == {k: (p, pytest.approx(r, abs=1e-6)) for k, (p, r) in want.items()}
+
+
+def test_what_is_not_built_is_named():
+    with open(os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "README.md"), encoding="utf-8") as f:
+        left_out = f.read().split("What is left out:")[1].split("\n\n")[0]
+    for label in ("FN-17", "FN-18", "FN-33", "FN-35", "FN-43", "FN-45", "FN-46", "ST-4", "AG-24"):
+        assert f"({label}" in left_out
+    assert "FN-33" not in references.__doc__ and "FN-1 to FN-47" not in text.__doc__
