@@ -40,8 +40,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian uint32), decoded_sha256."""
-    spec = entries.word_bpe()
-    out = bpe.bpe_decode(bpe.bpe_encode(docs, spec), spec)
+    out = bpe.bpe_round_trip(docs, entries.word_bpe())
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
 
 

@@ -6,13 +6,17 @@ have the same tokens moves left only when a merge (u, v) joins across it in one
 right of it afterwards begins with u in both. So the next merge (u', v') to move it has a later place in the list and a v'
 that begins with u. The largest sum of such lengths over the list is the bound, found in one pass over the merges.
 
-Only the stretch behind the last stable token is kept, so memory is constant however long a word is.
+Text goes through a transducer piece by piece: what it holds is the open end of the text, up to a place that later text
+cannot change, and of a long word only the stretch behind the last stable token. The end of a word makes its tokens stable.
+Memory is constant however long a text or a word is (only a run of combining marks is held whole, as its normal form orders
+them all). Closed words of several texts go through the merges side by side.
 """
 
 from __future__ import annotations
 
 import codecs
 import heapq
+import itertools
 import json
 from collections.abc import Iterable, Iterator
 
@@ -20,14 +24,15 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from unicodedata import normalize
+from unicodedata import combining, decomposition, normalize
 
 from gaugeworks.llm.common import bounded, lean, packed
 
 CACHE = 1 << 17
-BLOCK = 1 << 18
+BLOCK = 1 << 16
+#: Characters of an open word that tell how it goes on; no split pattern looks back further.
+TAIL = 64
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-_space = regex.compile(f"[{SPACE}]")
 
 
 def byte_chars() -> list[str]:
@@ -163,22 +168,10 @@ class Tokenizer:
 
     def stream(self, data: Iterable[int]) -> Iterator[int]:
         """Tokens of one word, given as bytes, each emitted once no later byte can change it."""
-        held: list[int] = []
-        last = None
+        word = OpenWord(self)
         for byte in data:
-            if last is not None and self.inner[last] is not None:
-                held.append(self.inner[last])
-            last = byte
-            if len(held) >= self.keep:
-                tokens, stable, used = self.merge(held), 0, 0
-                while used + self.width(tokens[stable]) <= len(held) - self.lookahead:
-                    used += self.width(tokens[stable])
-                    stable += 1
-                yield from tokens[:stable]
-                held = held[used:]
-        if last is not None and self.final[last] is not None:
-            held.append(self.final[last])
-        yield from self.merge(held)
+            yield from word.feed((byte,))
+        yield from word.close()
 
     def width(self, token: int) -> int:
         return len(self.text_of[token]) - (len(self.suffix) if self.suffix and self.text_of[token].endswith(self.suffix) else 0)
@@ -193,17 +186,6 @@ class Tokenizer:
             ids = self.stream(data)
         return np.fromiter(ids, "<u4").tobytes()
 
-    def blocks(self, text: str) -> Iterator[str]:
-        """Pieces that end before white space, which no word or normalization crosses."""
-        a = 0
-        while len(text) - a > BLOCK:
-            m = _space.search(text, a + BLOCK)
-            if not m:
-                break
-            yield text[a : m.start()]
-            a = m.start()
-        yield text[a:]
-
     def words(self, pieces: list[str]) -> list[bytes]:
         """word() of many pieces at once: those of like length go through the merges side by side."""
         data = [p.encode() for p in pieces]
@@ -251,57 +233,159 @@ class Tokenizer:
         flat, ends = ids[kept].astype("<u4").tobytes(), np.cumsum(kept.sum(1)) * 4
         return (flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist()))
 
-    def pieces(self, block: str) -> list[str]:
+    def normal(self, text: str) -> str:
         if self.nfc:
-            block = normalize("NFC", block)
+            text = normalize("NFC", text)
         if self.lower:
-            block = block.replace("Σ", "σ").lower()  # by character: no final sigma
-        return self.splitter.findall(block)
+            text = text.replace("Σ", "σ").lower()  # by character: no final sigma
+        return text
 
-    def look_up(self, found: list[list[str]]) -> list[bytes]:
-        """Ids of each list of pieces; those not met yet are merged together."""
+    def look_up(self, found: list[list[str | bytes]]) -> list[bytes]:
+        """Ids of each list of closed words and of ids already; words not met yet are merged together."""
         cache = self.cache
         if len(cache) > CACHE:
             cache.clear()
-        new = [*{p for x in found for p in x}.difference(cache)]
+        new = [*{p for x in found for p in x if type(p) is str}.difference(cache)]
         cache.update(zip(new, self.words(new)))
-        return [b"".join(map(cache.__getitem__, x)) for x in found]
+        return [b"".join([cache[p] if type(p) is str else p for p in x]) for x in found]
 
-    def plain(self, text: str) -> Iterator[bytes]:
-        for block in self.blocks(text):
-            yield from self.look_up([self.pieces(block)])
+    def parts(self, text: str) -> Iterator[str | bytes]:
+        """Closed words of a text, and ids of its long words and special strings as they become stable."""
+        a = 0
+        for m in self.special_at.finditer(text) if self.special_at else ():
+            yield from self.plain(text[a : m.start()])
+            yield np.array([self.special[m[0]]], "<u4").tobytes()
+            a = m.end()
+        yield from self.plain(text[a:] if a else text)
+
+    def plain(self, text: str) -> Iterator[str | bytes]:
+        own = Transducer(self)
+        for a in range(0, max(len(text), 1), BLOCK):
+            yield from own.push(text[a : a + BLOCK], a + BLOCK >= len(text))
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        """encode() of many texts; short ones without special strings share their look-ups."""
+        """encode() of many texts, which share their look-ups."""
         out: list[bytes] = [b""] * len(texts)
-        wait, size = [], 0
+        wait: list[int] = []
+        found: list[list[str | bytes]] = []
+        size = 0
         for k, text in enumerate(texts):
             if not text:
                 continue
-            if len(text) > BLOCK or self.special_at is not None and self.special_at.search(text):
+            if len(text) > BLOCK:
                 out[k] = self.encode(text)
                 continue
             wait.append(k)
+            found.append([*self.parts(text)])
             size += len(text)
-            if size > 4 * BLOCK:
-                for j, ids in zip(wait, self.look_up([self.pieces(texts[j]) for j in wait])):
+            if size > 16 * BLOCK:
+                for j, ids in zip(wait, self.look_up(found)):
                     out[j] = ids
-                wait, size = [], 0
-        for j, ids in zip(wait, self.look_up([self.pieces(texts[j]) for j in wait])):
+                wait, found, size = [], [], 0
+        for j, ids in zip(wait, self.look_up(found)):
             out[j] = ids
         return out
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a text as little-endian uint32; a null is an empty text."""
-        if not text:
-            return b""
-        if self.special_at is None or not self.special_at.search(text):
-            return b"".join(self.plain(text))
-        out, a = [], 0
-        for m in self.special_at.finditer(text):
-            out += [*self.plain(text[a : m.start()]), np.array([self.special[m[0]]], "<u4").tobytes()]
-            a = m.end()
-        return b"".join([*out, *self.plain(text[a:])])
+        parts, out = self.parts(text or ""), []
+        while own := [*itertools.islice(parts, BLOCK)]:
+            out += self.look_up([own])
+        return b"".join(out)
+
+
+def _joins_before() -> frozenset[str]:
+    """Characters that can become one with what stands before them in normal form C."""
+    out = {chr(c) for c in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))}  # Hangul vowels and final consonants
+    for c in range(0x110000):
+        parts = decomposition(chr(c)).split()
+        if len(parts) == 2 and parts[0][0] != "<":
+            out.add(chr(int(parts[1], 16)))
+    return frozenset(out)
+
+
+JOINS_BEFORE = _joins_before()
+
+
+class OpenWord:
+    """A word whose end has not come yet: gives out tokens once the lookahead behind them is full, holds the rest."""
+
+    def __init__(self, tokenizer: Tokenizer):
+        self.t = tokenizer
+        self.held: list[int] = []
+        self.last: int | None = None
+
+    def feed(self, data: Iterable[int]) -> Iterator[int]:
+        t = self.t
+        for byte in data:
+            if self.last is not None and t.inner[self.last] is not None:
+                self.held.append(t.inner[self.last])
+            self.last = byte
+            if len(self.held) >= t.keep:
+                tokens, stable, used = t.merge(self.held), 0, 0
+                while used + t.width(tokens[stable]) <= len(self.held) - t.lookahead:
+                    used += t.width(tokens[stable])
+                    stable += 1
+                yield from tokens[:stable]
+                self.held = self.held[used:]
+
+    def close(self) -> Iterator[int]:
+        if self.last is not None and self.t.final[self.last] is not None:
+            self.held.append(self.t.final[self.last])
+        yield from self.t.merge(self.held)
+        self.held, self.last = [], None
+
+
+class Transducer:
+    """Text in, piece by piece; out come closed words (str) and ids of long words (bytes), each as soon as no later text can
+    change it. Holds raw text behind the last place where normalizing can be cut, the open word, and the symbols of a long one."""
+
+    def __init__(self, tokenizer: Tokenizer):
+        self.t = tokenizer
+        self.raw, self.open, self.word = "", "", None
+
+    def held(self) -> int:
+        return len(self.raw) + len(self.open) + (len(self.word.held) if self.word else 0)
+
+    def push(self, text: str, end: bool = False) -> list[str | bytes]:
+        t = self.t
+        if end and not (self.raw or self.open or self.word):
+            return t.splitter.findall(t.normal(text))
+        raw = self.raw + text
+        at = len(raw)
+        if not end:
+            at -= 1
+            while at > 0 and (combining(raw[at]) or raw[at] in JOINS_BEFORE):
+                at -= 1
+        self.raw = raw[max(at, 0) :]
+        text, out = self.open + t.normal(raw[: max(at, 0)]), []
+        if self.word:
+            first = t.splitter.match(text)
+            more = first.end() if first else 0
+            out += self._long(text[len(self.open) : more])
+            if more == len(text) and not end:
+                self.open = text[-TAIL:]
+                return out
+            out.append(np.fromiter(self.word.close(), "<u4").tobytes())
+            self.word, text = None, text[more:]
+        if end:
+            self.open = ""
+            return out + t.splitter.findall(text)
+        found = [*t.splitter.finditer(text)]
+        if found and found[-1].end() == len(text):
+            self.open = found.pop()[0]
+        else:
+            self.open = text[max(len(text) - TAIL, found[-1].end() if found else 0) :]
+        out += [m[0] for m in found]
+        if len(self.open) > t.keep:
+            self.word = OpenWord(t)
+            out += self._long(self.open)
+            self.open = self.open[-TAIL:]
+        return out
+
+    def _long(self, text: str) -> list[bytes]:
+        ids = np.fromiter(self.word.feed(text.encode()), "<u4")
+        return [ids.tobytes()] if len(ids) else []
 
 
 class Vocabulary:
@@ -431,3 +515,26 @@ def bpe_decode(encoded: DataFrame, spec: str, id_col: str = "doc_id", ids_col: s
         yield from _grouped(rows(), schema)
 
     return encoded.select(encoded[id_col].alias("id"), encoded[ids_col].alias("ids")).mapInArrow(lean(run), "id long, ids binary, text string").withColumnRenamed("id", id_col)
+
+
+def bpe_round_trip(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """bpe_decode(bpe_encode(docs)) in one pass over the rows: id_col, ids, and text decoded from them."""
+    shared = docs.sparkSession.sparkContext.broadcast(spec)
+    schema = pa.schema([("id", pa.int64()), ("ids", pa.binary()), ("text", pa.string())])
+
+    def run(batches):
+        t = _load(Tokenizer, shared.value)
+
+        def rows():
+            for b in batches:
+                for a in range(0, len(b), 256):
+                    part = b.slice(a, 256)
+                    for i, ids in zip(part.column(0).to_pylist(), t.encode_all(part.column(1).to_pylist())):
+                        yield i, ids, decode(t, ids)
+
+        yield from _grouped(rows(), schema)
+        t.cache.clear()
+
+    bounded(docs.sparkSession)
+    own = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
+    return own.mapInArrow(lean(run), "id long, ids binary, text string").withColumnRenamed("id", id_col)

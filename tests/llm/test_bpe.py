@@ -5,7 +5,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer as Library
 
-from gaugeworks.llm.bpe import Tokenizer, bpe_decode, bpe_encode, decode, sufficient_lookahead
+from gaugeworks.llm.bpe import TAIL, Tokenizer, Transducer, bpe_decode, bpe_encode, bpe_round_trip, decode, sufficient_lookahead
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 SPEC = open(PATH).read()
@@ -33,25 +33,30 @@ def test_ids_and_text_match_the_library(both):
 
 
 def test_stream_holds_a_bounded_stretch(both):
-    own, _ = both
+    own, lib = both
     assert list(own.stream(b"abcdefgh" * 900)) == np.frombuffer(own.word("abcdefgh" * 900), "<u4").tolist()
     assert own.lookahead < 2000
-    seen = 0
+    rnd = random.Random(4)
+    for text in ("streaming" * 30_000, "".join(rnd.choice("étaoinshrdlu") for _ in range(120_000)), "!?" * 60_000, "7" * 20_000, " \n" * 50_000, "漢字" * 30_000, "e\u0301" * 40_000, "'" * 9000 + "s re"):
+        t, parts, most = Transducer(own), [], 0
+        for a in range(0, len(text), 1000):
+            parts += t.push(text[a : a + 1000], a + 1000 >= len(text))
+            most = max(most, t.held())
+        assert b"".join(own.look_up([parts])) == np.array(lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert most <= own.keep + 2 * TAIL + 1000
 
-    def source():
-        nonlocal seen
-        for _ in range(50):
-            for b in b"streaming":
-                seen += 1
-                yield b
-            seen += 0
 
-    own_keep, own.keep = own.keep, own.lookahead + 8
-    try:
-        tokens = list(own.stream(b"streaming" * 400))
-    finally:
-        own.keep = own_keep
-    assert tokens == own.merge([own.inner[b] for b in b"streaming" * 400][:-1] + [own.final[b"g"[0]]])
+def test_any_cut_gives_the_same_ids(both):
+    own, lib = both
+    rnd = random.Random(9)
+    for text in texts()[:200]:
+        text, t, parts, a = own.special_at.sub(" ", text or ""), Transducer(own), [], 0
+        while a < len(text):
+            z = a + rnd.choice([1, 1, 2, 3, 7, 400])
+            parts += t.push(text[a:z])
+            a = z
+        parts += t.push("", True)
+        assert b"".join(own.look_up([parts])) == np.array(lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def test_lookahead_by_force():
@@ -67,4 +72,5 @@ def test_operator(spark):
     lib = Library.from_file(PATH)
     want = sorted((i, lib.decode(lib.encode(t or "", add_special_tokens=False).ids, skip_special_tokens=False)) for i, t, _ in rows)
     assert sorted((r.doc_id, r.text) for r in out) == want
+    assert sorted(map(tuple, bpe_round_trip(docs, SPEC).collect())) == sorted(map(tuple, out))
     assert bpe_encode(docs.limit(0), SPEC).count() == 0
