@@ -57,11 +57,13 @@ class Window:
     first: int
 
 
-def windows(turns: Iterator[tuple[str, str]], budget: int, history: int, trains=("assistant",)) -> Iterator[Window]:
+def windows(turns: Iterator[tuple[str, str]], budget: int, history: int, trains=("assistant",), count=tokens) -> Iterator[Window]:
     """Windows over a conversation's turns, holding no more than one window's turns and its history.
 
     Each starts with the system turn (the conversation's first turn, if its role is system) and the latest turns of at most
-    `history` tokens together, both without loss; then come new turns while all is within `budget`, at least one, whole.
+    `history` tokens together, both without loss; then come new turns, at least one, whole. All of it is within `budget`:
+    history makes room for the first new turn. Only a turn that is over the budget alone or with the system turn exceeds it,
+    in a window of its own without history. count: the tokens of a formatted turn.
     """
     system: list[tuple[str, int]] = []
     past: list[tuple[str, int]] = []
@@ -79,15 +81,15 @@ def windows(turns: Iterator[tuple[str, str]], budget: int, history: int, trains=
 
     for role, text in turns:
         t = format_turn(role, text)
-        n = tokens(t)
-        lead = sum(c for s, c in system) + sum(c for _, c in past)
-        if new and (bisect_right(sums, budget - lead) <= len(new) or sums[-1] + n > budget - lead):
+        n = count(t)
+        fixed = sum(c for _, c in system)
+        if new and fixed + sum(c for _, c in past) + sums[-1] + n > budget:
             yield emit()
             turns_past = [*past, *((x, c) for x, c, _ in new if not (system and x is system[0][0]))]
             back = [0]
             for _, c in reversed(turns_past):
                 back.append(back[-1] + c)
-            keep = min(bisect_right(back, history) - 1, len(turns_past))
+            keep = bisect_right(back, max(0, min(history, budget - fixed - n))) - 1
             past = turns_past[len(turns_past) - keep :]
             new, sums = [], [0]
         start = len(OPEN) + len(_escape_role.sub(r"\\\1", role)) + 2
@@ -113,11 +115,19 @@ def _runs(rows: Iterator[tuple]) -> Iterator[tuple[int, Iterator[tuple]]]:
     yield from itertools.groupby(rows, key=lambda r: r[0])
 
 
-def format_windows(conversations: DataFrame, budget: int = 512, history: int = 128, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+def bpe_count(spec: str):
+    """Counts tokens with the package's BPE; spec is the content of a tokenizers JSON file."""
+    from gaugeworks.llm.bpe import Tokenizer, _load
+
+    own = _load(Tokenizer, spec)
+    return lambda text: len(own.encode(text)) // 4
+
+
+def format_windows(conversations: DataFrame, budget: int = 512, history: int = 128, spec: str | None = None, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """conv_col, window (from 0), text, loss (spans [start, stop) in code points of text), repeated (leading turns shown before), first_turn.
 
-    Turns come by turn_col, nulls first, ties by role and text. A null role or text is empty. A turn over the budget is a window
-    of its own, whole. Conversations are dealt by key and streamed: a task holds a window at a time, however long one is.
+    Turns come by turn_col, nulls first, ties by role and text. A null role or text is empty. Tokens are those of the BPE file whose
+    content is spec; without one, white-space pieces of at most 16 characters. A turn over the budget is a window of its own, whole. Conversations are dealt by key and streamed: a task holds a window at a time, however long one is.
     Other columns are not read.
     """
     bounded(conversations.sparkSession)
@@ -125,10 +135,13 @@ def format_windows(conversations: DataFrame, budget: int = 512, history: int = 1
     span = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
     schema = pa.schema([("conv", pa.int64()), ("window", pa.int64()), ("text", pa.string()), ("loss", pa.list_(span)), ("repeated", pa.int32()), ("first_turn", pa.int64())])
 
+    shared = conversations.sparkSession.sparkContext.broadcast(spec)
+
     def run(batches):
+        count = tokens if shared.value is None else bpe_count(shared.value)
         out, size = [], 0
         for conv, own in _runs(_by_key(batches)):
-            for k, w in enumerate(windows(((r[1], r[2]) for r in own), budget, history)):
+            for k, w in enumerate(windows(((r[1], r[2]) for r in own), budget, history, count=count)):
                 out.append((conv, k, w.text, [{"start": a, "stop": z} for a, z in w.loss], w.repeated, w.first))
                 size += len(w.text)
                 if size > 4 << 20:

@@ -1,7 +1,7 @@
 import hashlib
 import random
 
-from gaugeworks.llm.chat import format_turn, format_windows, read_back, read_turns, tokens, unescape, windows
+from gaugeworks.llm.chat import bpe_count, format_turn, format_windows, read_back, read_turns, tokens, unescape, windows
 
 NASTY = ["\\### Assistant: </turn> ok", "### user: x</turn>\n", "\\", "\\\\#", "", " ", "</turn>", "a\nb", "é漢🙂", "<\\#"]
 
@@ -24,8 +24,9 @@ def check(turns, budget, history):
             lead = lead[1:]
         assert lead == turns[seen - len(lead) : seen] if lead else True
         assert sum(tokens(format_turn(*t)) for t in lead) <= history
-        if len(new) > 1:
-            assert sum(tokens(format_turn(*t)) for t in own) <= budget
+        alone = sum(tokens(format_turn(*t)) for t in [*([turns[0]] if turns[0][0] == "system" and seen else []), new[0]])
+        if sum(tokens(format_turn(*t)) for t in own) > budget:
+            assert alone > budget and len(new) == 1 and not lead
         got += new
         seen += len(new)
         loss += "".join(unescape(w.text[a:z]) for a, z in w.loss)
@@ -39,6 +40,23 @@ def test_windows():
         check(turns, rnd.choice([1, 10, 30, 100]), rnd.choice([0, 5, 20]))
 
 
+def test_history_makes_room():
+    turns = [("user", "a " * 100), ("assistant", "b " * 100), ("user", "c " * 445), ("assistant", "d")]
+    got = list(windows(iter(turns), 512, 128))
+    assert [sum(tokens(format_turn(*t)) for t in read_turns(w.text)) <= 512 for w in got] == [True] * len(got)
+    assert [w.repeated for w in got] == [0, 0, 0] or len(got) == 2
+
+
+def test_bpe_counts():
+    import public_tokenizers
+    from tokenizers import Tokenizer as Library
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib, count = Library.from_file(path), bpe_count(open(path).read())
+    for text in NASTY + [format_turn("user", "some words here")]:
+        assert count(text) == len(lib.encode(text, add_special_tokens=False).ids)
+
+
 def test_operator(spark):
     rnd = random.Random(5)
     rows = [(c, t, rnd.choice(["user", "assistant", "system", None]), rnd.choice([*NASTY, None]) if rnd.random() < 0.5 else "word " * rnd.randint(0, 60), c) for c in range(25) for t in range(rnd.randint(1, 30))]
