@@ -19,10 +19,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import IS_SPACE, LOWER, blobs, chunked, cut, lean, lean_cogroup, lean_group, mix, unpack, word_hashes, words
+from gaugeworks.llm.common import IS_SPACE, LOWER, blobs, chunked, cut, lean, lean_cogroup, lean_group, mix, text_bytes, unpack, word_hashes, words
 
 DEPTH = 5
-BUCKETS = 256
 END = 0x0A
 NOT_SPACE = ~IS_SPACE
 LN2, LN10 = np.log(2), np.log(10)
@@ -160,12 +159,17 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys, np.bincount(back, np.concatenate([c for _, c in parts]), len(keys)).astype(np.int64)
 
 
-def _bucket_of(keys: np.ndarray, kind: int) -> np.ndarray:
-    """Strings by their two latest context bytes, words by hash."""
-    return ((mix(keys >> np.uint64(8 * (DEPTH - 1))) if kind == 0 else keys) >> np.uint64(56)).astype(np.int64)
+def bucket_bits(size: int) -> int:
+    """How many bits of buckets a corpus of so many (compressed) bytes gets: a bucket's share stays about 2 MB as the corpus grows."""
+    return max(8, (size >> 21).bit_length())
 
 
-def _messages(chunks: DataFrame) -> DataFrame:
+def _bucket_of(keys: np.ndarray, kind: int, bits: int) -> np.ndarray:
+    """Strings by their two latest context bytes (at most 65536 buckets), words by hash."""
+    return ((mix(keys >> np.uint64(8 * (DEPTH - 1))) if kind == 0 else keys) >> np.uint64(64 - (min(bits, 16) if kind == 0 else bits))).astype(np.int64)
+
+
+def _messages(chunks: DataFrame, bits: int) -> DataFrame:
     """kind (0 strings, 1 words), bucket, block, keys, counts: what a block of 16 chunks holds, counted in training documents."""
 
     def run(batches):
@@ -176,14 +180,15 @@ def _messages(chunks: DataFrame) -> DataFrame:
                 if not held[kind]:
                     continue
                 keys, count = _merged(held[kind])
-                bucket = _bucket_of(keys, kind)
+                bucket = _bucket_of(keys, kind, bits)
                 order = np.argsort(bucket, kind="stable")
-                keys, count, edges = keys[order], count[order], np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
-                on = np.flatnonzero(np.diff(edges))
+                keys, count, bucket = keys[order], count[order], bucket[order]
+                edges = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
+                on = np.arange(len(edges) - 1)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(len(on), kind), pa.int32()),
-                        pa.array(on, pa.int32()),
+                        pa.array(bucket[edges[:-1]], pa.int32()),
                         pa.array(np.full(len(on), block), pa.int64()),
                         pa.array([keys[edges[k] : edges[k + 1]].tobytes() for k in on], pa.binary()),
                         pa.array([count[edges[k] : edges[k + 1]].astype(np.uint32).tobytes() for k in on], pa.binary()),
@@ -248,7 +253,7 @@ def _answers(shared):
 
 
 def _scores(log_total: float, end_count: int):
-    names = ["id", "train", "n_tokens", "n_known", "base_score", "score"]
+    names = ["id", "train", "n_tokens", "n_known", "n_bytes", "base_score", "score"]
 
     def run(_key, chunks: pa.Table, answers: pa.Table) -> pa.Table:
         known = []
@@ -273,22 +278,24 @@ def _scores(log_total: float, end_count: int):
                 tokens = np.diff(first) + 1
                 base = np.bincount(doc, np.log10(count + 0.1), n) + np.log10(end_count + 0.1) - tokens * log_total
                 n_known = np.bincount(doc, count > 0, n).astype(np.int64) + (end_count > 0)
-                out.append(pa.RecordBatch.from_arrays([rows.field(0), rows.field(1), pa.array(tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(score)], names))
+                out.append(pa.RecordBatch.from_arrays([rows.field(0), rows.field(1), pa.array(tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(np.diff(begin), pa.int64()), pa.array(base), pa.array(score)], names))
         return pa.Table.from_batches(out)
 
     return run
 
 
 def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, train, n_tokens, n_known, train_tokens, base_score, score, for each row of docs; train: a condition, where true (or null) the model learns from the row.
+    """id_col, train, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte, for each row of docs; train: a condition, where true (or null) the model learns from the row.
 
     A null text is empty: one token, the end. Repeated rows count as often as they stand. base_score is of single tokens,
-    log10((c + 0.1) / (N + 0.1 (V + 1))) each; score is the context tree's log10 probability of the text. Without training rows
-    every bit has probability one half. Words are told apart by 64-bit hashes. Other columns are not read.
+    log10((c + 0.1) / (N + 0.1 (V + 1))) each; score is the context tree's log10 probability of the text; bits_per_byte is its code length over the n_bytes of
+    the text's stream (words, a blank after each, the end). Without training rows
+    every bit has probability one half. Words are told apart by 64-bit hashes. A text is held whole by the task that works on it, with 16 bytes for each
+    of its bytes. Other columns are not read.
     """
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(train, F.lit(True)).alias("train"), F.col(text_col).alias("text"))
     chunks = chunked(own, "text", ["id", "train"], "lm")
-    sent = cut(_messages(chunks), "counts")
+    sent = cut(_messages(chunks, bucket_bits(text_bytes(chunks))), "counts")
     sums = sent.where("kind = 0").select("bucket", "keys", "counts").groupBy("bucket").applyInArrow(lean_group(_sums), "node int, n0 double, n1 double, below double")
     sums = sums.groupBy("node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("below").alias("below")).orderBy("node").toArrow()
     top = Top(*[sums.column(c).to_numpy() for c in ("node", "n0", "n1", "below")])
@@ -299,8 +306,9 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
     total = round(_blank_count(top)) + ends
     log_total = float(np.log10(total + 0.1 * (learned + (ends > 0) + 1)))
     block = chunks.withColumn("block", F.shiftright("chunk", 4))
-    out = block.groupBy("block").cogroup(answers.select("block", "kind", "keys", "vals").groupBy("block")).applyInArrow(lean_cogroup(_scores(log_total, ends)), "id long, train boolean, n_tokens long, n_known long, base_score double, score double")
-    return out.select(F.col("id").alias(id_col), "train", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    out = block.groupBy("block").cogroup(answers.select("block", "kind", "keys", "vals").groupBy("block")).applyInArrow(lean_cogroup(_scores(log_total, ends)), "id long, train boolean, n_tokens long, n_known long, n_bytes long, base_score double, score double")
+    per_byte = (-F.col("score") * F.lit(LN10 / LN2) / F.col("n_bytes")).alias("bits_per_byte")
+    return out.select(F.col("id").alias(id_col), "train", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", "n_bytes", per_byte)
 
 
 def _blank_count(top: Top) -> float:

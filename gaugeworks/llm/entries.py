@@ -25,8 +25,7 @@ def word_bpe() -> str:
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All texts to token ids and back."""
-    spec = word_bpe()
-    out = bpe.bpe_decode(bpe.bpe_encode(table(spark, sf_dir, "documents"), spec), spec)
+    out = bpe.bpe_round_trip(table(spark, sf_dir, "documents"), word_bpe())
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
@@ -113,7 +112,7 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     hard = r"\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra)
-    return chat.read_back(chat.format_windows(rows))
+    return chat.read_back(chat.format_windows(rows, spec=word_bpe()))
 
 
 def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +125,7 @@ def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents scored by a model of nine tenths of them."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(False))
     out = context_tree.score(table(spark, sf_dir, "documents"), ~held)
-    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 
 def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,7 +90,7 @@ def test_against_the_recursion(spark):
     for i, t in rows:
         tokens = [*stream(t)[1], None]
         base = sum(math.log10((count[x] + 0.1) / (n + 0.1 * (v + 1))) for x in tokens)
-        want.append((i, learn(i), len(tokens), sum(count[x] > 0 for x in tokens), n, base, model.score(t)))
+        want.append((i, learn(i), len(tokens), sum(count[x] > 0 for x in tokens), n, base, own := model.score(t), size := len(stream(t)[0]), -own * math.log2(10) / size))
     by = lambda r: (str(r[0]), r[5])
     for r, w in zip(sorted(map(tuple, out), key=by), sorted(want, key=by), strict=True):
         assert r[:5] == w[:5]
