@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 MAX_SLICE = 1 << 20
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -72,20 +73,35 @@ def lean_cogroup(run):
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; one under the warehouse where none is set."""
+    """The shared folder of spark.checkpoint.dir. Where none is set, one under the warehouse on a single machine; elsewhere that is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch")
     return sc.getCheckpointDir()
 
 
+def fresh(names: list[str], name: str) -> str:
+    """name, with as many underscores before it as it takes to be none of names (case does not tell names apart)."""
+    taken = {n.lower() for n in names}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def cut(df: DataFrame, tag: str, block_mb: int = 16) -> DataFrame:
     """Write df to the shared scratch folder and read it back: a short lineage that outlives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     bounded(spark)
-    df.write.option("compression", "zstd").option("parquet.block.size", block_mb << 20).parquet(path)
     _written.append((spark, path))
+    was = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")  # the table is stored, so shuffle files of making it can go
+    try:
+        df.write.option("compression", "zstd").option("parquet.block.size", block_mb << 20).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, was) if was is not None else spark.conf.unset(CLEANUP)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -97,7 +113,7 @@ def drop_scratch() -> None:
             p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
         except Exception:
-            return  # the session has ended
+            continue  # its session has ended; others may not have
 
 
 atexit.register(drop_scratch)

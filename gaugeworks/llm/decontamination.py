@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import IS_ALNUM, LOWER, bounded, lean, packed, slices, word_hashes, words
+from gaugeworks.llm.common import IS_ALNUM, LOWER, bounded, cut, fresh, lean, packed, slices, word_hashes, words
 from gaugeworks.llm.fm_index import FMIndex
 
 WINDOW = 13
@@ -136,13 +136,13 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def phrase_blocks(benchmark: DataFrame, window: int, item_col: str, text_col: str, block_bytes: int):
-    """The benchmark in passes of bounded size, split by a hash of the item; one pass for the usual test sets."""
+    """The benchmark in passes of bounded size, split by a hash of the item; one pass for the usual test sets. Yields phrases and whether it is the last pass."""
     rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = 1 + total // block_bytes
     for k in range(parts):
         own = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k) if parts > 1 else rows
-        yield Phrases(sorted(((r.item, r.text or "") for r in own.collect()), key=lambda r: (r[0] is None, r[0] or "", r[1])), window)
+        yield Phrases(sorted(((r.item, r.text or "") for r in own.collect()), key=lambda r: (r[0] is None, r[0] or "", r[1])), window), k + 1 == parts
 
 
 _FOUND = "n_words long, spans array<struct<start:int,stop:int>>, items array<string>"
@@ -164,7 +164,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: st
     bounded(docs.sparkSession)
     out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     names = ["id", "text", "n_words", "spans", "items"]
-    for k, phrases in enumerate(phrase_blocks(benchmark, window, item_col, item_text, block_bytes)):
+    for k, (phrases, last) in enumerate(phrase_blocks(benchmark, window, item_col, item_text, block_bytes)):
         shared = docs.sparkSession.sparkContext.broadcast(phrases)
 
         def run(batches, shared=shared, k=k):
@@ -177,6 +177,9 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: st
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *found], names)
 
         out = out.mapInArrow(lean(run), f"id long, text string, {_FOUND}")
+        if not last:  # so that one block of phrases is out at a time
+            out = cut(out, "hits")
+            shared.unpersist()
     return out.select(F.col("id").alias(id_col), "n_words", "spans", "items")
 
 
@@ -189,16 +192,26 @@ def verdict(found: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs, all columns as they are, whose hit words are less than a twentieth of their words."""
     bounded(docs.sparkSession)
-    at = docs.columns.index(text_col)
-    blocks = [docs.sparkSession.sparkContext.broadcast(p) for p in phrase_blocks(benchmark, window, item_col, item_text, block_bytes)]
+    at, names = docs.columns.index(text_col), docs.columns
+    spans_col = fresh(names, "_spans")
+    kind = "array<struct<start:int,stop:int>>"
+    out = docs.withColumn(spans_col, F.array().cast(kind))
+    for phrases, last in phrase_blocks(benchmark, window, item_col, item_text, block_bytes):
+        shared = docs.sparkSession.sparkContext.broadcast(phrases)
 
-    def run(batches):
-        for b in batches:
-            spans: list[list] = [[] for _ in range(len(b))]
-            for shared in blocks:
+        def run(batches, shared=shared, last=last):
+            for b in batches:
                 n_words, more, _ = search(shared.value, *packed(b.column(at)))
-                spans = [x + y for x, y in zip(spans, more)]
-            hit = np.array([sum(z - a for a, z in merge_spans(x)) for x in spans], np.int64)
-            yield b.filter(pa.array((hit == 0) | (20 * hit < n_words)))
-
-    return docs.mapInArrow(lean(run), docs.schema)
+                spans = [merge_spans([*((s["start"], s["stop"]) for s in x), *y]) for x, y in zip(b.column(len(names)).to_pylist(), more)]
+                if last:
+                    hit = np.array([sum(z - a for a, z in x) for x in spans], np.int64)
+                    yield b.filter(pa.array((hit == 0) | (20 * hit < n_words))).select(names)
+                else:
+                    spans = pa.array([[{"start": a, "stop": z} for a, z in x] for x in spans], b.column(len(names)).type)
+                    yield pa.RecordBatch.from_arrays([*b.columns[:-1], spans], b.schema.names)
+
+        out = out.mapInArrow(lean(run), docs.schema if last else out.schema)
+        if not last:
+            out = cut(out, "hits")
+            shared.unpersist()
+    return out

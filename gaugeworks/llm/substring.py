@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import IS_SPACE, blobs, by_bucket, chunked, grams, lean, lean_group, mix, text_bytes, unpack, word_hashes, words
+from gaugeworks.llm.common import IS_SPACE, blobs, by_bucket, chunked, fresh, grams, lean, lean_group, mix, text_bytes, unpack, word_hashes, words
 
 GRAM = 4
 WINDOW = 20
@@ -76,24 +76,33 @@ class SuffixAutomaton:
         return out
 
 
+def least_places(g: np.ndarray, span: int, n: int, step: int = 1 << 23) -> np.ndarray:
+    """For each of n windows of span hashes the place of the smallest, the leftmost of equals. Places are counted from the
+    start of a step, so that 24 bits hold them however long the text is."""
+    low, out = np.uint64((1 << 24) - 1), np.empty(n, np.int64)
+    for a in range(0, n, step):
+        z = min(n, a + step)
+        least, size = mix(g[a : z + span - 1]) & ~low, 1
+        least |= np.arange(len(least), dtype=np.uint64)
+        while 2 * size <= span:
+            least = np.minimum(least[:-size], least[size:])
+            size *= 2
+        least = np.minimum(least[: z - a], least[span - size : span - size + z - a])
+        out[a:z] = a + (least & low).astype(np.int64)
+    return out
+
+
 def stretches(h: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
     """Per run of windows with one anchor: key of the anchor, its place, first word and word count, document."""
     empty = np.zeros(0, np.int64)
     if len(h) < window:
         return np.zeros(0, np.uint64), empty, empty, empty, empty
     g = grams(h, GRAM)
-    span, n = window - GRAM + 1, len(h) - window + 1
-    low = (np.arange(len(g), dtype=np.uint64)) & np.uint64((1 << 24) - 1)
-    least, size = (mix(g) & ~np.uint64((1 << 24) - 1)) | low, 1
-    while 2 * size <= span:
-        least = np.minimum(least[:-size], least[size:])
-        size *= 2
-    least = np.minimum(least[:n], least[span - size : span - size + n])
+    n = len(h) - window + 1
     at = np.arange(n)
     doc = np.searchsorted(first, at, "right") - 1
     good = at + window <= first[doc + 1]
-    at, doc, least = at[good], doc[good], least[good]
-    anchor = at + ((least & np.uint64((1 << 24) - 1)).astype(np.int64) - at) % (1 << 24)
+    at, doc, anchor = at[good], doc[good], least_places(g, window - GRAM + 1, n)[good]
     head = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)])) if len(at) else empty
     count = np.diff(np.append(head, len(at)))
     return g[anchor[head]], anchor[head], at[head], count + window - 1, doc[head]
@@ -234,7 +243,7 @@ def _judge(window: int):
 
 def repeated_runs(docs: DataFrame, window: int, id_col: str, text_col: str, carry: list[str], judge=_judge) -> DataFrame:
     """The chunks of docs with `runs`: for each word run to remove its document << 40 | first word, and its length."""
-    chunks = chunked(docs.withColumn(id_col, F.col(id_col).cast("long")), text_col, [id_col, *[c for c in carry if c != id_col]], "passages")
+    chunks = chunked(docs.withColumn(id_col, F.col(id_col).try_cast("long")), text_col, [id_col, *[c for c in carry if c != id_col]], "passages")
     n = max(512, text_bytes(chunks) >> 21)
     repeated = _repeated_anchors(chunks, window, n).groupBy("chunk").agg(F.collect_list("keys").alias("keys"))
     sent = _send(chunks.join(repeated, "chunk"), window, 4 * n)
@@ -286,10 +295,12 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
 
 def drop_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the repeated passages cut out of text_col; all rows and columns stay. Texts without repeats stay as they are, nulls null;
-    a removed run of words goes with the white space behind it."""
+    a removed run of words goes with the white space behind it. Ids may be of any whole-number type; others count as null. Extra
+    columns may have any name. A text is held whole by the task that works on it, with 8 bytes for each of its words."""
     names = docs.columns
-    carry = [id_col, *[c for c in names if c not in (id_col, text_col)], "_was_null"]
-    marked = docs.withColumn("_was_null", F.col(text_col).isNull())
+    key, was_null = fresh(names, "_key"), fresh(names, "_was_null")
+    carry = [key, *[c for c in names if c != text_col], was_null]
+    marked = docs.withColumn(was_null, F.col(text_col).isNull()).withColumn(key, F.col(id_col).try_cast("long"))
     order = [carry.index(c) if c != text_col else -1 for c in names]
 
     def run(batches):
@@ -313,4 +324,4 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
                 cols = [pa.array(texts, pa.string()) if k < 0 else rows.field(k) for k in order]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    return repeated_runs(marked, window, id_col, text_col, carry).mapInArrow(lean(run), docs.schema)
+    return repeated_runs(marked, window, key, text_col, carry).mapInArrow(lean(run), docs.schema)

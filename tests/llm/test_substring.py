@@ -67,3 +67,23 @@ def test_against_brute_force(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert find_repeats(docs).count() == 0 and drop_repeats(docs).count() == 0
+
+
+def test_long_texts_pick_places_as_short_ones_do():
+    import numpy as np
+
+    from gaugeworks.llm.substring import least_places
+
+    g = np.tile(np.array([7, 3, 3, 9, 1, 1, 8], np.uint64), 40)
+    n = len(g) - 17 + 1
+    want = least_places(g, 17, n)
+    assert all((least_places(g, 17, n, step) == want).all() for step in (1, 5, 64))
+
+
+def test_ids_of_other_types_and_clashing_names(spark):
+    text = " ".join(f"w{k}" for k in range(30))
+    rows = [(2, text, 1, 2), (1, text, 3, 4), (None, None, 5, 6)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, _was_null int, _key int")
+    got = drop_repeats(docs, 20)
+    assert got.schema.simpleString() == docs.schema.simpleString()
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(2, "", 1, 2), rows[1], rows[2]], key=str)
