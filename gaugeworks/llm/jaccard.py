@@ -1,12 +1,14 @@
 """Exact n-gram Jaccard join by vertical partitioning.
 
-Distinct n-grams of all documents get one global order, rare ones first. Two sets that link share an n-gram among the
-first of either in that order (its prefix), and n-grams of one document only cannot be shared, so few documents have
-candidates. For candidates the order is cut into fragments, overlaps are counted fragment by fragment and summed per pair.
-
-Classes, not pairs, are the result, so pairs that cannot change a class are not made: a first round compares each
-document with a few hubs of its rare n-grams; the second takes, exactly, all candidates of different classes.
-Documents with equal sets are one node throughout.
+Distinct n-grams of all documents get one global order: by class of document frequency (its binary logarithm), rare ones
+first, by hash within a class. Two sets that link share an n-gram among the first of either in that order (its prefix),
+and n-grams of one document only cannot be shared, so few documents have candidates. For candidates the order is cut into
+fragments of about equal mass, their number growing with the corpus; overlaps are counted fragment by fragment and summed
+per pair.
+
+Classes, not pairs, are the result, so pairs that cannot change a class are not made. In rounds each document meets a few
+partners, at most four, of a larger class than its own; rounds go on while they still join classes. What is left is taken
+exactly: all candidates of different classes. Documents with equal sets are one node throughout.
 """
 
 from __future__ import annotations
@@ -16,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import IS_SPACE, LOWER, blobs, chunked, cut, grams, lean, lean_group, mix, text_bytes, unpack, word_hashes, words
+from gaugeworks.llm.common import IS_SPACE, LOWER, blobs, chunked, cut, fresh, grams, lean, lean_group, mix, text_bytes, unpack, word_hashes, words
 
 NOT_SPACE = ~IS_SPACE
-FRAGMENTS = 4
 HUB_GRAMS = 6
+PARTNERS = 3
+#: A round is followed by another while one pair in so many still joins classes.
+LEAST_JOINED = 8
 
 
 def sets(buf: np.ndarray, offs: np.ndarray, n: int) -> list[np.ndarray]:
@@ -92,11 +96,47 @@ def _short(keys: np.ndarray, bits: int) -> np.ndarray:
     return keys >> np.uint64(32 - bits)
 
 
+def order_key(own: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Place of an n-gram in the global order: class of frequency first, then hash."""
+    return kind.astype(np.uint64) << np.uint64(60) | own >> np.uint64(4)
+
+
+def fragment_edges(mass: list[int], count: int) -> np.ndarray:
+    """Where to cut the order into `count` fragments of about equal mass; mass: of each class of frequency, whose hashes are even."""
+    total, out = sum(mass), []
+    before = np.concatenate([[0], np.cumsum(mass)])
+    for k in range(1, count):
+        at = total * k / count
+        kind = min(int(np.searchsorted(before, at, "right")) - 1, 15) if total else 15
+        part = (at - before[kind]) / mass[kind] if total and mass[kind] else 0.0
+        out.append((kind << 60) + int(part * ((1 << 60) - 1)))
+    return np.array(out, np.uint64)
+
+
+def _mass(classes: DataFrame) -> list[int]:
+    """How many shared n-grams the chunks have in each class of frequency."""
+
+    def run(batches):
+        total = np.zeros(16, np.int64)
+        for b in batches:
+            for kinds in b.column(0).to_pylist():
+                total += np.bincount(blobs([k["classes"] for k in kinds], np.uint8), minlength=16)
+        total[0] = 0  # n-grams of one document are in no fragment
+        yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array(total)], ["kind", "n"])
+
+    rows = classes.select("classes").mapInArrow(lean(run), "kind int, n long").groupBy("kind").agg(F.sum("n").alias("n")).collect()
+    out = [0] * 16
+    for r in rows:
+        out[r.kind] = r.n
+    return out
+
+
 _MEMBERS = "kind int, chunk long, row int, id long, n int, node long, frag int, shared int, tokens array<long>, prefix array<long>"
+_names = ["kind", "chunk", "row", "id", "n", "node", "frag", "shared", "tokens", "prefix"]
 
 
-def _members(chunks: DataFrame, classes: DataFrame, n: int, num: int, den: int, bits: int) -> DataFrame:
-    """Kind 0: a row for each document. Kind 1: the shared n-grams of each node that may link, by fragment, and in fragment 0 its prefix."""
+def _members(chunks: DataFrame, classes: DataFrame, n: int, num: int, den: int, bits: int, edges: np.ndarray) -> DataFrame:
+    """Kind 0: a row for each document. Kind 1: the shared n-grams of each node that may link, by fragment where it has any, and in the first of them its prefix."""
     long_list = pa.list_(pa.int64())
 
     def run(batches):
@@ -133,10 +173,12 @@ def _members(chunks: DataFrame, classes: DataFrame, n: int, num: int, den: int,
                     first = len(s) - -(-num * len(s) // den) + 1 - (len(s) - int(shared.sum()))
                     if first <= 0:
                         continue
-                    s, kind = s[shared], kind[shared]
-                    prefix = s[np.lexsort((s, kind))[:first]].view(np.int64)
-                    for k, piece in enumerate(np.split(s, np.searchsorted(s, _EDGES))):
-                        out.append((name, len(shared), k, len(s), piece.view(np.int64), prefix if k == 0 else None))
+                    key = np.sort(order_key(s[shared], kind[shared]))
+                    prefix = key[:first].view(np.int64)
+                    for k, piece in enumerate(np.split(key, np.searchsorted(key, edges))):
+                        if len(piece):
+                            out.append((name, len(s), k, len(key), piece.view(np.int64), prefix))
+                            prefix = None
                 if out:
                     name, size, frag, own_shared, piece, prefix = zip(*out)
                     m = len(out)
@@ -149,13 +191,9 @@ def _members(chunks: DataFrame, classes: DataFrame, n: int, num: int, den: int,
     return chunks.join(classes, "chunk", "left").mapInArrow(lean(run), _MEMBERS)
 
 
-_names = ["kind", "chunk", "row", "id", "n", "node", "frag", "shared", "tokens", "prefix"]
-_EDGES = np.array([k << 62 for k in range(1, FRAGMENTS)], np.uint64)
-
-
-def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
-    """a, b, na, nb, overlap of pairs of nodes: counted in each fragment of the order, summed per pair."""
-    cells = pairs.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("frag"))
+def overlaps(pairs: DataFrame, segments: DataFrame, fragments: int) -> DataFrame:
+    """a, b, na, nb, overlap of pairs of nodes: counted in each fragment of the order that both have, summed per pair."""
+    cells = pairs.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(fragments - 1))).alias("frag"))
     left = segments.select(F.col("node").alias("a"), "frag", F.col("n").alias("na"), F.col("tokens").alias("ta"))
     right = segments.select(F.col("node").alias("b"), "frag", F.col("n").alias("nb"), F.col("tokens").alias("tb"))
     parts = cells.join(left, ["a", "frag"]).join(right, ["b", "frag"])
@@ -181,45 +219,84 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _partners(posted: DataFrame, met: DataFrame | None, num: int, den: int) -> DataFrame:
+    """a, b, hub: a few partners of each node not met before, out of those that share an n-gram of both prefixes.
+
+    An n-gram's hubs are, of its largest class, the node with the fewest n-grams of its own, which links with most, and one by
+    chance. At first every node is a class, and all of an n-gram's nodes are hubs alike; only the rarest n-grams count then. Of its
+    n-grams' hubs a node takes those with the fewest n-grams of their own, and one by chance."""
+    near = posted.where(F.col("pos") < HUB_GRAMS) if met is None else posted
+    one = F.lit(0).cast("long")
+    own, chance = (F.col("n") - F.col("rest")).cast("long"), F.xxhash64("node", "token")
+    large = [one, one] if met is None else [-F.col("size"), F.col("label")]
+    hub = [F.struct(large[0].alias("x"), large[1].alias("y"), k.alias("z"), F.xxhash64("node").alias("w"), F.col("node").alias("hub"), own.alias("own"), F.col("n").alias("hn"), F.col("rest").alias("hs"), F.col("label").alias("hl")) for k in (own, chance)]
+    hubs = near.groupBy("token").agg(*[F.min(h).alias(f"h{k}") for k, h in enumerate(hub)])
+    found = near.join(hubs, "token").select("node", "n", "rest", "label", F.explode(F.array("h0", "h1")).alias("h"))
+    found = found.where(F.col("label") != F.col("h.hl")).where(_may_link("n", "rest", "h.hn", "h.hs", num, den))
+    found = found.select("node", F.col("h.hub").alias("hub"), F.col("h.own").alias("own"))
+    if met is not None:
+        found = found.join(met.select(F.col("a").alias("node"), F.col("b").alias("hub")).union(met.select(F.col("b"), F.col("a"))), ["node", "hub"], "left_anti")
+    best = found.groupBy("node").agg(F.array_sort(F.collect_set(F.struct("own", "hub"))).alias("found"), F.min(F.struct(F.xxhash64("node", "hub"), F.col("hub").alias("hub"))).alias("z"))
+    pairs = best.select("node", F.explode(F.array_distinct(F.concat(F.slice("found.hub", 1, PARTNERS), F.array("z.hub")))).alias("hub"))
+    return pairs.groupBy(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).agg(F.min("hub").alias("hub"))
+
+
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, label) after links between nodes: classes that a link touches become one."""
+    la, lb = (labels.select(F.col("node").alias(k), F.col("label").alias(f"l{k}")) for k in "ab")
+    top = components(links.join(la, "a").join(lb, "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).where("a <> b").distinct())
+    return cut(labels.join(top.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("node", F.coalesce("top", "label").alias("label")), "classes")
+
+
+def _mixed(posted: DataFrame, labels: DataFrame) -> DataFrame:
+    """posted with the classes (and their sizes) as they are now, n-grams of one class left out."""
+    sized = labels.join(labels.groupBy("label").agg(F.count(F.lit(1)).alias("size")), "label")
+    posted = posted.select("token", "node", "n", "rest", "pos").join(sized, "node")
+    mixed = posted.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
+    return cut(posted.join(mixed, "token"), "mixed")
+
+
 def join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """The chunks of docs, and for each document: chunk, row (place in the chunk), id, n (size of its set), node (null if empty), label (of its class).
 
     A set is the document's distinct n-word sequences, A-Z lowered; with fewer words all of them are one. Sets link when
-    den * |intersection| >= num * |union|; empty sets with nothing. N-grams and sets are compared by 64-bit hashes.
+    den * |intersection| >= num * |union|; empty sets with nothing. N-grams are compared by 60-bit hashes within their class of
+    frequency, sets by 64-bit hashes. Ids that are no whole numbers count as null.
     """
-    docs = docs.withColumn(id_col, F.col(id_col).cast("long"))
+    docs = docs.withColumn(id_col, F.col(id_col).try_cast("long"))
     chunks = chunked(docs, text_col, [id_col, *[c for c in carry or [] if c != id_col]], "ngrams")
     bits = max(9, (text_bytes(chunks) >> 21).bit_length())
-    members = cut(_members(chunks, _frequencies(chunks, n, bits), n, num, den, bits), "members")
-    docs.sparkSession.sparkContext._jvm.System.gc()  # lets Spark delete shuffle files of what is now written
+    fragments = bits - 5
+    kinds = cut(_frequencies(chunks, n, bits), "frequencies")
+    members = cut(_members(chunks, kinds, n, num, den, bits, fragment_edges(_mass(kinds), fragments)), "members")
     own = members.where("kind = 0").select("chunk", "row", "id", "n", "node")
-    segments = members.where("kind = 1").select("node", "frag", "n", "tokens").dropDuplicates(["node", "frag"])
-    prefixes = members.where("kind = 1 AND frag = 0").groupBy("node", "n", "shared").agg(F.first("prefix").alias("prefix"))
-
-    near = _posted(prefixes.withColumn("prefix", F.slice("prefix", 1, HUB_GRAMS)), "node", "n")
-    # one hub with the fewest n-grams of its own, which links with most, and one by chance
-    first = [F.col("n") - F.col("rest"), F.lit(0)]
-    order = [F.struct(first[k].alias("own"), F.xxhash64("node", F.lit(k)).alias("h"), F.col("node").alias("hub"), F.col("n").alias("hn"), F.col("rest").alias("hs")) for k in (0, 1)]
-    hubs = near.groupBy("token").agg(*[F.min(o).alias(f"h{k}") for k, o in enumerate(order)], F.count(F.lit(1)).alias("m")).where("m > 1")
-    to_hub = near.join(hubs, "token").select("node", "n", "rest", F.explode(F.array("h0", "h1")).alias("h")).where("node <> h.hub").where(_may_link("n", "rest", "h.hn", "h.hs", num, den))
-    best = to_hub.groupBy("node").agg(F.min("h").alias("x"), F.max("h").alias("y"), F.min(F.struct("h.h", "h.hub")).alias("z"))
-    pairs = best.select("node", F.explode(F.array_distinct(F.array("x.hub", "y.hub", "z.hub"))).alias("hub"))
-    pairs = pairs.groupBy(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).agg(F.min("hub").alias("hub"))
-    pairs = cut(pairs, "pairs")
-    met = cut(overlaps(pairs, segments).join(pairs, ["a", "b"]), "met")
-    links = linked(met, num, den)
-    labels = components(links)
-    # how far nodes are from hubs they met: two at distances further apart than linked sets are cannot link (1 - Jaccard is a metric)
+    prefixes = members.where("kind = 1 AND prefix IS NOT NULL").groupBy("node", "n", "shared").agg(F.first("prefix").alias("prefix"))
+    every = _posted(prefixes)
+    posted = cut(every.join(every.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("token"), "token").withColumn("label", F.col("node")).withColumn("size", F.lit(1).cast("long")), "mixed")
+    alone = posted.select("node").distinct()
+    labels = cut(alone.select("node", F.col("node").alias("label")), "classes")
+    segments = members.where("kind = 1").select("node", "frag", "n", "tokens").join(labels.select("node"), "node", "left_semi").dropDuplicates(["node", "frag"])
+    segments = cut(segments, "segments")
+
+    met = None
+    while True:
+        pairs = cut(_partners(posted, met, num, den), "pairs")
+        now = cut(overlaps(pairs, segments, fragments).join(pairs, ["a", "b"]), "met")
+        met = now if met is None else met.unionByName(now)
+        links = linked(now, num, den)
+        made, joined = now.count(), links.count()
+        if joined:
+            labels = _joined(labels, links)
+            posted = _mixed(posted, labels)
+        if joined * LEAST_JOINED < made or not joined:
+            break
+
+    # how far nodes are from partners they met: two at distances further apart than linked sets are cannot link (1 - Jaccard is a metric)
     far = (1 - F.col("overlap") / (F.col("na") + F.col("nb") - F.col("overlap"))).alias("far")
     far = met.select(F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("node"), "hub", far)
     far = far.union(met.select(F.col("hub").alias("node"), "hub", F.lit(0.0).alias("far")).distinct())
     far = far.groupBy("node").agg(F.collect_set(F.struct("hub", "far")).alias("far"))
 
-    held = prefixes.join(labels, "node", "left").select("node", "n", "shared", F.coalesce("label", "node").alias("label"), "prefix")
-    held = cut(held, "prefixes")
-    posted = _posted(held, "node", "n", "label")
-    mixed = posted.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
-    posted = cut(posted.join(mixed, "token"), "mixed")
     # candidates of a token by size and rest first: those of one such kind are met only where the kinds can link
     kinds = posted.groupBy("token", "n", "rest").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
     x, y = (kinds.select("token", *[F.col(c).alias(f"{c}{k}") for c in ("n", "rest", "lo", "hi")]) for k in "xy")
@@ -231,19 +308,18 @@ def join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, id_col: str =
     rest = rest.join(far.select(F.col("node").alias("a"), F.col("far").alias("fa")), "a", "left").join(far.select(F.col("node").alias("b"), F.col("far").alias("fb")), "b", "left")
     apart = F.exists("fa", lambda p: F.exists("fb", lambda q: (p.hub == q.hub) & (F.abs(p.far - q.far) > 1 - num / den + 1e-9)))
     rest = cut(rest.where(~F.coalesce(apart, F.lit(False))).select("a", "b"), "pairs")
-    more = cut(linked(overlaps(rest, segments), num, den), "links")
-    top = more.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
-    top = components(top.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).distinct())
-    top = top.select(F.col("node").alias("label"), F.col("label").alias("top"))
-    own = own.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    own = own.join(top, "label", "left").select("chunk", "row", "id", "n", "node", F.coalesce("top", "label").alias("label"))
+    links = cut(linked(overlaps(rest, segments, fragments), num, den), "links")
+    if links.limit(1).count():
+        labels = _joined(labels, links)
+    own = own.join(labels, "node", "left").select("chunk", "row", "id", "n", "node", F.coalesce("label", "node").alias("label"))
     return chunks, cut(own, "classes")
 
 
-def _posted(prefixes: DataFrame, *keep: str) -> DataFrame:
+def _posted(prefixes: DataFrame) -> DataFrame:
     """A row for each n-gram of a prefix; rest: how many n-grams of the set stand there or behind it in the order."""
+    keep = ("node", "n")
     own = prefixes.select(*keep, "shared", F.posexplode("prefix").alias("pos", "token"))
-    return own.select(*keep, "token", (F.col("shared") - F.col("pos")).alias("rest"))
+    return own.select(*keep, "token", "pos", (F.col("shared") - F.col("pos")).alias("rest"))
 
 
 def _may_link(n: str, rest: str, n2: str, rest2: str, num: int, den: int):
@@ -262,10 +338,13 @@ def classes(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, id_col: str
 
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, all columns as they are, with one row of each class: the one of smallest id. All rows without words stay."""
+    """docs, all columns as they are, with one row of each class: the one of smallest id, whatever whole-number type ids have.
+    Null ids, and ids that are no whole numbers, come last, ties by place. All rows without words stay. Extra columns may have any name."""
     names = docs.columns
-    carry = [id_col, *[c for c in names if c not in (id_col, text_col)], "_was_null"]
-    chunks, own = join(docs.withColumn("_was_null", F.col(text_col).isNull()), n, num, den, id_col, text_col, carry)
+    key, null = fresh(names, "_key"), fresh(names, "_was_null")
+    carry = [key, *[c for c in names if c != text_col], null]
+    marked = docs.withColumn(null, F.col(text_col).isNull()).withColumn(key, F.col(id_col).try_cast("long"))
+    chunks, own = join(marked, n, num, den, key, text_col, carry)
     # the smallest id first, then place: one row a class, by partial aggregation
     first = own.where("label IS NOT NULL").groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("z"), "id", "chunk", "row")).alias("k")).select("k.chunk", "k.row")
     kept = first.union(own.where("label IS NULL").select("chunk", "row")).groupBy("chunk").agg(F.collect_list("row").alias("kept"))

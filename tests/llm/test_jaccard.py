@@ -64,3 +64,26 @@ def test_against_brute_force(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert classes(docs).count() == 0 and keep_one(docs).count() == 0
+
+
+def test_ids_of_other_types_and_clashing_names(spark):
+    rows = [(3, "a b c d e f g", 1, 9), (1, "a b c d e f g", 2, 8), (2, "other words stand in here today", 3, 7), (None, None, 4, 6)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, _was_null int, _key int")
+    got = keep_one(docs)
+    assert got.schema.simpleString() == docs.schema.simpleString()
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([rows[1], rows[2], rows[3]], key=str)
+
+
+def test_members_just_below_the_threshold(spark):
+    """A group whose members link with few others: classes come out whole, and few pairs are made."""
+    rnd = random.Random(5)
+    base = [f"b{k}" for k in range(60)]
+    rows = []
+    for i in range(160):
+        own = base[:]
+        for k in rnd.sample(range(60), rnd.choice([0, 1, 1, 2, 2])):
+            own[k] = f"e{rnd.randint(0, 9)}"
+        rows.append((i, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in classes(docs, 4, 85, 100).collect())
+    assert got == brute(rows, 4, 85, 100)
