@@ -136,21 +136,25 @@ def size_batches(df: DataFrame, partition: str, order: str, size: str, limit: in
     return df.groupBy(partition).applyInPandas(run, schema)
 
 
-def fix_point_reach(edges: DataFrame, roots: DataFrame, limit: int = 50) -> DataFrame:
+def fix_point_reach(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """SRC-23: nodes reached from roots over edges (src, dst), cycles allowed; a round per depth."""
     seen = roots.select("node").distinct()
     front = seen
-    for _ in range(limit):
+    while not front.isEmpty():
         step = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
-        front = step.join(seen, "node", "left_anti").checkpoint()
-        if not front.limit(1).count():
-            break
+        front = _kept(step.join(seen, "node", "left_anti"))
         seen = seen.union(front)
     return seen
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+    """df, stored in the folder of spark.checkpoint.dir; one under the warehouse where none is set and one machine does all."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(f"{df.sparkSession.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch")
+    return df.checkpoint()
 
 
 def jaccard_pairs(sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -200,3 +204,21 @@ def gate(cites: DataFrame, entries: DataFrame) -> DataFrame:
     both = cites.select("key", F.lit(True).alias("cited")).distinct().join(entries.select("key", "verified"), "key", "full_outer")
     state = F.when(F.col("cited").isNull(), "unused").when(F.col("verified").isNull(), "unknown").when(F.col("verified"), "ok").otherwise("unverified")
     return both.select("key", state.alias("state"))
+
+
+def quotes(docs: DataFrame, items: DataFrame, doc_key: str, item_key: str) -> DataFrame:
+    """FN-15: doc_key, item_key of texts that hold a quote word for word. docs: doc_key, text; items: item_key, quote.
+
+    Pairs come from an equal join on a hash of three neighbouring words, whole ones inside the quote, the longest together;
+    containment is then checked on these. Quotes without three inner words meet every document."""
+    own = items.withColumn("_w", F.split(F.trim(F.regexp_replace("quote", r"\s+", " ")), " "))
+    inner = F.slice("_w", 2, F.greatest(F.size("_w") - 2, F.lit(0)))
+    grams = lambda a: F.transform(F.sequence(F.lit(1), F.size(a) - 2), lambda k: F.array_join(F.slice(a, k, 3), " "))
+    own = own.withColumn("_inner", inner).withColumn("_key", F.when(F.size("_inner") >= 3, F.xxhash64(F.array_max(F.transform(grams(F.col("_inner")), lambda g: F.struct(F.length(g).alias("n"), g.alias("g"))))["g"])))
+    keys = own.where("_key IS NOT NULL").select("_key", item_key, "quote")
+    w = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
+    place = docs.withColumn("_w", w).where(F.size("_w") >= 3).select(doc_key, F.explode(F.array_distinct(F.transform(grams(F.col("_w")), lambda g: F.xxhash64(g)))).alias("_key"))
+    met = place.join(keys.select("_key", item_key), "_key").select(doc_key, item_key).distinct()
+    found = met.join(items, item_key).join(docs, doc_key).where(F.col("text").contains(F.col("quote"))).select(doc_key, item_key)
+    rest = own.where("_key IS NULL").select(item_key, "quote")
+    return found.unionByName(docs.join(rest, F.col("text").contains(F.col("quote"))).select(doc_key, item_key))

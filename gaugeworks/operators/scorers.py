@@ -56,50 +56,69 @@ def mean_of_map(name: str):
     return F.when(F.size(v) > 0, F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.size(v))
 
 
+#: (Name, 2020) and Name (2020), with others or a second name
+FOREIGN = (r"\(\s*[A-Z][A-Za-z'’\-]+(?:\s+(?:et\s+al\.?|dkk\.?|&\s+[A-Z][A-Za-z'’\-]+))?,?\s+\d{4}[a-z]?\s*\)", r"\b[A-Z][A-Za-z'’\-]+(?:\s+(?:et\s+al\.?|dkk\.?))?\s+\(\d{4}[a-z]?\)")
+
+
 def grounded(answers: DataFrame, lo: int = 250, hi: int = 400) -> DataFrame:
-    """item, text, sources (source texts in order): coverage, cited sentences, valid and foreign citations, supported numbers, length."""
+    """item, text, sources (source texts in order), optionally years (of the sources): coverage, sentences with a valid citation, no
+    invalid and no foreign citations, supported numbers, length."""
     n = F.size("sources")
+    years = F.col("years").cast("array<string>") if "years" in answers.columns else F.array().cast("array<string>")
     out = answers.withColumn("cited", T.cited_numbers("text")).withColumn("sentences", T.sentences("text")).withColumn("words", F.size(T.words("text")))
-    valid = F.filter("cited", lambda c: (c >= 1) & (c <= n))
-    cited_sentences = F.size(F.filter("sentences", lambda s: F.size(T.cited_numbers(s)) > 0))
-    bare = F.regexp_replace("text", r"\[[^\]]*\]", " ")
-    foreign = F.regexp_count("text", F.lit(r"\([A-Z][A-Za-zÀ-ÿ-]+(?: et al\.| (?:and|&) [A-Z][A-Za-zÀ-ÿ-]+)?,? (?:19|20)\d\d\)"))
-    said, known = T.number_literals(bare), F.flatten(F.transform("sources", T.number_literals))
-    plain = lambda a: F.transform(a, lambda x: F.regexp_replace(x, r"[%.,]", ""))
-    unsupported = F.array_except(plain(said), plain(known))
-    out = out.withColumn("unsupported", unsupported).withColumn("foreign", foreign).withColumn("n_sentences", F.size("sentences"))
+    holds = lambda c: (c >= 1) & (c <= n)
+    valid = F.array_distinct(F.filter("cited", holds))
+    cited_sentences = F.size(F.filter("sentences", lambda s: F.exists(T.cited_numbers(s), holds)))
+    foreign = sum((F.regexp_count(F.coalesce("text", F.lit("")), F.lit(p)) for p in FOREIGN[1:]), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(FOREIGN[0])))
+    out = out.withColumn("_said", T.supported_numbers("text", "sources", years)).withColumn("numbers", F.col("_said.numbers")).withColumn("unsupported", F.col("_said.unsupported")).drop("_said")
+    out = out.withColumn("foreign", foreign).withColumn("n_sentences", F.size("sentences"))
     parts = {
         "coverage": F.when(n > 0, F.size(valid) / n).otherwise(0.0),
         "cited": F.when(F.size("sentences") > 0, cited_sentences / F.size("sentences")).otherwise(0.0),
-        "valid": (F.size(valid) == F.size("cited")).cast("double"),
+        "valid": F.forall("cited", holds).cast("double"),
         "own": (F.col("foreign") == 0).cast("double"),
-        "numbers": F.when(F.size(said) > 0, 1 - F.size("unsupported") / F.size(said)).otherwise(1.0),
+        "numbers": F.when(F.col("numbers") > 0, 1 - F.size("unsupported") / F.col("numbers")).otherwise(1.0),
         "length": T.length_score("words", lo, hi),
     }
     out = out.withColumn("parts", F.create_map(*[x for k, v in parts.items() for x in (F.lit(k), v)]))
     return out.withColumn("score", mean_of_map("parts"))
 
 
-def language(answers: DataFrame, english: list[str], nonstandard: list[str], lo: int, hi: int, one_paragraph: bool = False) -> DataFrame:
-    """item, text, numbers, terms (arrays to be kept): length, English share, non-standard words, numbers, terms, long sentences."""
+def english_share(w, english: list[str], own: list[str]):
+    """FN-28: English function words among the function words of both languages; 1 where there is none."""
+    within = lambda a: F.size(F.filter(w, lambda x: x.isin(a))) if a else F.lit(0)
+    en, home = within(english), within(own)
+    return F.when(en + home > 0, en / (en + home)).otherwise(1.0)
+
+
+def key_terms(text: str):
+    """FN-27: the text as terms are looked for in it: lower case, letters and digits by single blanks, one at each end."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^0-9a-zà-ÿ]+", " ")), F.lit(" "))
+
+
+def language(answers: DataFrame, english: list[str], nonstandard: list[str], lo: int, hi: int, own: list[str] | None = None, one_paragraph: bool = False) -> DataFrame:
+    """item, text, numbers, terms (arrays to be kept), optionally source (the text it is made of; else numbers are all it may say): length,
+    English share among function words of both languages (own: those of the text's), non-standard words, numbers by any reading, terms, long sentences."""
     w = F.transform(T.words("text"), F.lower)
-    low = F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
     out = answers.withColumn("_w", w)
-    within = lambda a: F.size(F.filter("_w", lambda x: x.isin(a))) if a else F.lit(0)
-    ratio = F.when(F.size("_w") > 0, within(english) / F.size("_w")).otherwise(1.0)
+    ratio = english_share("_w", english, own or [])
     said = T.number_literals("text")
-    s = T.sentences("text")
+    source = T.number_literals("source") if "source" in answers.columns else F.col("numbers")
+    out = out.withColumn("numbers_missing", T.without_reading("numbers", said)).withColumn("numbers_new", T.without_reading(said, source))
+    s = T.sentences("text", 1, False)
+    norm = lambda t: F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(t), "[^0-9a-zà-ÿ]+", " ")), F.lit(" "))
+    bad = F.size(F.filter("_w", lambda x: x.isin(nonstandard))) if nonstandard else F.lit(0)
     parts = {
         "length": T.length_score(F.size("_w"), lo, hi),
         "english": F.when(ratio <= 0.03, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - 5 * ratio)),
-        "standard": F.greatest(F.lit(0.0), 1 - 0.25 * within(nonstandard)),
-        "numbers": F.when(F.size("numbers") > 0, F.size(F.array_intersect("numbers", said)) / F.size(F.array_distinct("numbers"))).otherwise(1.0),
-        "invented": F.when(F.size(said) > 0, 1 - F.size(F.array_except(said, "numbers")) / F.size(said)).otherwise(1.0),
-        "terms": F.when(F.size("terms") > 0, F.size(F.filter("terms", lambda t: F.contains(low, F.concat(F.lit(" "), F.lower(t), F.lit(" "))))) / F.size("terms")).otherwise(1.0),
+        "standard": F.greatest(F.lit(0.0), 1 - 0.25 * bad),
+        "numbers": F.when(F.size("numbers") > 0, 1 - F.size("numbers_missing") / F.size("numbers")).otherwise(1.0),
+        "invented": F.when(F.size(said) > 0, 1 - F.size("numbers_new") / F.size(said)).otherwise(1.0),
+        "terms": F.when(F.size("terms") > 0, F.size(F.filter("terms", lambda t: F.contains(key_terms("text"), norm(t)))) / F.size("terms")).otherwise(1.0),
         "sentences": 1 - F.when(F.size(s) > 0, F.size(F.filter(s, lambda x: F.size(T.words(x)) > 40)) / F.size(s)).otherwise(1.0),
     }
     if one_paragraph:
-        parts["one_paragraph"] = (~F.trim("text").rlike(r"\n\s*\n")).cast("double")
+        parts["one_paragraph"] = ((F.size(F.filter(F.split("text", r"\n\s*\n"), lambda p: T.strip(p) != "")) == 1) & ~F.col("text").rlike(r"(?im)^\s*(#|\*\*|abstrak\b)")).cast("double")
     out = out.withColumn("parts", F.create_map(*[x for k, v in parts.items() for x in (F.lit(k), v.cast("double"))]))
     return out.withColumn("score", mean_of_map("parts")).drop("_w")
 

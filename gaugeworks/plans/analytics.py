@@ -166,7 +166,7 @@ def votes(spark, sf_dir):
     return judging.majority(e, ["item", "coder"], "event_type", 1).select("item", "coder", F.col("label").alias("event_type"))
 
 
-VOTES_SQL = "votes AS (SELECT item, coder, event_type FROM (SELECT event_id % 997 AS item, user_id % 5 AS coder, event_type, row_number() OVER (PARTITION BY event_id % 997, user_id % 5 ORDER BY event_id) AS k FROM {events}) AS t WHERE k = 1)"
+VOTES_SQL = "votes AS (SELECT item, coder, event_type FROM (SELECT item, coder, event_type, row_number() OVER (PARTITION BY item, coder ORDER BY c DESC, event_type) AS k FROM (SELECT event_id // 5 AS item, user_id AS coder, event_type, count(*) AS c FROM {events} GROUP BY ALL) AS e) AS t WHERE k = 1)"
 TOP_SQL = "c AS (SELECT item, event_type, count(*) AS c FROM votes GROUP BY item, event_type), top AS (SELECT item, CAST(sum(c) AS BIGINT) AS n_votes, max(c) AS top FROM c GROUP BY item), lab AS (SELECT item, min(event_type) AS first FROM c JOIN top USING (item) WHERE c = top GROUP BY item)"
 
 
@@ -195,7 +195,7 @@ def panel_votes(spark, sf_dir):
 put(
     "panel_votes",
     panel_votes,
-    f"""WITH {VOTES_SQL}, p AS (SELECT item, event_type, CAST(b.coder AS VARCHAR) AS panel FROM votes a JOIN (SELECT DISTINCT coder FROM votes) b ON a.coder <> b.coder UNION ALL SELECT item, event_type, '*' FROM votes),
+    f"""WITH {VOTES_SQL}, p AS (SELECT item, event_type, CAST(b.family AS VARCHAR) AS panel FROM votes a JOIN (SELECT DISTINCT coder % 5 AS family FROM votes) b ON a.coder % 5 <> b.family UNION ALL SELECT item, event_type, '*' FROM votes),
 c AS (SELECT item, panel, event_type, count(*) AS c FROM p GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY item, panel ORDER BY c DESC, event_type) AS k FROM c)
 SELECT panel, event_type AS label, count(*) AS n FROM r WHERE k = 1 AND c >= 3 GROUP BY panel, event_type""",
 )
@@ -286,8 +286,6 @@ put(
 BOOT = f"""WITH @FACT, it AS (SELECT DISTINCT task, item FROM item_score), pl AS (SELECT task, item, row_number() OVER (PARTITION BY task ORDER BY item) - 1 AS pos, count(*) OVER (PARTITION BY task) AS n FROM it),
 cells AS (SELECT pl.*, b FROM pl, (SELECT unnest(range(0, {{draws}})) AS b)), drawn AS (SELECT c.b, c.task, pl.item FROM {judging.RESAMPLE_SQL} c JOIN pl ON pl.task = c.task AND pl.pos = c.pick),
 pt AS (SELECT b, model, d.task, avg(score) AS mean FROM drawn d JOIN item_score s ON s.task = d.task AND s.item = d.item GROUP BY ALL), ov AS (SELECT b, model, avg(mean) AS overall FROM pt GROUP BY ALL)"""
-#: Draws of the SQL twins alone; the queries take the reference's numbers.
-DRAWS = 100
 RANK_DRAWS, CI_DRAWS = 1000, 2000
 
 
@@ -310,14 +308,22 @@ def rank_bootstrap(spark, sf_dir):
     )
 
 
-def _boot_sql(tail):
-    return (BOOT + tail).replace("{cells}", "cells").replace("{seed}", "3").replace("{draws}", str(DRAWS))
+def _boot_sql(tail, draws):
+    return (BOOT + tail).replace("{cells}", "cells").replace("{seed}", "3").replace("{draws}", str(draws))
 
 
 put(
     "rank_bootstrap",
     rank_bootstrap,
-    _boot_sql(", r AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY overall DESC, model) AS rank FROM ov) SELECT model, round(avg(CASE WHEN rank = 1 THEN 1 ELSE 0 END), 6) AS p_first, quantile_cont(rank, 0.5) AS median_rank, list_sort(list(rank))[CAST(floor(0.025 * (count(*) - 1)) AS INT) + 1] AS lo, list_sort(list(rank))[CAST(floor(0.975 * (count(*) - 1)) AS INT) + 1] AS hi FROM r GROUP BY model"),
+    _boot_sql(
+        """, r AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY overall DESC, model) AS rank FROM ov),
+seen AS (SELECT model, avg(mean) AS seen FROM task_score GROUP BY model), lead AS (SELECT model AS leader, seen AS best FROM seen ORDER BY seen DESC, model LIMIT 1),
+dd AS (SELECT r.*, x.overall - r.overall AS drawn FROM r JOIN r x ON x.b = r.b AND x.model = (SELECT leader FROM lead))
+SELECT dd.model, round(avg(CASE WHEN rank = 1 THEN 1 ELSE 0 END), 6) AS p_first, quantile_cont(rank, 0.5) AS median_rank, list_sort(list(rank))[CAST(floor(0.025 * (count(*) - 1)) AS INT) + 1] AS lo, list_sort(list(rank))[CAST(floor(0.975 * (count(*) - 1)) AS INT) + 1] AS hi,
+round(any_value((SELECT best FROM lead) - seen), 6) AS diff, round(list_sort(list(drawn))[CAST(floor(0.025 * (count(*) - 1)) AS INT) + 1], 6) AS diff_lo, round(list_sort(list(drawn))[CAST(floor(0.975 * (count(*) - 1)) AS INT) + 1], 6) AS diff_hi
+FROM dd JOIN seen USING (model) GROUP BY dd.model""",
+        RANK_DRAWS,
+    ),
 )
 
 
@@ -327,7 +333,7 @@ def stratified_bootstrap_ci(spark, sf_dir):
     return drawn.groupBy("model").agg(F.round(F.percentile("overall", 0.025), 6).alias("lo"), F.round(F.percentile("overall", 0.975), 6).alias("hi"))
 
 
-put("stratified_bootstrap_ci", stratified_bootstrap_ci, _boot_sql(" SELECT model, round(quantile_cont(overall, 0.025), 6) AS lo, round(quantile_cont(overall, 0.975), 6) AS hi FROM ov GROUP BY model"))
+put("stratified_bootstrap_ci", stratified_bootstrap_ci, _boot_sql(" SELECT model, round(quantile_cont(overall, 0.025), 6) AS lo, round(quantile_cont(overall, 0.975), 6) AS hi FROM ov GROUP BY model", CI_DRAWS))
 
 
 def bootstrap_ci(spark, sf_dir):
@@ -485,7 +491,7 @@ SELECT k.k AS class, round(hit * 1.0 / pre, 6) AS prec, round(hit * 1.0 / act, 6
 )
 add("sus_score", "RA-22: odd items less one, even items from five, times 2.5.", "SELECT count(*) AS n, round(avg(s), 6) AS mean, round(min(s), 4) AS lo, round(max(s), 4) AS hi FROM (SELECT ((l_linenumber % 5) + (4 - l_orderkey % 5) + (l_partkey % 5) + (4 - l_suppkey % 5)) * CAST(2.5 AS DOUBLE) AS s FROM {lineitem}) AS t")
 add("farm_economics", "RA-23: ratios of sums.", "SELECT l_returnflag AS farm, round(sum(l_extendedprice), 2) AS tr, round(sum(l_extendedprice * (l_tax + 0.5)), 2) AS tc, round(sum(l_extendedprice) / sum(l_extendedprice * (l_tax + 0.5)), 8) AS rc, round(sum(l_extendedprice * (l_tax + 0.5)) / sum(l_quantity), 6) AS bep FROM {lineitem} GROUP BY l_returnflag")
-add("outlier_iqr", "RA-24: strictly beyond 1.5 spreads of linear quartiles.", "WITH q AS (SELECT PCT(o_totalprice, 0.25) AS q1, PCT(o_totalprice, 0.75) AS q3 FROM {orders}) SELECT o_orderkey, round(o_totalprice, 2) AS v FROM {orders} CROSS JOIN q WHERE o_totalprice < q1 - 1.5 * (q3 - q1) OR o_totalprice > q3 + 1.5 * (q3 - q1)")
+add("outlier_iqr", "RA-24: strictly beyond 1.5 spreads of linear quartiles.", "WITH q AS (SELECT PCT(n_chars, 0.25) AS q1, PCT(n_chars, 0.75) AS q3 FROM {documents}) SELECT doc_id, n_chars FROM {documents} CROSS JOIN q WHERE n_chars < q1 - 1.5 * (q3 - q1) OR n_chars > q3 + 1.5 * (q3 - q1)")
 add("missing_listwise", "RA-25: nulls, available and listwise means, listwise r.", "WITH x AS (SELECT CASE WHEN l_orderkey % 10 <> 0 THEN l_quantity END AS a, CASE WHEN l_partkey % 7 <> 0 THEN l_discount END AS b FROM {lineitem}) SELECT count(*) - count(a) AS na, count(*) - count(b) AS nb, round(avg(a), 6) AS available, round(avg(CASE WHEN b IS NOT NULL THEN a END), 6) AS listwise, round(corr(a, b), 8) AS r FROM x")
 add("group_summary", "RA-26: groups with count, mean, median, spread.", "SELECT o_orderpriority AS g, count(*) AS n, round(avg(o_totalprice), 4) AS mean, round(PCT(o_totalprice, 0.5), 4) AS med, round(stddev_samp(o_totalprice), 4) AS sd FROM {orders} GROUP BY o_orderpriority")
 add("sample_size", "RA-29: Slovin, proportional allocation rounded up.", "WITH n AS (SELECT count(*) AS big FROM {customer}), s AS (SELECT c_mktsegment AS g, count(*) AS ng FROM {customer} GROUP BY c_mktsegment) SELECT g, CAST(ceil(big / (1 + big * 0.0025)) AS BIGINT) AS n5, CAST(ceil(ceil(big / (1 + big * 0.0025)) * ng / big) AS BIGINT) AS own FROM s CROSS JOIN n")

@@ -13,8 +13,8 @@ D = Dual()
 def events(spark, sf_dir):
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
-    # a file stream takes folders or patterns
-    return spark.readStream.schema(schema).parquet(path if path.endswith("/") else f"{path}*").withColumn("at", F.col("ts").cast("timestamp"))
+    # a file stream takes folders or patterns; this one matches the table alone
+    return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]").withColumn("at", F.col("ts").cast("timestamp"))
 
 
 def run(stream, mode):

@@ -24,7 +24,7 @@ def word_counts(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", n.cast("long").alias("n_words"), F.round(text.length_score(n, 250, 400), 8).alias("length_score"))
 
 
-put("word_counts", word_counts, f"SELECT doc_id, n AS n_words, round(CASE WHEN n < 250 THEN n / 250 WHEN n > 400 THEN greatest(0.0, 1.0 - (n - 400) / 400) ELSE 1.0 END, 8) AS length_score FROM (SELECT doc_id, len({W_SQL}) AS n FROM {{documents}})")
+put("word_counts", word_counts, f"SELECT doc_id, n AS n_words, round(CASE WHEN n BETWEEN 250 AND 400 THEN 1.0 WHEN n < 250 THEN greatest(0.0, 1.0 - (250 - n) / 400) ELSE greatest(0.0, 1.0 - (n - 400) / 400) END, 8) AS length_score FROM (SELECT doc_id, len({W_SQL}) AS n FROM {{documents}})")
 
 
 def number_literals(spark, sf_dir):
@@ -58,21 +58,20 @@ put("dictionary_hits", dictionary_hits, f"WITH w AS (SELECT doc_id, lower(unnest
 
 def long_sentence_share(spark, sf_dir):
     """FN-21, FN-28: share of sentences of over 40 words; 1 where there is none."""
-    s = docs(spark, sf_dir).select("doc_id", F.filter(F.split("text", r"[.!?]\s+"), lambda x: F.size(text.words(x)) >= 4).alias("s"))
+    s = docs(spark, sf_dir).select("doc_id", text.sentences("text", 1, False).alias("s"))
     return s.select("doc_id", F.size("s").cast("long").alias("sentences"), F.round(F.when(F.size("s") == 0, F.lit(1.0)).otherwise(F.size(F.filter("s", lambda x: F.size(text.words(x)) > 40)) / F.size("s")), 8).alias("share"))
 
 
 put(
     "long_sentence_share",
     long_sentence_share,
-    r"WITH s AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[.!?]\s+')) AS text FROM {documents}), n AS (SELECT doc_id, len(" + W_SQL + ") AS n FROM s), g AS (SELECT doc_id, count(*) AS k, avg(CASE WHEN n > 40 THEN 1 ELSE 0 END) AS share FROM n WHERE n >= 4 GROUP BY doc_id) SELECT d.doc_id, coalesce(k, 0) AS sentences, round(coalesce(share, 1.0), 8) AS share FROM {documents} d LEFT JOIN g ON g.doc_id = d.doc_id",
+    r"WITH s AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[.!?]\s+')) AS text FROM {documents}), n AS (SELECT doc_id, len(" + W_SQL + ") AS n FROM s), g AS (SELECT doc_id, count(*) AS k, avg(CASE WHEN n > 40 THEN 1 ELSE 0 END) AS share FROM n WHERE n >= 1 GROUP BY doc_id) SELECT d.doc_id, coalesce(k, 0) AS sentences, round(coalesce(share, 1.0), 8) AS share FROM {documents} d LEFT JOIN g ON g.doc_id = d.doc_id",
 )
 
 
 def verbatim_overlap(spark, sf_dir):
-    """FN-15: items quoted word for word. The items are few and go to every task."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
-    return docs(spark, sf_dir).join(F.broadcast(b), F.col("text").contains(F.col("quote"))).select("doc_id", "item_id")
+    """FN-15: items quoted word for word; only documents with three neighbouring inner words of an item are searched for it."""
+    return relational.quotes(docs(spark, sf_dir).select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote")), "doc_id", "item_id")
 
 
 put("verbatim_overlap", verbatim_overlap, "SELECT doc_id, item_id FROM {documents} d JOIN {benchmark} b ON contains(d.text, b.text)")
@@ -88,7 +87,13 @@ def jaccard_dedupe(spark, sf_dir):
 put(
     "jaccard_dedupe",
     jaccard_dedupe,
-    f"WITH w AS (SELECT DISTINCT conv_id, turn, lower(unnest({W_SQL})) AS t FROM {{conversations}}), n AS (SELECT conv_id, turn, count(*) AS n FROM w GROUP BY conv_id, turn), p AS (SELECT a.conv_id, a.turn AS a, b.turn AS b, count(*) AS c FROM w a JOIN w b ON a.conv_id = b.conv_id AND a.t = b.t AND a.turn < b.turn GROUP BY ALL) SELECT p.conv_id, a, b, round(c / (x.n + y.n - c), 6) AS jaccard FROM p JOIN n x ON x.conv_id = p.conv_id AND x.turn = a JOIN n y ON y.conv_id = p.conv_id AND y.turn = b WHERE round(c / (x.n + y.n - c), 6) >= 0.1",
+    f"""WITH RECURSIVE w AS (SELECT DISTINCT doc_id, lower(unnest({W_SQL})) AS t FROM {{documents}}), n AS (SELECT doc_id, count(*) AS n FROM w GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM w a JOIN w b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b, c / (x.n + y.n - c) AS j FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 35 * (x.n + y.n - c)),
+d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS k, coalesce(cand, []) AS cand FROM {{documents}} LEFT JOIN (SELECT b, list(a ORDER BY a) AS cand FROM e GROUP BY b) AS l ON b = doc_id),
+r AS (SELECT k, doc_id, doc_id AS group_id, [doc_id] AS leads FROM d WHERE k = 1
+UNION ALL SELECT k, doc_id, coalesce(f, doc_id), CASE WHEN f IS NULL THEN list_append(leads, doc_id) ELSE leads END FROM (SELECT d.k, d.doc_id, r.leads, list_intersect_first(d.cand, r.leads) AS f FROM r JOIN d ON d.k = r.k + 1) AS t)
+SELECT r.doc_id, group_id, round(CASE WHEN n.n IS NULL THEN NULL WHEN group_id = r.doc_id THEN 1.0 ELSE j END, 6) AS jaccard FROM r LEFT JOIN n ON n.doc_id = r.doc_id LEFT JOIN e ON e.a = group_id AND e.b = r.doc_id""".replace("list_intersect_first(d.cand, r.leads)", "list_min(list_intersect(d.cand, r.leads))"),
 )
 
 

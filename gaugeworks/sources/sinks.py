@@ -29,10 +29,12 @@ def manifest(items: DataFrame) -> DataFrame:
     )
 
 
-def markdown(df: DataFrame, limit: int = 1000) -> str:
-    """SNK-3, SNK-4, PRJ-18: a small result as a Markdown table; nulls are dashes."""
+def markdown(df: DataFrame, most: int = 1000) -> str:
+    """SNK-3, SNK-4, PRJ-18: a small result as a Markdown table, rows in the order of df; nulls are dashes. More than `most` rows are an error."""
     cols = df.columns
-    rows = df.limit(limit).select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("–")).alias(c) for c in cols]).collect()
+    rows = df.limit(most + 1).select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("–")).alias(c) for c in cols]).collect()
+    if len(rows) > most:
+        raise ValueError(f"over {most} rows are no report; write a table")
     return "\n".join(["| " + " | ".join(cols) + " |", "|" + "---|" * len(cols), *["| " + " | ".join(r) + " |" for r in rows]])
 
 

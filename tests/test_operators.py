@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugeworks.functions import special, text
+from gaugeworks.sources import sinks
 from gaugeworks.operators import judging, references, relational, research, scorers, timeseries
 
 
@@ -28,8 +29,19 @@ def test_loose_json_and_scanners():
     assert text.read_loose('so: {"a": [1, 2') == {"a": [1, 2]}
     assert text.read_loose('{"a": [1, 2}') == {"a": [1, 2]}
     assert text.read_loose("nothing") is None
+    assert text.read_loose('{"a": [1, 2]] and more') == {"a": [1, 2]}
+    assert text.read_loose('Note {x} then {"a":1}') == {"a": 1}
+    assert text.read_loose('{"a": "cut off \\" here') == {"a": 'cut off " here'}
+    assert text.read_loose('is [1, {"b": 2}') == {"b": 2}
+    assert text.read_loose("list: [1, 2") == [1, 2]
+    assert text.read_loose("```js\n[3]\n```") == [3]
+    assert text.mend_brackets('x [1, {"a}": 2') == '[1, {"a}": 2}]'
     assert text.readings("1.234") == ["1.234", "1234"]
-    assert text.readings("1.234,50%") == ["1234.5"]
+    assert text.readings("1.234,50%") == ["1.2345", "1234.5"]
+    assert text.readings("1.234.567") == ["1234567"] and text.readings("0,85") == ["0.85"] and text.readings("007") == ["7"]
+    assert text.spelled("one two three, fifty-two percent, two hundred") == "1 2 3, 52 percent, 200"
+    assert text.similarity("", "") == 0.0 and text.similarity("漢", "漢") == 0.0
+    assert text.number_support("It was 8.5 [P12] in 2020 or 85.", ["about 8,5 of all"], ["2020"]) == (2, ["85"])
     assert text.readings("12,5") == ["12.5"]
     assert text.spelled("Twenty five and one hundred and seven items") == "25 and 107 items"
     assert text.folded("Éa–Öl  X") == "ea ol x"
@@ -44,8 +56,12 @@ def test_text_expressions(spark):
     t = "v string"
     assert one(spark, text.words("v"), t, ("Anak-anak don't 12 Éa",)) == [["Anak-anak", "don't", "12", "Éa"]]
     assert one(spark, text.number_literals("v"), t, ("a 1.5 x2 3,000% 7",)) == [["1.5", "3,000%", "7"]]
-    assert one(spark, text.cited_numbers("v"), t, ("a [P1-P3], [5] and [2, P7]",)) == [[1, 2, 3, 5, 7]]
-    assert one(spark, text.option_letter("v"), t, ("The answer is b.",), ("x\n(C)\n",), ("A or B",), (None,)) == ["B", "C", None, None]
+    assert one(spark, text.cited_numbers("v"), t, ("a [P1-P3], [5] and [2, P7]",)) == [[1, 2, 3, 7]]
+    assert one(spark, text.cited_numbers("v"), t, ("x [P2; P2] y [see P3-5] [12]",), ("[P9-P1]",), (None,)) == [[2, 2, 3, 4, 5], [], []]
+    assert one(spark, text.option_letter("v"), t, ("Answer: b.",), ("x\n(C)\n",), ("A or B",), (None,), ("Jawaban: B, bukan A.",), ('{"jawaban":"C"} A dan D',), ("E",)) == ["B", "C", None, None, "B", "C", None]
+    assert one(spark, text.length_score(F.length("v"), 250, 400), t, ("x" * 200,), ("x" * 300,), ("x" * 500,), ("x" * 900,)) == [0.875, 1.0, 0.75, 0.0]
+    assert one(spark, text.sentences("v"), t, ("One two three four. five six. Seven eight nine ten! No.",)) == [["One two three four. five six.", "Seven eight nine ten!"]]
+    assert one(spark, text.sentences("v", 1, False), t, ("One. two. 3",)) == [["One.", "two.", "3"]]
     assert one(spark, text.clean_doi("v"), t, ("https://doi.org/10.1234/AbC.",), ("none",)) == ["10.1234/abc", None]
     assert one(spark, text.code_block("v"), t, ("a\n```python\nx=1\n```\n```\nlonger text\n```",)) == ["x=1"]
     assert one(spark, text.model_spec("v"), t, ("eng:ven/m@high",))[0].asDict() == {"engine": "eng", "model": "ven/m", "effort": "high", "slug": "eng_ven_m_high"}
@@ -54,6 +70,19 @@ def test_text_expressions(spark):
     assert one(spark, text.canonical_json_sha256("v"), t, ('{"b":1,"a":"é"}',), ('{ "a":"é", "b":1 }',))[0] == one(spark, text.canonical_json_sha256("v"), t, ('{"a":"é","b":1}',))[0]
 
 
+def test_reach_is_whole_and_reports_are_not_cut(spark):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(7, 3)], "src int, dst int")
+    assert relational.fix_point_reach(chain, spark.createDataFrame([(0,)], "node int")).count() == 61
+    with pytest.raises(ValueError):
+        sinks.markdown(spark.range(12), 10)
+
+
+def test_quotes_are_found_by_their_words(spark):
+    docs = spark.createDataFrame([(1, "so xone two  three four fivex it"), (2, "one two three four five"), (3, "ab"), (4, None)], "d int, text string")
+    items = spark.createDataFrame([(10, "one two three four five"), (11, "b"), (12, "one two  three four five")], "i int, quote string")
+    assert sorted(map(tuple, relational.quotes(docs, items, "d", "i").collect())) == [(1, 12), (2, 10), (3, 11)]
+
+
 def test_latest_todo_upsert(spark):
     log = spark.createDataFrame([("m", 1, 1, False), ("m", 1, 2, True), ("m", 2, 3, True), ("m", 2, 4, True)], "model string, item int, seq int, err boolean")
     assert sorted((r.item, r.seq) for r in relational.latest_wins(log, ["model", "item"], "seq", F.col("err")).collect()) == [(1, 1), (2, 4)]
@@ -132,7 +161,7 @@ def test_scorers(spark):
     rules3, rules4 = [("design", "design"), ("sample", "sample")], [("results", "result")]
     r = scorers.structure(h, (rules3, {"design": 1.0, "sample": 1.0}), (rules4, {"results": 1.0, "topical": 1.0}), "topical").first()
     assert (r.ch3.f1, r.ch4.f1, r.score) == (pytest.approx(2 / 3), 1.0, 0.8333)
-    g = spark.createDataFrame([("i", "One two three four [1]. Five six seven 8 nine ten.", ["has 8", "x"])], "item string, text string, sources array<string>")
+    g = spark.createDataFrame([("i", "One two three four [P1]. Five six seven 8 nine ten.", ["has 8", "x"])], "item string, text string, sources array<string>")
     p = scorers.grounded(g, 5, 20).first().parts
     assert p["coverage"] == 0.5 and p["cited"] == 0.5 and p["numbers"] == 1.0 and p["length"] == 1.0
     c = spark.createDataFrame([([{"a": 1.0, "b": 2.1}, {"a": 1.0, "b": 2.0}], {"a": 1.0, "b": 2.0})], "attempts array<map<string,double>>, expected map<string,double>")
