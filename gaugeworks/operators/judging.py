@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,10 +125,19 @@ def floor_quantile(x: str, p: float):
     return F.element_at(s, (F.floor(p * (F.size(s) - 1)) + 1).cast("int"))
 
 
-def seeded_bootstrap_ci(scores: DataFrame, keys: list[str], value: str, order: str, n: int = 2000, alpha: float = 0.05, seed: int = 1) -> DataFrame:
-    """ST-3: percentile interval of the mean with the draws of random.Random(seed) in row order; one value is its own interval."""
+@functools.lru_cache(maxsize=8)
+def seeded_picks(seed: int, n: int, draws: int):
+    """Places that random.Random(seed) draws out of n, n at a time; the same for all groups of one size, so a worker makes them once."""
     import random
 
+    import numpy as np
+
+    rng = random.Random(seed)
+    return np.array([[rng.randrange(n) for _ in range(n)] for _ in range(draws)], np.int32)
+
+
+def seeded_bootstrap_ci(scores: DataFrame, keys: list[str], value: str, order: str, n: int = 2000, alpha: float = 0.05, seed: int = 1) -> DataFrame:
+    """ST-3: percentile interval of the mean with the draws of random.Random(seed) in row order; one value is its own interval."""
     import numpy as np
     import pandas as pd
 
@@ -136,8 +147,7 @@ def seeded_bootstrap_ci(scores: DataFrame, keys: list[str], value: str, order: s
         if len(x):
             mean = lo = hi = float(x.mean())
         if len(x) > 1:
-            rng = random.Random(seed)
-            means = [x[[rng.randrange(len(x)) for _ in range(len(x))]].mean() for _ in range(n)]
+            means = [x[pick].mean() for pick in seeded_picks(seed, len(x), n)]
             lo, hi = np.quantile(means, [alpha / 2, 1 - alpha / 2])
         return pd.DataFrame([[*(own[k].iloc[0] for k in keys), mean, lo, hi]], columns=[*keys, "mean", "lo", "hi"])
 
