@@ -53,11 +53,10 @@ def top_pairs(scores: DataFrame, ranked: DataFrame, k: int) -> DataFrame:
 
 
 def pareto_front(points: DataFrame, cost: str, quality: str) -> DataFrame:
-    """JN-17, ST-16: points no other beats. One sort instead of all pairs: by rising cost, a point stays if its quality is the
-    best of its cost and above that of all cheaper ones."""
+    """JN-17, ST-16: points no other beats. One sort by ranges instead of all pairs: by rising cost, a point stays if its quality
+    is the best of its cost and above that of all cheaper ones."""
     by_cost = points.groupBy(cost).agg(F.max(quality).alias("_best"))
-    cheaper = Window.orderBy(cost).rowsBetween(Window.unboundedPreceding, -1)
-    front = by_cost.withColumn("_before", F.max("_best").over(cheaper)).where("_before IS NULL OR _best > _before")
+    front = running(by_cost, cost, "_best", "max", "_before", False).where("_before IS NULL OR _best > _before")
     return points.join(front.select(cost, "_best"), cost).where(F.col(quality) == F.col("_best")).drop("_best")
 
 
@@ -147,13 +146,19 @@ def fix_point_reach(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return seen
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """df, stored in the folder of spark.checkpoint.dir; one under the warehouse where none is set and one machine does all."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark) -> str:
+    """The folder of spark.checkpoint.dir; one under the warehouse where none is set and one machine does all."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(f"{df.sparkSession.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch")
+        sc.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch")
+    return sc.getCheckpointDir()
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """df, stored in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
@@ -206,6 +211,19 @@ def gate(cites: DataFrame, entries: DataFrame) -> DataFrame:
     return both.select("key", state.alias("state"))
 
 
+def running(df: DataFrame, order: str, value: str, how: str, out: str, own: bool = True) -> DataFrame:
+    """df with the sum or max of value over all rows before in `order` (distinct values), its own too unless own is false.
+
+    No task holds all rows: they are dealt by ranges and stored, so that ranges stay what they are; a range's total goes on to the later ones."""
+    agg = {"sum": F.sum, "max": F.max}[how]
+    parts = _kept(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
+    totals = parts.groupBy("_part").agg(agg(value).alias("_total"))
+    before = totals.select("_part", agg("_total").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_earlier"))
+    here = agg(value).over(Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0 if own else -1))
+    both = F.coalesce("_here", F.lit(0)) + F.coalesce("_earlier", F.lit(0)) if how == "sum" else F.greatest("_here", "_earlier")
+    return parts.withColumn("_here", here).join(F.broadcast(before), "_part").withColumn(out, both).drop("_part", "_here", "_earlier")
+
+
 def quotes(docs: DataFrame, items: DataFrame, doc_key: str, item_key: str) -> DataFrame:
     """FN-15: doc_key, item_key of texts that hold a quote word for word. docs: doc_key, text; items: item_key, quote.
 

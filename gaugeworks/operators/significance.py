@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions import special
 from gaugeworks.operators.judging import seeded_picks
+from gaugeworks.operators.relational import running
 
 
 def ranked(df: DataFrame, value: str, keys: list[str], out: str) -> DataFrame:
     """WN-3: average-tie ranks of value within keys: counts of distinct values are summed up, not rows, and joined back."""
     n = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_t"))
-    upto = F.sum("_t").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    n = n.withColumn(out, upto - (F.col("_t") - 1) / 2.0).withColumnRenamed("_t", f"{out}_ties")
+    if keys:
+        n = n.withColumn("_upto", F.sum("_t").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    else:
+        n = running(n, value, "_t", "sum", "_upto")
+    n = n.withColumn(out, F.col("_upto") - (F.col("_t") - 1) / 2.0).withColumnRenamed("_t", f"{out}_ties").drop("_upto")
     return df.join(n, [*keys, value])
 
 
@@ -117,6 +121,16 @@ def two_sample(df: DataFrame, group: str, value: str, a: str, b: str) -> DataFra
     return out.withColumn("p", p)
 
 
+def mann_whitney(df: DataFrame, group: str, value: str, a: str, b: str) -> DataFrame:
+    """RA-11: u, mean_rank of group a, z with continuity and ties in the variance."""
+    r = ranked(df.where(F.col(group).isin(a, b) & F.col(value).isNotNull()), value, [], "_r")
+    is_a = F.col(group) == a
+    g = r.agg(F.count_if(is_a).cast("double").alias("na"), F.count_if(~is_a).cast("double").alias("nb"), F.sum(F.when(is_a, F.col("_r"))).alias("ra"), F.sum(F.col("_r_ties").cast("double") * F.col("_r_ties") - 1).alias("tie"))
+    na, nb, n = F.col("na"), F.col("nb"), F.col("na") + F.col("nb")
+    u = F.col("ra") - na * (na + 1) / 2
+    return g.select(u.alias("u"), (F.col("ra") / na).alias("mean_rank"), ((F.abs(u - na * nb / 2) - 0.5) / F.sqrt(na * nb / 12 * (n + 1 - F.col("tie") / (n * (n - 1))))).alias("z"))
+
+
 def paired_t(df: DataFrame, x: str, y: str) -> DataFrame:
     """RA-10: test, n, statistic, df, p."""
     d = F.col(x) - F.col(y)

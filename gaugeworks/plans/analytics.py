@@ -1,8 +1,9 @@
 """Aggregation, ranking, agreement and research-analysis queries, each with its DuckDB twin."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from gaugeworks.operators import judging, relational
+from gaugeworks.operators import judging, relational, significance, timeseries
 from gaugeworks.operators.composite import composite, item_scores, rank_models, task_scores
 from gaugeworks.plans.dual import Dual
 from gaugeworks.plans.fact import N_TASKS, fact, table
@@ -502,4 +503,125 @@ add(
 c AS (SELECT a, b, count(*) AS n FROM f WHERE b IS NOT NULL GROUP BY a, b) SELECT a, b, n, round(100.0 * n / sum(n) OVER (PARTITION BY a), 6) AS pct FROM c""",
 )
 
+# ---- through the operators: these SQL texts are DuckDB's alone ---------------------------------------------------------
+
+
+def through(run):
+    D.queries[run.__name__] = run
+
+
+def _places(spark, sf_dir, value="score"):
+    means = task_scores(item_scores(fact(spark, sf_dir)).withColumn("score", F.col(value))).groupBy("model").agg(F.avg("mean").alias("o"))
+    return means.select("model", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("o"), "model")).cast("long").alias("rank"))
+
+
+def _pairs(spark, sf_dir):
+    scores = item_scores(fact(spark, sf_dir)).select("model", "item", "score")
+    return relational.top_pairs(scores, _places(spark, sf_dir), 6).select("model_a", "model_b", (F.col("score_a") - F.col("score_b")).alias("d"))
+
+
+_BOTH = ["model_a", "model_b"]
+
+
+@through
+def average_ranks(spark, sf_dir):
+    """WN-3, ST-7: tied values share their mean rank."""
+    return significance.ranked(table(spark, sf_dir, "customer"), "c_nationkey", [], "avg_rank").select("c_custkey", F.col("c_nationkey").alias("v"), "avg_rank")
+
+
+@through
+def spearman_rho(spark, sf_dir):
+    """ST-14: Pearson of average ranks."""
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    p = o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sum("o_totalprice").alias("y")).join(c.select("c_custkey", F.col("c_acctbal").alias("x")), "c_custkey")
+    return significance.spearman(p, "x", "y", []).select("n", F.round("rho", 8).alias("rho"))
+
+
+@through
+def mwu_u(spark, sf_dir):
+    """RA-11."""
+    out = significance.mann_whitney(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_quantity", "A", "R")
+    return out.select("u", F.round("mean_rank", 6).alias("mean_rank"), F.round("z", 6).alias("z"))
+
+
+@through
+def kruskal_h(spark, sf_dir):
+    """RA-14."""
+    return significance.kruskal(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_quantity").select(F.round("statistic", 4).alias("h"), F.col("df").cast("long").alias("df"))
+
+
+@through
+def pairwise_top6(spark, sf_dir):
+    """JN-7, SO-2, ST-19: pairs of the six best over common items."""
+    return _pairs(spark, sf_dir).groupBy(*_BOTH).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("d"), 6).alias("diff"), F.round(F.stddev_samp("d"), 6).alias("sd"))
+
+
+@through
+def sign_counts(spark, sf_dir):
+    """ST-6: wins, losses and ties."""
+    return significance.sign_test(_pairs(spark, sf_dir), _BOTH, "d").drop("p")
+
+
+@through
+def wilcoxon_stat(spark, sf_dir):
+    """ST-9: zeros dropped, average ranks, ties in the variance, continuity 0.5."""
+    return significance.wilcoxon(_pairs(spark, sf_dir), _BOTH, "d").select(*_BOTH, "n", "w_plus", F.round("z", 6).alias("z"))
+
+
+@through
+def wilcoxon_signed_z(spark, sf_dir):
+    """RA-12: the same ranks, signed z without continuity."""
+    w = significance.wilcoxon(_pairs(spark, sf_dir), _BOTH, "d", False)
+    return w.select(*_BOTH, "n", "w_plus", (F.col("n") * (F.col("n") + 1) / 2 - F.col("w_plus")).alias("w_minus"), F.round("z", 6).alias("z"))
+
+
+@through
+def holm_adjust(spark, sf_dir):
+    """WN-5, ST-10."""
+    p = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("g"), F.col("o_custkey").alias("k")).agg((F.min("o_totalprice") / 1000000).alias("p"))
+    return relational.holm(p, "p", ["g"], "k").select("g", "k", F.round("p_holm", 8).alias("p_holm"))
+
+
+@through
+def rank_shift_sensitivity(spark, sf_dir):
+    """WN-4, ST-20: ranking by all scores against automatic ones only."""
+    out = relational.rank_shift(_places(spark, sf_dir), _places(spark, sf_dir, "auto"), "model")
+    return out.select("model", F.col("rank_a").alias("rank_all"), F.col("rank_b").alias("rank_auto"), "shift")
+
+
+@through
+def round_robin_order(spark, sf_dir):
+    """WN-9."""
+    out = relational.round_robin(table(spark, sf_dir, "events"), "user_id", "event_id")
+    return out.select("event_id", F.col("turn").cast("long").alias("turn"), F.col("place").cast("long").alias("place"))
+
+
+@through
+def running_budget_stop(spark, sf_dir):
+    """SM-4."""
+    return relational.running_stop(table(spark, sf_dir, "events"), "user_id", "event_id", "value", 1000.0).select("event_id", "user_id", F.round("spent_before", 6).alias("spent_before"))
+
+
+@through
+def daily_cap(spark, sf_dir):
+    """SM-5: the first 50 calls of a day."""
+    return relational.daily_cap(table(spark, sf_dir, "events"), "ts", "event_id", 50).select("event_id", F.col("nth").cast("long").alias("nth"))
+
+
+@through
+def islands(spark, sf_dir):
+    """RM-7."""
+    return relational.islands(table(spark, sf_dir, "events"), ["user_id"], "event_id", "event_type").select("user_id", "event_id", "island")
+
+
+@through
+def growth_ma_cagr(spark, sf_dir):
+    """WN-7, RA-27: growth in percent, mean of three, compound rate; one row a month."""
+    m = table(spark, sf_dir, "orders").groupBy(F.to_date(F.date_trunc("month", "o_orderdate")).alias("month")).agg(F.sum("o_totalprice").alias("v")).withColumn("g", F.lit(0))
+    w = Window.partitionBy("g").orderBy("month")
+    k = F.row_number().over(w) - 1
+    out = timeseries.growth(m, ["g"], "month", "v").withColumn("cagr", F.when(k > 0, F.pow(F.col("v") / F.first("v").over(w), 1.0 / k) - 1))
+    return out.select("month", F.round("growth_pct", 6).alias("growth_pct"), F.round("ma3", 4).alias("ma3"), F.round("cagr", 8).alias("cagr"))
+
+
 QUERIES, SQL = D.queries, D.sql

@@ -527,4 +527,7 @@ def seeded_take(spark, sf_dir):
 
 put("seeded_take", seeded_take, "SELECT doc_id, sha256('11:' || doc_id) AS h FROM {documents} ORDER BY h LIMIT 50")
 
+#: The twin of texts.p_values.
+D.sql["p_values"] = f"WITH g AS (SELECT l_linenumber, count(*) AS n, avg(l_quantity) AS m, stddev_samp(l_quantity) AS s FROM lineitem GROUP BY 1), t AS (SELECT l_linenumber, n, (m - 25.5) / (s / sqrt(n)) AS t FROM g) SELECT l_linenumber, round(t, 6) AS t, round({sql_t('t', '(n - 1)')}, 6) AS p_t, round(2 * {sql_norm('abs(t)')}, 6) AS p_z FROM t"
+
 QUERIES, SQL = D.queries, D.sql

@@ -196,7 +196,7 @@ def p_values(spark, sf_dir):
     """ST-8, ST-11, ST-12: tail probabilities of the group means of quantities."""
     g = table(spark, sf_dir, "lineitem").groupBy("l_linenumber").agg(F.count(F.lit(1)).alias("n"), F.avg("l_quantity").alias("m"), F.stddev_samp("l_quantity").alias("s"))
     g = g.withColumn("t", (F.col("m") - 25.5) / (F.col("s") / F.sqrt("n")))
-    return g.select("l_linenumber", F.round("t", 6).alias("t"), special.t_p_value("t", F.col("n").cast("double") - 1).alias("p_t"), (2 * special.norm_sf(F.abs("t"))).alias("p_z"))
+    return g.select("l_linenumber", F.round("t", 6).alias("t"), F.round(special.t_p_value("t", F.col("n").cast("double") - 1), 6).alias("p_t"), F.round(2 * special.norm_sf(F.abs("t")), 6).alias("p_z"))
 
 
 put("p_values", p_values)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugeworks.operators.relational import shared_dir
+
 
 def resumable(stream: DataFrame, keys: list[str], ts: str, delay: str = "6 hours") -> DataFrame:
     """SM-1, SM-2: each idempotency key once; state older than the watermark goes."""
@@ -30,7 +32,7 @@ def sessions(stream: DataFrame, ts: str, gap: str, keys: list[str], delay: str =
 
 def windowed_energy(samples: DataFrame, windows: DataFrame, key: str, t: str, margin: float = 2.0) -> DataFrame:
     """SM-3: a stream of samples against static call windows of their key."""
-    return samples.join(F.broadcast(windows), key).where((F.col(t) >= F.col("t0") - margin) & (F.col(t) <= F.col("t1") + margin))
+    return samples.join(windows, key).where((F.col(t) >= F.col("t0") - margin) & (F.col(t) <= F.col("t1") + margin))
 
 
 def budget_stop(stream: DataFrame, key: str, seq: str, amount: str, limit: float) -> DataFrame:
@@ -51,13 +53,22 @@ def budget_stop(stream: DataFrame, key: str, seq: str, amount: str, limit: float
     return stream.groupBy(key).applyInPandasWithState(run, schema, "spent double", "append", GroupStateTimeout.NoTimeout)
 
 
-def drain(stream: DataFrame, name: str, mode: str, checkpoint: str | None = None) -> DataFrame:
-    """Runs a stream over what is there and gives its final table."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    query = writer.start()
+def drain(stream: DataFrame, name: str, mode: str, folder: str | None = None) -> DataFrame:
+    """Runs a stream over what is there and gives its final table, stored under `folder` (else the folder of spark.checkpoint.dir) with
+    the stream's own checkpoint. A trigger's rows are written whole or again; complete mode keeps the last trigger's."""
+    spark = stream.sparkSession
+    base = f"{folder or shared_dir(spark)}/{name}"
+    done: list[int] = []
+
+    def store(rows: DataFrame, k: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{base}/rows/trigger={k}")
+        done.append(k)
+
+    query = stream.writeStream.foreachBatch(store).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{base}/state").start()
     query.awaitTermination()
     if query.exception():
         raise query.exception()
-    return stream.sparkSession.table(name)
+    if not done:
+        return spark.createDataFrame([], stream.schema)
+    parts = [max(done)] if mode == "complete" else sorted({*done})
+    return spark.read.schema(stream.schema).parquet(*[f"{base}/rows/trigger={k}" for k in parts])
