@@ -1,4 +1,4 @@
-"""Column functions over model answers and sources: normal values, evidence, abstracts, prompts' source lines (FN-11, FN-14, FN-15, FN-17 to FN-19,
+"""Column functions over model answers and sources: normal values, evidence, abstracts, prompts' source lines (FN-11, FN-14, FN-15, FN-17, FN-18, FN-19,
 FN-26, FN-37, FN-50, PRJ-18, SO-5, SO-9, FLT-6, FLT-8, SL-5, WN-13)."""
 
 from __future__ import annotations

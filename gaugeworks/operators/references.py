@@ -1,11 +1,11 @@
-"""Bibliographic matching: best match, credit, multi-source status, audit roll-up (JN-18, FN-34, PRJ-16, AG-9)."""
+"""Bibliographic matching: best match, verdict by DOI or title, credit, multi-source status, audit roll-up (JN-18, FN-33, FN-34, PRJ-16, AG-9)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeworks.functions.text import fold, surname, title_similarity
+from gaugeworks.functions.text import clean_doi, fold, surname, title_similarity
 
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789 "
@@ -55,6 +55,29 @@ def best_match(seeds: DataFrame, candidates: DataFrame, least: float = 0.9, stri
     return pairs.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select("seed", "source", "pos", "similarity")
 
 
+def verify(seeds: DataFrame, resolved: DataFrame, candidates: DataFrame, least: float = 0.9, strict: float = 0.95) -> DataFrame:
+    """FN-33: seed, exists, doi_ok, doi_confirmed, doi_resolves (null without a DOI), via: the seed's own DOI's record if it matches, else the best title found.
+
+    seeds: seed, title, year, author, doi. resolved: doi, title, years, authors. candidates: pos, title, years, authors, doi."""
+    own = seeds.withColumn("given", clean_doi("doi"))
+    known = resolved.withColumn("doi", clean_doi("doi"))
+    # every record is a source of its own, so that a seed's best match there is the record itself
+    hit = best_match(own, known.select(F.col("doi").alias("pos"), "title", "years", "authors", F.col("doi").alias("source")), least, strict)
+    by_doi = hit.join(own.select("seed", "given"), "seed").where("pos = given").select("seed", F.lit(True).alias("_doi")).distinct()
+    found = best_match(own, candidates.select("pos", "title", "years", "authors", F.lit("search").alias("source")), least, strict)
+    by_title = found.join(candidates.select("pos", clean_doi("doi").alias("_found")), "pos").select("seed", F.lit(True).alias("_title"), "_found")
+    out = own.join(by_doi, "seed", "left").join(by_title, "seed", "left").join(known.select(F.col("doi").alias("given"), F.lit(True).alias("_resolves")).distinct(), "given", "left")
+    via = F.when(F.col("_doi"), "doi").when(F.col("_title"), "title")
+    return out.select(
+        "seed",
+        via.isNotNull().alias("exists"),
+        F.coalesce(F.when(via == "doi", True).when(via == "title", F.col("given") == F.col("_found")), F.lit(False)).alias("doi_ok"),
+        F.when(via == "doi", F.col("given")).when(via == "title", F.col("_found")).alias("doi_confirmed"),
+        F.when(F.col("given").isNotNull(), F.coalesce("_resolves", F.lit(False))).alias("doi_resolves"),
+        via.alias("via"),
+    )
+
+
 def credit(exists, doi_given, doi_right):
     """PRJ-16: 1 with a right DOI, 0.75 without any, 0.5 with a wrong one, 0 if not found; null while a source is away."""
     return F.when(exists.isNull(), None).when(~exists, 0.0).when(~doi_given, 0.75).when(doi_right, 1.0).otherwise(0.5)

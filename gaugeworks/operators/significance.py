@@ -32,7 +32,7 @@ def spearman(df: DataFrame, x: str, y: str, keys: list[str]) -> DataFrame:
 def with_p(df: DataFrame, r: str) -> DataFrame:
     """A correlation of n rows (column n) with its two-sided p; 0 where it is 1 or more, null below three rows."""
     good = (F.col("n") >= 3) & ~F.isnan(F.coalesce(r, F.lit(float("nan"))))
-    t = F.col(r) * F.sqrt((F.col("n") - 2) / (1 - F.col(r) * F.col(r)))
+    t = F.col(r) * F.sqrt(F.try_divide(F.col("n") - 2, 1 - F.col(r) * F.col(r)))
     df = df.withColumn(r, F.when(good, F.col(r)))
     return df.withColumn("p", F.when(F.abs(r) >= 1, 0.0).when(F.col(r).isNotNull(), special.t_p_value(t, F.col("n").cast("double") - 2)))
 
@@ -107,13 +107,14 @@ def two_sample(df: DataFrame, group: str, value: str, a: str, b: str) -> DataFra
         side(F.var_samp, is_a).alias("va"), side(F.var_samp, ~is_a).alias("vb"), F.sum(F.when(is_a, F.col("_r"))).alias("ra"), F.sum(F.col("_r_ties").cast("double") * F.col("_r_ties") - 1).alias("tie"),
     )
     na, nb, n = F.col("na"), F.col("nb"), F.col("na") + F.col("nb")
-    pooled = ((na - 1) * F.col("va") + (nb - 1) * F.col("vb")) / (n - 2)
-    sa, sb = F.col("va") / na, F.col("vb") / nb
+    per = F.try_divide
+    pooled = per((na - 1) * F.col("va") + (nb - 1) * F.col("vb"), n - 2)
+    sa, sb = per(F.col("va"), na), per(F.col("vb"), nb)
     u = F.col("ra") - na * (na + 1) / 2
-    z = (F.abs(u - na * nb / 2) - 0.5) / F.sqrt(na * nb / 12 * (n + 1 - F.col("tie") / (n * (n - 1))))
+    z = per(F.abs(u - na * nb / 2) - 0.5, F.sqrt(na * nb / 12 * (n + 1 - per(F.col("tie"), n * (n - 1)))))
     rows = [
-        F.struct(F.lit("student").alias("test"), ((F.col("ma") - F.col("mb")) / F.sqrt(pooled * (1 / na + 1 / nb))).alias("statistic"), (n - 2).alias("df")),
-        F.struct(F.lit("welch").alias("test"), ((F.col("ma") - F.col("mb")) / F.sqrt(sa + sb)).alias("statistic"), ((sa + sb) ** 2 / (sa**2 / (na - 1) + sb**2 / (nb - 1))).alias("df")),
+        F.struct(F.lit("student").alias("test"), per(F.col("ma") - F.col("mb"), F.sqrt(pooled * (per(F.lit(1.0), na) + per(F.lit(1.0), nb)))).alias("statistic"), (n - 2).alias("df")),
+        F.struct(F.lit("welch").alias("test"), per(F.col("ma") - F.col("mb"), F.sqrt(sa + sb)).alias("statistic"), per((sa + sb) ** 2, per(sa**2, na - 1) + per(sb**2, nb - 1)).alias("df")),
         F.struct(F.lit("mann_whitney").alias("test"), z.alias("statistic"), F.lit(None).cast("double").alias("df")),
     ]
     out = g.select(n.cast("long").alias("n"), F.explode(F.array(*rows)).alias("r")).select("r.test", "n", "r.statistic", "r.df")
@@ -128,21 +129,21 @@ def mann_whitney(df: DataFrame, group: str, value: str, a: str, b: str) -> DataF
     g = r.agg(F.count_if(is_a).cast("double").alias("na"), F.count_if(~is_a).cast("double").alias("nb"), F.sum(F.when(is_a, F.col("_r"))).alias("ra"), F.sum(F.col("_r_ties").cast("double") * F.col("_r_ties") - 1).alias("tie"))
     na, nb, n = F.col("na"), F.col("nb"), F.col("na") + F.col("nb")
     u = F.col("ra") - na * (na + 1) / 2
-    return g.select(u.alias("u"), (F.col("ra") / na).alias("mean_rank"), ((F.abs(u - na * nb / 2) - 0.5) / F.sqrt(na * nb / 12 * (n + 1 - F.col("tie") / (n * (n - 1))))).alias("z"))
+    return g.select(u.alias("u"), F.try_divide("ra", na).alias("mean_rank"), F.try_divide(F.abs(u - na * nb / 2) - 0.5, F.sqrt(na * nb / 12 * (n + 1 - F.try_divide(F.col("tie"), n * (n - 1))))).alias("z"))
 
 
 def paired_t(df: DataFrame, x: str, y: str) -> DataFrame:
     """RA-10: test, n, statistic, df, p."""
     d = F.col(x) - F.col(y)
-    g = df.agg(F.count(d).alias("n"), (F.avg(d) / (F.stddev_samp(d) / F.sqrt(F.count(d)))).alias("statistic"))
+    g = df.agg(F.count(d).alias("n"), F.try_divide(F.avg(d), F.try_divide(F.stddev_samp(d), F.sqrt(F.count(d)))).alias("statistic"))
     return g.select(F.lit("paired").alias("test"), "n", "statistic", (F.col("n") - 1).cast("double").alias("df")).withColumn("p", special.t_p_value("statistic", "df"))
 
 
 def ols(df: DataFrame, y: str, x: str) -> DataFrame:
     """RA-5: n, slope, intercept, se, t, p, r2 of a line."""
     g = df.agg(F.regr_count(y, x).alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"), F.regr_sxx(y, x).alias("_sxx"), F.regr_syy(y, x).alias("_syy"))
-    se = F.sqrt((1 - F.col("r2")) * F.col("_syy") / (F.col("n") - 2) / F.col("_sxx"))
-    g = g.withColumn("se", se).withColumn("t", F.col("slope") / F.col("se"))
+    se = F.sqrt(F.try_divide((1 - F.col("r2")) * F.col("_syy"), (F.col("n") - 2) * F.col("_sxx")))
+    g = g.withColumn("se", se).withColumn("t", F.try_divide("slope", "se"))
     return g.withColumn("p", special.t_p_value("t", F.col("n").cast("double") - 2)).drop("_sxx", "_syy")
 
 
@@ -151,7 +152,7 @@ def anova(df: DataFrame, group: str, value: str) -> DataFrame:
     g = df.where(F.col(value).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(value).alias("m"), F.var_samp(value).alias("v"))
     t = g.agg(F.sum("n").alias("n"), F.count(F.lit(1)).cast("double").alias("k"), F.sum(F.col("n") * F.col("m")).alias("s"), F.sum(F.col("n") * F.col("m") ** 2).alias("q"), F.sum((F.col("n") - 1) * F.coalesce("v", F.lit(0.0))).alias("w"))
     d1, d2 = F.col("k") - 1, F.col("n") - F.col("k")
-    out = t.select(F.col("n").cast("long").alias("n"), ((F.col("q") - F.col("s") ** 2 / F.col("n")) / d1 / (F.col("w") / d2)).alias("statistic"), d1.alias("df1"), d2.alias("df2"))
+    out = t.select(F.col("n").cast("long").alias("n"), F.try_divide(F.try_divide(F.col("q") - F.try_divide(F.col("s") ** 2, F.col("n")), d1), F.try_divide(F.col("w"), d2)).alias("statistic"), d1.alias("df1"), d2.alias("df2"))
     return out.withColumn("p", special.f_p_value("statistic", "df1", "df2"))
 
 
@@ -161,7 +162,7 @@ def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
     g = r.groupBy(group).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("_r").alias("s"), F.sum(F.col("_r_ties").cast("double") * F.col("_r_ties") - 1).alias("tie"))
     t = g.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum(F.col("s") ** 2 / F.col("n")).alias("q"), F.sum("tie").alias("tie"))
     n = F.col("n")
-    h = (12 / (n * (n + 1)) * F.col("q") - 3 * (n + 1)) / (1 - F.col("tie") / (n**3 - n))
+    h = F.try_divide(12 / (n * (n + 1)) * F.col("q") - 3 * (n + 1), 1 - F.try_divide(F.col("tie"), n**3 - n))
     out = t.select(n.cast("long").alias("n"), h.alias("statistic"), (F.col("k") - 1).cast("double").alias("df"))
     return out.withColumn("p", special.chi2_p_value("statistic", "df"))
 
