@@ -1,5 +1,5 @@
 """Logs of a run: records, scores, judgements and energy segments, joined to item scores and costs (SRC-6 to SRC-8, JN-1 to JN-3, JN-14,
-AG-5, AG-6, PRJ-3, PRJ-6, PRJ-14, PRJ-15, FLT-2 to FLT-5, JN-9, JN-19, AG-14, AG-21, AG-24, AG-27, JN-27)."""
+AG-5, AG-6, PRJ-3, PRJ-6, PRJ-14, PRJ-15, FLT-2 to FLT-5, JN-9, JN-19, AG-14, AG-21, AG-24, AG-27, FN-35, JN-27)."""
 
 from __future__ import annotations
 
