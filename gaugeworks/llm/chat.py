@@ -57,13 +57,13 @@ class Window:
     first: int
 
 
-def windows(turns: Iterator[tuple[str, str]], budget: int, history: int, trains=("assistant",), count=tokens) -> Iterator[Window]:
+def windows(turns: Iterator[tuple], budget: int, history: int, trains=("assistant",), count=tokens) -> Iterator[Window]:
     """Windows over a conversation's turns, holding no more than one window's turns and its history.
 
     Each starts with the system turn (the conversation's first turn, if its role is system) and the latest turns of at most
     `history` tokens together, both without loss; then come new turns, at least one, whole. All of it is within `budget`:
     history makes room for the first new turn. Only a turn that is over the budget alone or with the system turn exceeds it,
-    in a window of its own without history. count: the tokens of a formatted turn.
+    in a window of its own without history. A turn is role, text and, if known, the tokens of the formatted turn; else count gives them.
     """
     system: list[tuple[str, int]] = []
     past: list[tuple[str, int]] = []
@@ -79,9 +79,9 @@ def windows(turns: Iterator[tuple[str, str]], budget: int, history: int, trains=
             at += len(t)
         return Window(text + "".join(t for t, _, _ in new), loss, len(lead), seen - len(new))
 
-    for role, text in turns:
+    for role, text, *known in turns:
         t = format_turn(role, text)
-        n = count(t)
+        n = known[0] if known else count(t)
         fixed = sum(c for _, c in system)
         if new and fixed + sum(c for _, c in past) + sums[-1] + n > budget:
             yield emit()
@@ -123,6 +123,18 @@ def bpe_count(spec: str):
     return lambda text: len(own.encode(text)) // 4
 
 
+def _counted(batches: Iterator[pa.RecordBatch], spec: str | None) -> Iterator[tuple]:
+    """conv, role, text, tokens: the turns of a batch are counted together, so that their words go through the merges side by side."""
+    from gaugeworks.llm.bpe import Tokenizer, _load
+
+    own = None if spec is None else _load(Tokenizer, spec)
+    for b in batches:
+        rows = list(zip(*[c.to_pylist() for c in b.columns]))
+        turns = [format_turn(role, text) for _, role, text in rows]
+        counts = map(tokens, turns) if own is None else [len(ids) // 4 for ids in own.encode_all(turns)]
+        yield from ((*row, n) for row, n in zip(rows, counts))
+
+
 def format_windows(conversations: DataFrame, budget: int = 512, history: int = 128, spec: str | None = None, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """conv_col, window (from 0), text, loss (spans [start, stop) in code points of text), repeated (leading turns shown before), first_turn.
 
@@ -138,10 +150,9 @@ def format_windows(conversations: DataFrame, budget: int = 512, history: int = 1
     shared = conversations.sparkSession.sparkContext.broadcast(spec)
 
     def run(batches):
-        count = tokens if shared.value is None else bpe_count(shared.value)
         out, size = [], 0
-        for conv, own in _runs(_by_key(batches)):
-            for k, w in enumerate(windows(((r[1], r[2]) for r in own), budget, history, count=count)):
+        for conv, own in _runs(_counted(batches, shared.value)):
+            for k, w in enumerate(windows((r[1:] for r in own), budget, history)):
                 out.append((conv, k, w.text, [{"start": a, "stop": z} for a, z in w.loss], w.repeated, w.first))
                 size += len(w.text)
                 if size > 4 << 20:
