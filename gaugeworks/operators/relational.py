@@ -204,6 +204,16 @@ def first_match_groups(sets: DataFrame, num: int, den: int) -> DataFrame:
     return rows.select("id", "key").join(named, "key", "left").select("id", F.coalesce("first", "id").alias("first"), "jaccard")
 
 
+def differing(printed: DataFrame, computed: DataFrame, key: str, value: str, tolerance: float) -> DataFrame:
+    """JN-25: key, state, difference of numbers that do not agree: differs (by more than the tolerance), not printed, not computed.
+
+    A null on either side counts as absent; keys are one row a side."""
+    both = printed.select(key, F.col(value).alias("_p")).join(computed.select(key, F.col(value).alias("_c")), key, "full_outer")
+    gap = F.abs(F.col("_p") - F.col("_c"))
+    state = F.when(F.col("_p").isNull(), "not printed").when(F.col("_c").isNull(), "not computed").when(gap > tolerance, "differs")
+    return both.where("_p IS NOT NULL OR _c IS NOT NULL").select(key, state.alias("state"), gap.alias("difference")).where("state IS NOT NULL")
+
+
 def gate(cites: DataFrame, entries: DataFrame) -> DataFrame:
     """JN-20: key and state: ok, unverified, unknown (cited, no entry), unused (entry, not cited). entries: key, verified."""
     both = cites.select("key", F.lit(True).alias("cited")).distinct().join(entries.select("key", "verified"), "key", "full_outer")

@@ -1,9 +1,9 @@
 """All queries of the engine's own operators, by name, with their DuckDB equivalents."""
 
-from gaugeworks.plans import analytics, ranking, runs, streamed, texts
+from gaugeworks.plans import analytics, latex, ranking, runs, streamed, texts
 
 QUERIES = {}
 SQL = {}
-for part in (ranking, analytics, texts, runs, streamed):
+for part in (ranking, analytics, texts, latex, runs, streamed):
     QUERIES |= part.QUERIES
     SQL |= part.SQL

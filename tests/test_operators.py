@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from gaugeworks.functions import special, text
+from gaugeworks.functions import special, tex, text
 from gaugeworks.sources import sinks
 from gaugeworks.operators import judging, references, relational, research, scorers, timeseries
 
@@ -48,8 +48,8 @@ def test_loose_json_and_scanners():
     assert text.similarity("A title: one", "a TITLE one") > 0.9
     assert text.bibtex_fields('@Article{k1, title = {A {B} c}, year = 2020, note="x"}') == {"_type": "article", "_key": "k1", "title": "A {B} c", "year": "2020", "note": "x"}
     assert text.last_object('log {"a": 1} and\n{"b": 2}\n') == '{"b": 2}'
-    masked, held = text.mask(r"See \cite{a} and $x$.")
-    assert masked == "See ⟦0⟧ and ⟦1⟧." and held == [r"\cite{a}", "$x$"]
+    masked, held, tags = tex.mask(r"See \cite{a} and $x$.")
+    assert masked == "See ⟦0⟧ and ⟦1⟧." and held == [r"\cite{a}", "$x$"] and tags == []
 
 
 def test_text_expressions(spark):
@@ -65,7 +65,7 @@ def test_text_expressions(spark):
     assert one(spark, text.clean_doi("v"), t, ("https://doi.org/10.1234/AbC.",), ("none",)) == ["10.1234/abc", None]
     assert one(spark, text.code_block("v"), t, ("a\n```python\nx=1\n```\n```\nlonger text\n```",)) == ["x=1"]
     assert one(spark, text.model_spec("v"), t, ("eng:ven/m@high",))[0].asDict() == {"engine": "eng", "model": "ven/m", "effort": "high", "slug": "eng_ven_m_high"}
-    r = spark.createDataFrame([(r"A \textbf{b} $x$ {c}",)], t).select("v", text.mask_latex("v").alias("m")).select("v", text.unmask_latex("m.masked", "m.held").alias("back")).first()
+    r = spark.createDataFrame([(r"A \textbf{b} $x$ {c}",)], t).select("v", tex.mask_latex("v").alias("m")).select("v", tex.unmask_latex("m.masked", "m.held", "m.tags").alias("back")).first()
     assert r.v == r.back
     assert one(spark, text.canonical_json_sha256("v"), t, ('{"b":1,"a":"é"}',), ('{ "a":"é", "b":1 }',))[0] == one(spark, text.canonical_json_sha256("v"), t, ('{"a":"é","b":1}',))[0]
 
