@@ -311,7 +311,8 @@ put(
     correlations,
     f"""WITH k AS (SELECT p_brand, p_size AS x, p_retailprice AS y, rank() OVER (PARTITION BY p_brand ORDER BY p_size) + (count(*) OVER (PARTITION BY p_brand, p_size) - 1) / 2 AS rx, rank() OVER (PARTITION BY p_brand ORDER BY p_retailprice) + (count(*) OVER (PARTITION BY p_brand, p_retailprice) - 1) / 2 AS ry FROM {{part}}),
 c AS (SELECT p_brand, count(*) AS n, corr(x, y) AS r, corr(rx, ry) AS rho FROM k GROUP BY p_brand), t AS (SELECT *, r * sqrt((n - 2) / (1 - r * r)) AS tr, rho * sqrt((n - 2) / (1 - rho * rho)) AS ts FROM c WHERE n >= 3)
-SELECT p_brand, n, round(r, 6) AS r, round({sql_t('tr', '(n - 2)')}, 6) AS r_p, round(rho, 6) AS rho, round({sql_t('ts', '(n - 2)')}, 6) AS p FROM t""",
+SELECT p_brand, n, round(r, 6) AS r, round(CASE WHEN abs(r) >= 1 - 1e-12 THEN 0.0 ELSE {sql_t('tr', '(n - 2)')} END, 6) AS r_p, round(rho, 6) AS rho,
+round(CASE WHEN abs(rho) >= 1 - 1e-12 THEN 0.0 ELSE {sql_t('ts', '(n - 2)')} END, 6) AS p FROM t""",  # a whole correlation has p 0; the sum of areas fails for its t
 )
 
 
