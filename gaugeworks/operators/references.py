@@ -1,10 +1,12 @@
-"""Bibliographic matching: best match, verdict by DOI or title, credit, multi-source status, audit roll-up (JN-18, FN-33, FN-34, PRJ-16, AG-9)."""
+"""Bibliographic matching: best match, verdict by DOI or title, credit, multi-source status, audit roll-up, reuse,
+lookups, report rows (JN-18, JN-24, JN-26, FN-33, FN-34, PRJ-16, AG-9, SRC-20)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeworks.functions.bibtex import without_footnote
 from gaugeworks.functions.text import clean_doi, fold, surname, title_similarity
 
 
@@ -95,3 +97,45 @@ def audit_rollup(refs: DataFrame) -> DataFrame:
     n = lambda c: F.count_if(c)
     out = refs.groupingSets([["model"], ["grp"]], "model", "grp").agg(F.count(F.lit(1)).alias("listed"), n(~F.col("found")).alias("not_found"), *[n(~F.col("found") & (F.col("class") == k)).alias(k) for k in ("exact", "title", "none")])
     return out.withColumn("none_rate", F.round(F.try_divide("none", "listed"), 4))
+
+
+def reuse_verified(seeds: DataFrame, previous: DataFrame) -> DataFrame:
+    """JN-26: seeds with reused and bibtex: what an earlier run verified and has an entry for, unless the seed is checked by hand.
+
+    seeds: key, title, verify. previous: key, status, bibtex; of a repeated key the least entry."""
+    had = previous.where("status = 'VERIFIED' AND bibtex <> ''").groupBy("key").agg(F.min("bibtex").alias("_b"))
+    out = seeds.join(had, "key", "left")
+    again = F.col("_b").isNotNull() & (F.coalesce("verify", F.lit("auto")) != "manual")
+    return out.select(*seeds.columns, again.alias("reused"), F.when(again, without_footnote(F.col("_b"), F.col("title"))).alias("bibtex"))
+
+
+def lookup_key(source, query, limit: int):
+    """SRC-20: the content address of a search."""
+    return F.sha1(F.to_json(F.array(source, query, F.lit(str(limit)))))
+
+
+def lookups(wanted: DataFrame, cache: DataFrame, used: DataFrame, caps: dict[str, int], limit: int = 5) -> DataFrame:
+    """SRC-20: source, day, query, key, state of each distinct search: empty (no word to ask for), cached, ask, or paused where the
+    source's cap of a day is used up by what was asked before and the searches in front, in order of key.
+
+    wanted: source, day, title. cache: key. used: source, day, n. Sources without a cap are always asked."""
+    q = wanted.select("source", "day", fold("title").alias("query")).distinct().withColumn("key", lookup_key(F.col("source"), F.col("query"), limit))
+    q = q.join(cache.select("key", F.lit(True).alias("_known")).distinct(), "key", "left")
+    fresh = q.where("query <> '' AND _known IS NULL").where(F.col("source").isin(*caps))
+    # the largest cap is a literal bound, so each task keeps no more rows of a source and day than that
+    w = Window.partitionBy("source", "day").orderBy("key")
+    first = fresh.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= max(caps.values(), default=0))
+    cap = F.coalesce(*[F.when(F.col("source") == s, n) for s, n in caps.items()], F.lit(0))
+    spent = used.groupBy("source", "day").agg(F.sum("n").alias("_spent"))
+    first = first.join(spent, ["source", "day"], "left").where(F.col("_n") + F.coalesce("_spent", F.lit(0)) <= cap)
+    out = q.join(first.select("key", "day", F.lit(True).alias("_ask")), ["key", "day"], "left")
+    state = F.when(F.col("query") == "", "empty").when(F.col("_known"), "cached").when(F.col("_ask") | ~F.col("source").isin(*caps), "ask").otherwise("paused")
+    return out.select("source", "day", "query", "key", state.alias("state"))
+
+
+def report_rows(ranking: DataFrame, audit: DataFrame, diagnostics: DataFrame, key: str = "model") -> DataFrame:
+    """JN-24: a row a ranked model with its audit and diagnostics beside it, null where there are none, and whether the next one is of
+    another engine. ranking: key, place, engine; the others have a row a key."""
+    wide = ranking.join(audit, key, "left").join(diagnostics, key, "left")
+    after = ranking.select((F.col("place") - 1).alias("place"), F.col("engine").alias("_next"))
+    return wide.join(after, "place", "left").withColumn("rule", F.coalesce(F.col("_next") != F.col("engine"), F.lit(False))).drop("_next")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -130,3 +134,43 @@ def bibliographic(rows: DataFrame, source: str) -> DataFrame:
     from gaugeworks.functions.text import clean_doi
 
     return rows.select("*", F.lit(source).alias("source"), get(paths[0]).alias("title"), F.get(years, F.lit(0)).alias("year"), clean_doi(get(paths[1])).alias("doi"), names.alias("authors"), years.alias("years"))
+
+
+@dataclass
+class Context:
+    """UD-3: what scorers share: the session, the folders of public and private items, a cache by name, and whether sources may be asked."""
+
+    spark: SparkSession
+    public: str
+    private: str | None = None
+    offline: bool = True
+    cache: dict = field(default_factory=dict)
+
+    def table(self, name: str, read: Callable[[SparkSession, str], DataFrame], private: bool = False) -> DataFrame:
+        """A folder's table, read once; a private one without a private folder is an error."""
+        folder = self.private if private else self.public
+        if folder is None:
+            raise ValueError(f"{name} is private and there is no private folder")
+        if (private, name) not in self.cache:
+            self.cache[private, name] = read(self.spark, f"{folder}/{name}")
+        return self.cache[private, name]
+
+
+def seeds(spark: SparkSession, text: str) -> DataFrame:
+    """SRC-28: key, title, year, authors, verify, fields of a YAML list of entries; a key that occurs twice is an error."""
+    import yaml
+
+    entries = (yaml.safe_load(text) or {}).get("entries") or []
+    count = Counter(str(e["key"]) for e in entries)
+    if twice := sorted(k for k, n in count.items() if n > 1):
+        raise ValueError(f"keys that occur twice: {twice}")
+    rows = [(str(e["key"]), e.get("title"), e.get("year"), list(e.get("authors") or []), e.get("verify", "auto"), {k: str(v) for k, v in e.items() if not isinstance(v, list)}) for e in entries]
+    return spark.createDataFrame(rows, "key string, title string, year int, authors array<string>, verify string, fields map<string,string>")
+
+
+def glossary(spark: SparkSession, text: str | None) -> DataFrame:
+    """SRC-28: term, target of a YAML map, in its order by pos; no text is no terms."""
+    import yaml
+
+    rows = [(k, str(term), str(target)) for k, (term, target) in enumerate((yaml.safe_load(text or "") or {}).items())]
+    return spark.createDataFrame(rows, "pos int, term string, target string")

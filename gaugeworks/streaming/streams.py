@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.operators.relational import shared_dir
+from gaugeworks.sources.readers import power_lines
 
 
 def resumable(stream: DataFrame, keys: list[str], ts: str, delay: str = "6 hours") -> DataFrame:
@@ -13,6 +14,14 @@ def resumable(stream: DataFrame, keys: list[str], ts: str, delay: str = "6 hours
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
 
 
+def sampler(spark: SparkSession, folder: str, delay: str = "6 hours") -> DataFrame:
+    """SRC-22: a stream of the sampler's files of lines, `seconds,gpu,watts,mem_mib,util`, each sample once; what comes later than
+    `delay` behind the latest sample is dropped, and so is the state."""
+    lines = spark.readStream.schema("value string").text(folder)
+    timed = lines.select(F.timestamp_millis((F.substring_index("value", ",", 1).try_cast("double") * 1000).cast("long")).alias("ts"), F.regexp_replace("value", "^[^,]*,", "").alias("value"))
+    return resumable(power_lines(timed).where("ts IS NOT NULL").drop("value"), ["ts", "gpu"], "ts", delay)
+
+
 def latest_state(stream: DataFrame, keys: list[str], seq: str, failed) -> DataFrame:
     """SM-7: the last record that did not fail, else the last; for update or complete mode. State is a row a key."""
     rest = [c for c in stream.columns if c not in keys]
