@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import ann, bpe, chat, context_tree, decontamination, jaccard, quality, sharding, substring, suffix_array
+from gaugeworks.llm import ann, bpe, chat, clustering, context_tree, decontamination, jaccard, license_scan, quality, resampling, sharding, substring, suffix_array
 from gaugeworks.llm.common import table
 
 
@@ -134,5 +134,60 @@ def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_decontamination": op2_decontamination, "op4_bpe": op4_bpe, "op3_jaccard": op3_jaccard, "op5_substring": op5_substring, "op6_chat": op6_chat, "op7_ann": op7_ann, "op8_lm": op8_lm, "op9_suffix_array": op9_suffix_array, "op10_quality": op10_quality}
-SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op3_jaccard": OP3_SQL, "op5_substring": OP5_SQL, "op9_suffix_array": OP9_SQL}
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scanned for license notices by all rules."""
+    out = license_scan.scan(table(spark, sf_dir, "documents"))
+    named = [F.array_join(c, ",").alias(c) for c in ("base_labels", "labels")]
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", *named, "score", F.size("detections").cast("long").alias("n_detections"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents weighted towards the benchmark's words; a tenth of those of 20 words or more drawn."""
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP12_SQL = r"""
+WITH crc AS (SELECT list_transform(range(0, 256), lambda n: list_reduce(range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS t),
+w AS (SELECT kind, id, regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+      FROM (SELECT doc_id AS id, coalesce(text, '') AS t, 'd' AS kind FROM documents UNION ALL SELECT item_id, coalesce(text, ''), 'b' FROM benchmark)),
+x AS (SELECT kind, id, unnest(ws) AS f FROM w),
+n AS (SELECT f, count(*) FILTER (kind = 'd') AS s, count(*) FILTER (kind = 'b') AS t FROM x GROUP BY f),
+h AS (SELECT f, s, n.t, xor(list_reduce(list_transform(range(0, octet_length(encode(f))), lambda i: CAST('0x' || substr(hex(encode(f)), 2 * i + 1, 2) AS BIGINT)),
+        lambda c, b: xor(c >> 8, crc.t[(xor(c, b) & 255) + 1]), CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT)) % 10000 AS b FROM n, crc),
+g AS (SELECT b, CAST(floor(1000 * ln((CAST(sum(t) AS DOUBLE) + 1) * ((SELECT CAST(sum(s) AS DOUBLE) FROM n) + 10000) / ((CAST(sum(s) AS DOUBLE) + 1) * ((SELECT CAST(sum(t) AS DOUBLE) FROM n) + 10000)))) AS BIGINT) AS gain FROM h GROUP BY b),
+d AS (SELECT id, count(*) AS n, sum(gain) AS total FROM x JOIN h USING (f) JOIN g USING (b) WHERE kind = 'd' GROUP BY id),
+v AS (SELECT w.id AS doc_id, CAST(len(ws) AS BIGINT) AS n_features, coalesce(CAST(floor(total / n) AS BIGINT), 0) AS weight,
+        CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || w.id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS noise FROM w LEFT JOIN d ON d.id = w.id WHERE kind = 'd'),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY weight + noise DESC, doc_id) AS k, count(*) OVER () AS n FROM v WHERE n_features >= 20)
+SELECT v.doc_id, n_features, weight, weight + noise AS score, CASE WHEN k <= n * 10 // 100 THEN k END AS rank FROM v LEFT JOIN r USING (doc_id)
+"""
+
+
+def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings in 8 clusters after 10 rounds."""
+    return clustering.cluster(table(spark, sf_dir, "embeddings"))[0]
+
+
+def op13_sql(rounds: int = 10) -> str:
+    """The rounds written out one after another."""
+    square = "list_sum(list_transform(list_zip(v, m), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    steps = [
+        """WITH k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS j, v AS m FROM k QUALIFY j < 8)"""
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"a{i} AS MATERIALIZED (SELECT r, min(vec_id) AS vec_id, any_value(v) AS v, arg_min(j, (d, j)) AS j, min(d) AS d FROM (SELECT r, vec_id, v, j, {square} AS d FROM k, c{i}) GROUP BY r)")
+        if i < rounds:
+            mean = "SELECT j, list((s - ((s % n + n) % n)) // n ORDER BY i) AS m FROM (SELECT j, i, sum(x) AS s, count(*) AS n FROM (SELECT j, unnest(v) AS x, unnest(range(0, 64)) AS i FROM {a}) GROUP BY j, i) GROUP BY j"
+            steps.append(f"c{i + 1} AS MATERIALIZED (SELECT c{i}.j, coalesce(n.m, list_transform(c{i}.m, lambda x: CAST(x AS HUGEINT))) AS m FROM c{i} LEFT JOIN ({mean.replace('{a}', f'a{i}')}) n USING (j))")
+    return ",\n".join(steps) + f"""
+SELECT vec_id, CAST(a{rounds}.j AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY a{rounds}.j) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+sha256(array_to_string(m, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} USING (j)"""
+
+
+QUERIES = {
+    "op1_sharding": op1_sharding, "op2_decontamination": op2_decontamination, "op4_bpe": op4_bpe, "op3_jaccard": op3_jaccard, "op5_substring": op5_substring, "op6_chat": op6_chat, "op7_ann": op7_ann, "op8_lm": op8_lm,
+    "op9_suffix_array": op9_suffix_array, "op10_quality": op10_quality, "op11_licenses": op11_licenses, "op12_resampling": op12_resampling, "op13_clustering": op13_clustering,
+}
+SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op3_jaccard": OP3_SQL, "op5_substring": OP5_SQL, "op9_suffix_array": OP9_SQL, "op12_resampling": OP12_SQL, "op13_clustering": op13_sql()}
