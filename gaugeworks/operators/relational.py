@@ -141,7 +141,7 @@ def fix_point_reach(edges: DataFrame, roots: DataFrame) -> DataFrame:
     front = seen
     while not front.isEmpty():
         step = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
-        front = _kept(step.join(seen, "node", "left_anti"))
+        front = kept(step.join(seen, "node", "left_anti"))
         seen = seen.union(front)
     return seen
 
@@ -156,7 +156,7 @@ def shared_dir(spark) -> str:
     return sc.getCheckpointDir()
 
 
-def _kept(df: DataFrame) -> DataFrame:
+def kept(df: DataFrame) -> DataFrame:
     """df, stored in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
@@ -189,15 +189,15 @@ def first_match_groups(sets: DataFrame, num: int, den: int) -> DataFrame:
 
     sets: id, w (distinct, in order); rows without words are alone, their jaccard null. Equal sets are one node. A round settles
     all nodes without an undecided smaller neighbour: they begin groups, and their neighbours cannot."""
-    rows = _kept(sets.withColumn("key", F.sha2(F.array_join(F.transform("w", lambda x: x.cast("string")), " "), 256)))
-    nodes = _kept(rows.where(F.size("w") > 0).groupBy("key").agg(F.min("id").alias("node"), F.first("w").alias("w")))
-    edges = _kept(jaccard_pairs(nodes.select("node", "w"), num, den))
+    rows = kept(sets.withColumn("key", F.sha2(F.array_join(F.transform("w", lambda x: x.cast("string")), " "), 256)))
+    nodes = kept(rows.where(F.size("w") > 0).groupBy("key").agg(F.min("id").alias("node"), F.first("w").alias("w")))
+    edges = kept(jaccard_pairs(nodes.select("node", "w"), num, den))
     left, members = edges.select("a", "b"), edges.select("b").limit(0)
     while not left.isEmpty():
         heads = left.select("a").join(left.select(F.col("b").alias("a")), "a", "left_anti").distinct()
-        out = _kept(left.join(heads, "a", "left_semi").select("b").distinct())
+        out = kept(left.join(heads, "a", "left_semi").select("b").distinct())
         members = members.union(out)
-        left = _kept(left.join(out, "b", "left_anti").join(out.select(F.col("b").alias("a")), "a", "left_anti").select("a", "b"))
+        left = kept(left.join(out, "b", "left_anti").join(out.select(F.col("b").alias("a")), "a", "left_anti").select("a", "b"))
     joins = edges.join(members.select(F.col("b").alias("a")), "a", "left_anti").groupBy("b").agg(F.min("a").alias("first"), F.min_by("jaccard", "a").alias("jaccard"))
     named = nodes.select("key", "node").join(joins.withColumnRenamed("b", "node"), "node", "left")
     named = named.select("key", F.coalesce("first", "node").alias("first"), F.coalesce("jaccard", F.lit(1.0)).alias("jaccard"))
@@ -226,7 +226,7 @@ def running(df: DataFrame, order: str, value: str, how: str, out: str, own: bool
 
     No task holds all rows: they are dealt by ranges and stored, so that ranges stay what they are; a range's total goes on to the later ones."""
     agg = {"sum": F.sum, "max": F.max}[how]
-    parts = _kept(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
+    parts = kept(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
     totals = parts.groupBy("_part").agg(agg(value).alias("_total"))
     before = totals.select("_part", agg("_total").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_earlier"))
     here = agg(value).over(Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0 if own else -1))

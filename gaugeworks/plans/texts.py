@@ -180,16 +180,44 @@ put("energy_segments", energy_segments)
 
 
 def title_similarity(spark, sf_dir):
-    """FN-31, JN-18: the best candidate for each part name among those of its brand."""
-    p = table(spark, sf_dir, "part")
-    seeds = p.groupBy("p_type", "p_name", "p_brand").agg(F.min("p_partkey").alias("seed"))
-    seeds = seeds.select("seed", F.concat_ws(" ", "p_type", "p_name").alias("title"), F.lit(2020).alias("year"), F.col("p_brand").alias("author"))
-    found = p.groupBy("p_name", "p_brand").agg(F.min("p_partkey").alias("pos"))
-    found = found.select("pos", F.col("p_name").alias("title"), F.array(F.lit(2021)).alias("years"), F.array("p_brand").alias("authors"), F.lit("catalogue").alias("source"))
-    return references.best_match(seeds, found, 0.6, 0.65).select("seed", "pos", F.round("similarity", 6).alias("similarity"))
+    """FN-31, FN-32, JN-18: page titles with letters swapped as seeds, against all page titles; hosts are authors, some works have none, languages are sources."""
+    p = table(spark, sf_dir, "pages").withColumn("k", F.col("page_id"))
+    title = F.regexp_extract("html", r"<title>([^<]*)</title>", 1)
+    host = F.regexp_extract("url", r"//(?:m\.|www\.)?([^./]*)", 1)
+    seeds = p.select(F.col("k").alias("seed"), F.when(F.col("k") % 3 == 0, F.translate(title, "xz", "zx")).when(F.col("k") % 3 == 1, F.concat(title, F.lit(": a note"))).otherwise(title).alias("title"), F.when(F.col("k") % 7 != 0, 2000 + F.col("k") % 4).cast("int").alias("year"), F.concat(F.lit("Dr. "), host).alias("author"), F.when(F.col("k") % 11 == 0, "arxiv").alias("type"))
+    years = F.when(F.col("k") % 5 == 0, F.array().cast("array<int>")).otherwise(F.array((2000 + F.col("k") % 6).cast("int")))
+    authors = F.when(F.col("k") % 6 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("Ann Other"), F.concat(F.lit("É. "), host, F.lit("son"))))
+    found = p.select(F.col("k").alias("pos"), title.alias("title"), years.alias("years"), authors.alias("authors"), (F.col("k") % 2).alias("source"))
+    return references.best_match(seeds, found).select("seed", "source", "pos", F.round("similarity", 6).alias("similarity"), "agrees")
 
 
-put("title_similarity", title_similarity)
+put(
+    "title_similarity",
+    title_similarity,
+    r"""WITH RECURSIVE p AS (SELECT page_id AS k, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t, regexp_extract(url, '//(?:m\.|www\.)?([^./]*)', 1) AS host FROM {pages}),
+seeds AS (SELECT k AS seed, CASE k % 3 WHEN 0 THEN translate(t, 'xz', 'zx') WHEN 1 THEN t || ': a note' ELSE t END AS st, CASE WHEN k % 7 <> 0 THEN 2000 + k % 4 END AS year, host, k % 11 = 0 AS preprint FROM p),
+found AS (SELECT k AS pos, t AS ct, CASE WHEN k % 5 <> 0 THEN 2000 + k % 6 END AS y, CASE WHEN k % 6 <> 0 THEN host END AS who, k % 2 AS source FROM p),
+v AS (SELECT st AS t, 0 AS side FROM seeds UNION SELECT ct, 1 FROM found),
+w AS (SELECT side, t, head, trim(regexp_replace(lower(strip_accents(CASE WHEN head THEN split_part(t, ':', 1) ELSE t END)), '[^a-z0-9]+', ' ', 'g')) AS f FROM v, (VALUES (false), (true)) h(head)),
+x AS (SELECT * FROM w WHERE f <> '' AND (NOT head OR length(f) >= 15)),
+cand AS MATERIALIZED (SELECT a.f AS fa, b.f AS fb, row_number() OVER () AS id FROM (SELECT DISTINCT f FROM x WHERE side = 0) a, (SELECT DISTINCT f FROM x WHERE side = 1) b
+  WHERE 2 * least(length(a.f), length(b.f)) >= 0.9 * (length(a.f) + length(b.f))
+  AND 2 * list_sum(list_transform(string_split('abcdefghijklmnopqrstuvwxyz0123456789 ', ''), lambda c: least(length(a.f) - length(replace(a.f, c, '')), length(b.f) - length(replace(b.f, c, ''))))) >= 0.9 * (length(a.f) + length(b.f)) - 1e-9),
+blk AS (SELECT id, fa, fb, 1 AS alo, length(fa) + 1 AS ahi, 1 AS blo, length(fb) + 1 AS bhi, CAST(0 AS BIGINT) AS m FROM cand
+  UNION ALL
+  SELECT id, fa, fb, CASE WHEN side = 0 THEN alo ELSE i + n END, CASE WHEN side = 0 THEN i ELSE ahi END, CASE WHEN side = 0 THEN blo ELSE j + n END, CASE WHEN side = 0 THEN j ELSE bhi END, CASE WHEN side = 0 THEN n ELSE 0 END
+  FROM (SELECT id, any_value(fa) AS fa, any_value(fb) AS fb, alo, any_value(ahi) AS ahi, blo, any_value(bhi) AS bhi, arg_min(i, (-n, i, j)) AS i, arg_min(j, (-n, i, j)) AS j, max(n) AS n
+    FROM (SELECT id, any_value(fa) AS fa, any_value(fb) AS fb, alo, any_value(ahi) AS ahi, blo, any_value(bhi) AS bhi, min(i) AS i, min(j) AS j, count(*) AS n
+      FROM (SELECT *, i - row_number() OVER (PARTITION BY id, alo, blo, i - j ORDER BY i) AS run
+        FROM (SELECT *, unnest(range(blo, bhi)) AS j FROM (SELECT * EXCLUDE (m), unnest(range(alo, ahi)) AS i FROM blk WHERE ahi > alo AND bhi > blo)) WHERE fa[i] = fb[j])
+      GROUP BY id, alo, blo, i - j, run) GROUP BY id, alo, blo), (VALUES (0), (1)) s(side)),
+ratio AS (SELECT fa, fb, 2.0::DOUBLE * sum(m) / (length(fa) + length(fb)) AS r FROM blk GROUP BY id, fa, fb),
+alike AS (SELECT a.t AS st, b.t AS ct, max(r) AS similarity FROM ratio JOIN x a ON a.f = fa AND a.side = 0 JOIN x b ON b.f = fb AND b.side = 1 AND b.head = a.head WHERE r >= 0.9 GROUP BY 1, 2),
+pair AS (SELECT seed, source, pos, similarity, who IS NULL OR length(host) < 3 OR contains(who || 'son', host) AS agrees, preprint,
+  length(trim(regexp_replace(lower(strip_accents(st)), '[^a-z0-9]+', ' ', 'g'))) >= 40 AS wide FROM seeds JOIN alike USING (st) JOIN found USING (ct) WHERE year IS NULL OR y IS NULL OR abs(year - y) <= 1)
+SELECT seed, source, arg_min(pos, (-similarity, pos)) AS pos, round(max(similarity), 6) AS similarity, arg_min(agrees, (-similarity, pos)) AS agrees
+FROM pair WHERE agrees OR (wide AND NOT preprint AND similarity >= 0.95) GROUP BY seed, source""",
+)
 
 
 def p_values(spark, sf_dir):

@@ -62,7 +62,8 @@ def test_text_expressions(spark):
     assert one(spark, text.length_score(F.length("v"), 250, 400), t, ("x" * 200,), ("x" * 300,), ("x" * 500,), ("x" * 900,)) == [0.875, 1.0, 0.75, 0.0]
     assert one(spark, text.sentences("v"), t, ("One two three four. five six. Seven eight nine ten! No.",)) == [["One two three four. five six.", "Seven eight nine ten!"]]
     assert one(spark, text.sentences("v", 1, False), t, ("One. two. 3",)) == [["One.", "two.", "3"]]
-    assert one(spark, text.clean_doi("v"), t, ("https://doi.org/10.1234/AbC.",), ("none",)) == ["10.1234/abc", None]
+    assert one(spark, text.clean_doi("v"), t, (" https://doi.org/10.1234/AbC.",), ("none",), ("doi:10.1/x",), (None,)) == ["10.1234/abc.", "none", "doi:10.1/x", ""]
+    assert one(spark, text.surname("v"), t, ("José Müller ",), ("Müller, José",), ("O'Brien-Smith",), ("",), (None,)) == ["muller", "jose", "o brien smith", "", ""]
     assert one(spark, text.code_block("v"), t, ("a\n```python\nx=1\n```\n```\nlonger text\n```",)) == ["x=1"]
     assert one(spark, text.model_spec("v"), t, ("eng:ven/m@high",))[0].asDict() == {"engine": "eng", "model": "ven/m", "effort": "high", "slug": "eng_ven_m_high"}
     r = spark.createDataFrame([(r"A \textbf{b} $x$ {c}",)], t).select("v", tex.mask_latex("v").alias("m")).select("v", tex.unmask_latex("m.masked", "m.held", "m.tags").alias("back")).first()

@@ -1,5 +1,6 @@
 """Operators over run logs, tests with p values and records on small cases with known answers."""
 
+import json
 import random
 
 import pytest
@@ -81,6 +82,62 @@ def test_verdicts(spark):
     assert got == {1: (True, True, "10.1234/x", True, "doi"), 2: (True, False, "10.1234/x", False, "title"), 3: (False, False, None, None, None), 4: (True, False, "10.9999/p", None, "title")}
 
 
+def test_verdicts_in_two_steps(spark):
+    """Works found by title alone count only where none found by title and author matches; arXiv DOIs resolve by their id."""
+    title = "A study of boiler pressure and heat in long pipes of rivers"
+    seeds = spark.createDataFrame([(1, title, 2020, "Ann Bee", "10.48550/arXiv.2001.00001"), (2, title, 2020, "Ann Bee", "10.48550/2001.00001"), (3, "Other work on long pipes of many rivers", 2020, "Cy Dee", None)], "seed int, title string, year int, author string, doi string")
+    known = spark.createDataFrame([("10.48550/arxiv.2001.00001", title, [2020], ["Ann Bee"]), ("10.48550/2001.00001", title, [2020], ["Ann Bee"])], "doi string, title string, years array<int>, authors array<string>")
+    found = spark.createDataFrame([(1, title + " x", [2020], ["A. Bee"], "10.1/a", 1), (2, title, [2020], ["A. Bee"], "10.1/b", 2), (3, "Other work on long pipes of many rivers", [2020], ["Someone Else"], "10.1/c", 2)], "pos int, title string, years array<int>, authors array<string>, doi string, step int")
+    got = {r.seed: tuple(r)[1:] for r in references.verify(seeds, known, found).collect()}
+    assert got == {1: (True, True, "10.48550/arxiv.2001.00001", True, "doi"), 2: (True, False, "10.1/a", False, "title"), 3: (False, False, None, None, None)}
+
+
+def test_audit_classes(spark):
+    t = "A study of boiler pressure and heat"
+    refs = [(1, t, 2020, "Ann Bee", "10.1/x", False), (2, t, 2010, "Ann Bee", None, None), (3, "Nothing like it at all here", 2020, "Ann Bee", "10.1/away", False), (4, None, 2020, "A", None, None), (5, t, None, "A", None, None), (6, "Unknown and never answered", 2020, "A B", None, None), (7, "No such work in the world", 2020, "A B", "10.1/x", True), (8, "Pumps and their long history", 2020, "Cy Dee", None, None)]
+    frame = spark.createDataFrame(refs, "seed int, title string, year int, author string, doi string, doi_resolves boolean")
+    by_doi = spark.createDataFrame([("10.1/X", t, [2020], ["Ann Bee"]), ("10.1/away", None, None, None)], "doi string, title string, years array<int>, authors array<string>")
+    searched = spark.createDataFrame([("b", 1, "Pumps and their long history", [2020], ["Cy Dee"], "10.1/B"), ("a", 2, "Pumps and their long history", [2021], ["C. Dee"], "10.1/A"), ("other", 3, "No such work in the world", [2020], ["A B"], "")], "source string, pos int, title string, years array<int>, authors array<string>, doi string")
+    away = spark.createDataFrame([("a", "Unknown and never answered")], "source string, title string")
+    got = {r.seed: (r["class"], r.via, r.doi) for r in references.audit(frame, by_doi, searched, away, ("a", "b")).collect()}
+    assert got == {1: ("exact", "doi.org", "10.1/x"), 2: ("none", None, ""), 3: ("unchecked", None, ""), 4: ("none", None, ""), 5: ("none", None, ""), 6: ("unchecked", None, ""), 7: ("none", None, ""), 8: ("exact", "a", "10.1/a")}
+    old = spark.createDataFrame([("a", 9, t, [1990], ["X Y"], "")], searched.schema)
+    assert {r.seed: r["class"] for r in references.audit(frame, by_doi, old, away, ("a", "b")).collect()}[2] == "title"
+
+
+def test_adopted_dois(spark):
+    seeds = [(1, "10.1/own", "article", None, "auto"), (2, "10.1/wrong", "article", None, "auto"), (3, None, "article", None, None), (4, None, "arxiv", "2001.1", "auto"), (5, "10.1/m", "book", None, "manual"), (6, None, "article", None, "auto")]
+    titles = {1: "Boiler pressure and heat in the long pipes of rivers", 2: "Wooden pumps of the early mining towns examined", 3: "Counting seabirds from slow aeroplanes at dusk", 4: "Preprint about nothing in the world", 5: "A book", 6: "Found by nobody anywhere"}
+    frame = spark.createDataFrame([(k, titles[k], 2020, "Ann Bee", *rest) for k, *rest in seeds], "seed int, title string, year int, author string, doi string, type string, arxiv string, verify string")
+    kind = "source string, {} title string, years array<int>, authors array<string>, doi string, year int"
+    records = [("crossref", "10.1/own", titles[1], "10.1/own", 2020), ("crossref", "10.1/two", titles[2], "10.1/two", 2021), ("arxiv", "2001.1", titles[4], "", 2020), ("openalex", "10.48550/arxiv.2001.1", titles[4], "10.48550/arxiv.2001.1", 2020)]
+    searched = [("openalex", 1, titles[1], "10.1/other", 2020), ("openalex", 2, titles[2], "10.1/two", 2020), ("semantic_scholar", 3, titles[1], "", 2020), ("semantic_scholar", 4, titles[3], "10.1/s", 2020), ("scopus", 5, titles[3], "", 2020)]
+    rows = lambda r: [(*x[:2], x[2], [x[4]], ["A. Bee"], *x[3:]) for x in r]
+    out = references.adopted(frame, spark.createDataFrame(rows(records), kind.format("asked string,")), spark.createDataFrame(rows(searched), kind.format("pos int,")))
+    got = {r.seed: (r.status, r.sources, r.doi, r.notes) for r in out.collect()}
+    assert got[1] == ("VERIFIED", ["crossref", "openalex"], "10.1/own", ["other DOIs seen: 10.1/other"])
+    assert got[2] == ("VERIFIED", ["crossref", "openalex"], "10.1/two", ["seed DOI wrong: 10.1/wrong", "DOI adopted: 10.1/two", "crossref: year 2021"])
+    assert got[3] == ("VERIFIED", ["scopus", "semantic_scholar"], "", ["DOI not confirmed: 10.1/s"])
+    assert got[4] == ("VERIFIED", ["arxiv", "openalex"], "", [])
+    assert got[5] == ("MANUAL", [], "10.1/m", ["to be checked by hand"]) and got[6] == ("NOT_FOUND", [], "", [])
+
+
+def test_tolerant_comparison(spark):
+    from gaugeworks.operators import compare
+
+    tol = '{"default": {"abs": 0.01}, "wide": {"rel": 0.1}, "bare": {}}'
+    cases = [
+        (True, "true", True), (True, "1", False), (True, '" TRUE "', True), (False, '"False"', True), (1.5, "1.505", True), (1.5, '"1,5"', True), (1.5, "true", False), (1.5, '"NaN"', False), (1.5, '"x"', False), (2, "2.02", False),
+        ("A b", '" a B"', True), ("3", "3", True), ("1.5", "1.5", True), ("2.0", "2.0", True), ("true", "true", True), ("x", "null", False), ([1, "a"], '[1.001, "A"]', True), ([1], "[1, 2]", False), ([1, 2], "[1]", False), ([], "[]", True), ([1], '{"0": 1}', False),
+        ({"a": {"b": [1, True]}}, '{"a": {"b": [1, true], "c": 0}}', True), ({"a": {"b": 1}}, '{"a": {}}', False), ({}, '{"z": 1}', True), ({}, "[]", False), (None, "null", True), (None, "0", False), ({"a.b": 1, "c": None}, '{"c": null, "a.b": 1}', True),
+    ]
+    rows = [(k, f'{{"v": {got}}}', json.dumps({"v": want}), tol) for k, (want, got, _) in enumerate(cases)]
+    rows += [(100, '{"wide": 108, "bare": 1.001}', '{"wide": 100, "bare": 1, "gone": 1}', tol), (101, "not json", '{"v": 1}', tol), (102, "[1]", '{"v": 1}', None), (103, None, '{"v": 1}', "{}"), (104, '{"v": 1.0000001}', '{"v": 1}', None)]
+    out = {(r.id, r.key): r.ok for r in compare.compare(spark.createDataFrame(rows, "id int, got string, want string, tol string"), "id", "got", "want", "tol").collect()}
+    assert {k: out[k, "v"] for k in range(len(cases))} == {k: ok for k, (_, _, ok) in enumerate(cases)}
+    assert {k: v for k, v in out.items() if k[0] >= 100} == {(100, "wide"): True, (100, "bare"): False, (100, "gone"): False, (101, "v"): False, (102, "v"): False, (103, "v"): False, (104, "v"): True}
+
+
 def test_drained_streams_are_stored(spark, tmp_path):
     spark.range(20).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema("id long").parquet(f"{tmp_path}/in")
