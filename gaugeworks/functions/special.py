@@ -104,3 +104,55 @@ def chi2_p_value(x: pd.Series, df: pd.Series) -> pd.Series:
 @F.pandas_udf(DoubleType())
 def binom_p_value(k: pd.Series, n: pd.Series) -> pd.Series:
     return _each(lambda a, b: binom_two_sided(int(a), int(b)), k, n)
+
+
+def t_upper_quantile(p: float, df: float) -> float:
+    """The t below which a share p of one half or more lies: Student's tail halved between bounds that hold it."""
+    lo, hi = 0.0, 2.0
+    while t_two_sided(hi, df) > 2 * (1 - p):
+        hi *= 2
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if t_two_sided(mid, df) > 2 * (1 - p) else (lo, mid)
+        if hi - lo <= 1e-13 * hi:
+            break
+    return (lo + hi) / 2
+
+
+_z, _wz = (8 * v for v in np.polynomial.legendre.leggauss(128))
+_s, _ws = np.polynomial.legendre.leggauss(96)
+
+
+def range_upper(q: float, k: float, df: float) -> float:
+    """P(studentized range of k means > q): the chance of a range within r, over the normal density, over the density of the error's root."""
+    half = 9 / math.sqrt(2 * df)
+    lo, hi = max(1e-9, 1 - half), 1 + half
+    s, ws = (hi - lo) / 2 * _s + (hi + lo) / 2, (hi - lo) / 2 * _ws
+    log_d = math.log(2) + df / 2 * math.log(df / 2) - math.lgamma(df / 2) + (df - 1) * np.log(s) - df * s * s / 2
+    phi = np.exp(-_z * _z / 2) / math.sqrt(2 * math.pi)
+    below = 0.5 * _erfc(-_z / math.sqrt(2))
+    lower = 0.5 * _erfc(-(_z - q * s[:, None]) / math.sqrt(2))
+    inner = k * (_wz * phi * (below - lower) ** (k - 1)).sum(1)
+    return float(min(1.0, max(0.0, 1 - (ws * np.exp(log_d) * inner).sum())))
+
+
+@F.pandas_udf(DoubleType())
+def norm_quantile(p: pd.Series) -> pd.Series:
+    """The z below which a share p lies."""
+    from statistics import NormalDist
+
+    inverse = NormalDist().inv_cdf
+    return p.map(lambda v: inverse(v) if 0 < v < 1 else None).astype("float64")
+
+
+@F.pandas_udf(DoubleType())
+def t_quantile(p: pd.Series, df: pd.Series) -> pd.Series:
+    """For shares of one half or more."""
+    known = {x: t_upper_quantile(*x) for x in set(zip(p, df)) if not any(pd.isna(v) for v in x) and x[1] > 0}
+    return pd.Series([known.get(x) for x in zip(p, df)], dtype="float64")
+
+
+@F.pandas_udf(DoubleType())
+def range_p_value(q: pd.Series, k: pd.Series, df: pd.Series) -> pd.Series:
+    """Of the studentized range."""
+    return _each(lambda a, b, c: range_upper(a, b, c) if c > 0 else None, q, k, df)
