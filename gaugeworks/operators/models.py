@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from gaugeworks.functions import special
+from gaugeworks.operators.judging import alpha_by
 from gaugeworks.operators.relational import kept
 from gaugeworks.operators.research import C1, C2, C3, C4, C5, C6, G
 from gaugeworks.operators.significance import ranked
 
+__all__ = ["alpha_by", "anova_table", "chosen_tests", "logit_by", "mean_pairs", "normality", "ols_by", "vif_by"]
+
 # ---- regressions ---------------------------------------------------------------------------------------------------
 
 
@@ -244,33 +247,3 @@ def anova_table(df: DataFrame, a: str, b: str, value: str, interaction: bool = T
     out = w.select(F.explode(F.array(row("a", sa, da), row("b", sb, db), *inter, err)).alias("r"), F.try_divide(err["ss"], err["df"]).alias("mse"), err["df"].alias("dfe"))
     out = out.select("r.source", "r.ss", "r.df", F.try_divide("r.ss", "r.df").alias("ms"), "mse", "dfe").withColumn("f", F.when(F.col("source") != "error", F.try_divide("ms", "mse")))
     return out.select("source", "ss", "df", "ms", "f", special.f_p_value("f", "df", "dfe").alias("p"))
-
-
-# ---- agreement -------------------------------------------------------------------------------------------------------------------
-
-
-def alpha_by(ratings: DataFrame, keys: list[str], unit: list[str], value: str, level: str) -> DataFrame:
-    """ST-15, ST-22, ST-23: keys, alpha, n_pairable: Krippendorff's alpha of every group in one pass; null if all pairable values are equal.
-
-    Neither pairs of ratings nor of values are made: disagreement within a unit, and among all, is a sum of squares of its values
-    (interval), of their middle ranks in the group (ordinal), or what equal values leave of all pairs (nominal)."""
-    c = ratings.where(F.col(value).isNotNull()).groupBy(*keys, *unit, F.col(value).alias("v")).agg(F.count(F.lit(1)).cast("double").alias("c"))
-    m = F.sum("c").over(Window.partitionBy(*keys, *unit))
-    c = c.withColumn("m", m).where("m > 1")
-    if level == "ordinal":
-        same = lambda s: [F.col(k).eqNullSafe(F.col(f"{s}{k}")) for k in keys]
-        n = c.groupBy(*keys, "v").agg(F.sum("c").alias("n_v"))
-        upto = F.sum("n_v").over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        mid = n.select(*[F.col(k).alias(f"k_{k}") for k in keys], F.col("v").alias("k_v"), (upto - F.col("n_v") / 2).alias("x"))
-        c = c.join(mid, [*same("k_"), F.col("v") == F.col("k_v")])
-    else:
-        c = c.withColumn("x", F.col("v").cast("double") if level == "interval" else F.lit(0.0))
-    x, k = F.col("x"), F.col("c")
-    by_unit = c.groupBy(*keys, *unit).agg(F.first("m").alias("m"), F.sum(k * k).alias("same"), F.sum(k * x).alias("s"), F.sum(k * x * x).alias("q"))
-    within = (F.col("m") ** 2 - F.col("same")) if level == "nominal" else 2 * (F.col("m") * F.col("q") - F.col("s") ** 2)
-    inner = by_unit.groupBy(*keys).agg(F.sum(within / (F.col("m") - 1)).alias("d_o"), F.sum("m").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
-    if level == "nominal":
-        n = c.groupBy(*keys, "v").agg(F.sum("c").alias("n_v")).groupBy(*keys).agg(F.sum(F.col("n_v") ** 2).alias("same")).withColumnsRenamed({k: f"k_{k}" for k in keys})
-        inner = inner.join(n, [F.col(k).eqNullSafe(F.col(f"k_{k}")) for k in keys] or F.lit(True))
-    among = (F.col("n") ** 2 - F.col("same")) if level == "nominal" else 2 * (F.col("n") * F.col("q") - F.col("s") ** 2)
-    return inner.select(*keys, F.when(among > 1e-9, 1 - (F.col("n") - 1) * F.col("d_o") / among).alias("alpha"), F.col("n").cast("long").alias("n_pairable"))

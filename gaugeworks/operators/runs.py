@@ -196,3 +196,11 @@ def memory_by_process(before: DataFrame, after: DataFrame, least: float = 500.0)
     d = after.join(before.withColumnRenamed("mb", "was"), ["pid", "gpu"], "left").withColumn("took", F.col("mb") - F.coalesce("was", F.lit(0.0))).where(F.col("took") >= least)
     g = d.groupBy("pid").agg(F.round(F.sum("took"), 6).alias("mb"), F.array_sort(F.collect_set("gpu")).alias("gpus"))
     return g.withColumn("least", F.struct("mb", "pid") == F.min(F.struct("mb", "pid")).over(Window.partitionBy()))
+
+
+def usage_fold(events: Column, sums: list[str]) -> Column:
+    """PRJ-9: one usage record of a turn's events, an array of structs in order (fields of sums, model, ttft_s): api_calls; each sum, null where all
+    of its values are; model, the last one named; ttft_s, the first one known."""
+    known = lambda f: F.filter(F.transform(events, lambda e: e[f]), lambda v: v.isNotNull())
+    total = lambda f: F.when(F.size(known(f)) > 0, F.aggregate(known(f), F.lit(0.0), lambda s, v: s + v.cast("double")))
+    return F.struct(F.size(events).cast("long").alias("api_calls"), *[total(f).alias(f) for f in sums], F.try_element_at(F.filter(known("model"), lambda m: m != ""), F.lit(-1)).alias("model"), F.get(known("ttft_s"), F.lit(0)).alias("ttft_s"))

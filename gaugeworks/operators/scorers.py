@@ -38,15 +38,18 @@ def structure(answers: DataFrame, ch3: tuple, ch4: tuple, topical: str) -> DataF
 
 
 def extraction(answers: DataFrame, scalars: list[str], lists: list[str]) -> DataFrame:
-    """item, got struct, want struct, undecided map<string, array<string>>: exact scalars, set F1 of lists without undecided elements; mean over fields the reference has."""
+    """FN-16: item, got struct, want struct, undecided map<string, array<string>>, optionally scored array<string>: the fields that the reference has
+    (null: all). A field of the reference counts even where its value is null: exact scalars, null with null; set F1 of lists without
+    undecided elements, two empty ones agree. Mean over the fields."""
     parts = []
     for f in scalars:
-        parts.append((f, F.when(F.col(f"want.{f}").isNotNull(), F.coalesce((F.col(f"got.{f}") == F.col(f"want.{f}")).cast("double"), F.lit(0.0)))))
+        parts.append((f, F.col(f"got.{f}").eqNullSafe(F.col(f"want.{f}")).cast("double")))
     for f in lists:
         open_ = F.coalesce(F.try_element_at("undecided", F.lit(f)), F.array().cast("array<string>"))
         side = lambda s: F.array_except(F.coalesce(F.col(f"{s}.{f}"), F.array().cast("array<string>")), open_)  # noqa: B023, E731
-        parts.append((f, F.when(F.col(f"want.{f}").isNotNull(), T.set_f1(side("got"), side("want")))))
-    fields = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in parts]), lambda e: e["value"].isNotNull()))
+        parts.append((f, T.set_f1(side("got"), side("want"))))
+    counts = lambda k: F.coalesce(F.array_contains("scored", k), F.lit(True)) if "scored" in answers.columns else F.lit(True)
+    fields = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in parts]), lambda e: counts(e["key"])))
     return answers.withColumn("fields", fields).withColumn("score", mean_of_map("fields"))
 
 
@@ -56,7 +59,7 @@ def mean_of_map(name: str):
     return F.when(F.size(v) > 0, F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.size(v))
 
 
-#: (Name, 2020) and Name (2020), with others or a second name
+#: What counts as a citation by author and year, (Name, 2020) and Name (2020), with others or a second name.
 FOREIGN = (r"\(\s*[A-Z][A-Za-z'’\-]+(?:\s+(?:et\s+al\.?|dkk\.?|&\s+[A-Z][A-Za-z'’\-]+))?,?\s+\d{4}[a-z]?\s*\)", r"\b[A-Z][A-Za-z'’\-]+(?:\s+(?:et\s+al\.?|dkk\.?))?\s+\(\d{4}[a-z]?\)")
 
 
@@ -131,6 +134,20 @@ def coding(answers: DataFrame) -> DataFrame:
     return out.withColumn("score", F.col("_first") / n).withColumn("pass1", F.col("_first") == n).withColumn("pass_repair", F.col("_last") == n).drop("_first", "_last")
 
 
+def coding_json(answers: DataFrame) -> DataFrame:
+    """UD-1, FN-38: item, score, pass1, pass_repair, acc_final of programs by what they printed. answers: item (one row each), attempts array<string> (JSON
+    of each run in turn), expected and tolerance (JSON objects). Keys are compared by value and type, each within its own tolerance."""
+    from gaugeworks.operators.compare import compare
+
+    tries = answers.select("item", "expected", "tolerance", F.posexplode("attempts").alias("turn", "got"), F.size("attempts").alias("runs")).where("turn = 0 OR turn = runs - 1")
+    tries = tries.withColumn("run", F.struct("item", "turn"))
+    ok = compare(tries, "run", "got", "expected", "tolerance").groupBy("run").agg(F.avg(F.col("ok").cast("double")).alias("acc"))
+    best = tries.join(ok, "run", "left").groupBy("item").agg(F.min_by(F.coalesce("acc", F.lit(0.0)), "turn").alias("first"), F.max_by(F.coalesce("acc", F.lit(0.0)), "turn").alias("last"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    out = answers.select("item").join(best, "item", "left")
+    return out.select("item", F.round(zero("first"), 4).alias("score"), (zero("first") == 1).alias("pass1"), (zero("last") == 1).alias("pass_repair"), F.round(zero("last"), 4).alias("acc_final"))
+
+
 def reference_list(refs: DataFrame, requested: int = 5) -> DataFrame:
     """item, exists, doi_given, doi_right per listed reference: mean credit over those asked for; null if a check was not possible."""
     from gaugeworks.operators.references import credit
@@ -167,9 +184,9 @@ def latex_table(compiled, accuracy, rules, labelled):
 
 
 def bibtex_entry(got, want):
-    """Share of expected type, key and fields that are equal when braces, blanks and case are dropped."""
-    plain = lambda v: F.lower(F.regexp_replace(v, r"[{}\s]+", " "))
-    return F.size(F.filter(F.map_entries(want), lambda e: F.coalesce(F.trim(plain(F.try_element_at(got, e["key"]))) == F.trim(plain(e["value"])), F.lit(False)))) / F.size(want)
+    """FN-40: share of the expected type, key and fields that agree."""
+    right = lambda e: F.when(e["key"].isin("_type", "_key"), F.lower(F.try_element_at(got, e["key"])).eqNullSafe(F.lower(e["value"]))).otherwise(T.field_agrees(e["key"], F.try_element_at(got, e["key"]), e["value"]))
+    return F.size(F.filter(F.map_entries(want), right)) / F.size(want)
 
 
 SCORERS = {"methodology": methodology, "structure": structure, "extraction": extraction, "grounded": grounded, "language": language, "coding": coding, "references": reference_list, "latex": latex_table}

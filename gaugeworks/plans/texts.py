@@ -7,6 +7,7 @@ from gaugeworks.functions import special, text
 from gaugeworks.operators import references, relational, scorers, timeseries
 from gaugeworks.plans.dual import Dual
 from gaugeworks.plans.fact import fact, table
+from gaugeworks.plans.streamed import ENERGY_SQL
 
 D = Dual()
 add, put = D.add, D.put
@@ -176,7 +177,7 @@ def energy_segments(spark, sf_dir):
     return timeseries.integrate(s, w, "user_id", "call", "t", "value", "t0", "t1", 7200.0, 7200.0).select("user_id", "call", F.round("integral", 3).alias("joules"))
 
 
-put("energy_segments", energy_segments)
+put("energy_segments", energy_segments, ENERGY_SQL)
 
 
 def title_similarity(spark, sf_dir):

@@ -60,14 +60,28 @@ def macros(numbers: DataFrame, key: str = "key", value: str = "value") -> DataFr
     return numbers.select(F.format_string(r"\newcommand{\%s}{%s}", F.col(key), F.coalesce(F.col(value).cast("string"), F.lit("–"))).alias("value"))
 
 
-def rater_sheet(answers: DataFrame, per_item: int, seed: int) -> DataFrame:
-    """SNK-8, WN-16: answers of each item in a seeded order, models that come up least first, under anonymous ids."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("item").orderBy(F.xxhash64(F.lit(seed), "item", "model"))
-    picked = answers.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= per_item)
-    order = Window.orderBy(F.xxhash64(F.lit(seed + 1), "item", "model"))
-    return picked.withColumn("id", F.format_string("H%02d", F.row_number().over(order))).drop("_k")
+def rater_sheet(answers: DataFrame, per_task: int, seed: int) -> DataFrame:
+    """SNK-8, WN-16: per_task answers of each task, models in turn and the least-used items first (operators/picks.py), under anonymous ids H01, H02 ..
+    in a seeded order; answers: task, model, item, one row each, and what goes with them. Ids are numbered by ranges, not in one task."""
+    from gaugeworks.operators.picks import balanced_picks, seeded
+    from gaugeworks.operators.relational import running
+
+    picked = balanced_picks(answers, per_task, seed).select("task", "model", "item").withColumn("o", seeded(seed + 2, "task", "model", "item")).withColumn("one", F.lit(1))
+    named = running(picked, "o", "one", "sum", "n").select("task", "model", "item", F.format_string("H%02d", F.col("n")).alias("id"))
+    return answers.join(named, ["task", "model", "item"])
+
+
+def sorted_log(df: DataFrame, keys: list[str], path: str, files: int) -> None:
+    """SL-2: rows as JSON lines in order of keys (unique together), in `files` folders file=0, file=1 .. of equal numbers of rows, the same bytes
+    whatever the partitions of df. A row's place comes from ranges and their sizes; no task holds all rows."""
+    from gaugeworks.operators.relational import running
+
+    rows = df.select(F.struct(*keys).alias("key"), F.to_json(F.struct(*df.columns)).alias("value"), F.lit(1).alias("one"))
+    placed = running(rows, "key", "one", "sum", "place")
+    total = placed.count()
+    file = F.floor((F.col("place") - 1) * files / F.lit(max(total, 1))).cast("int")
+    out = placed.select(file.alias("file"), "place", "value").repartition(files, "file").sortWithinPartitions("file", "place")
+    out.select("file", "value").write.partitionBy("file").text(path)
 
 
 def canonical_csv(df: DataFrame, path: str, names: list[str]) -> None:

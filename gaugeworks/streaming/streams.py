@@ -39,9 +39,53 @@ def sessions(stream: DataFrame, ts: str, gap: str, keys: list[str], delay: str =
     return stream.withWatermark(ts, delay).groupBy(F.session_window(ts, gap).alias("s"), *keys).agg(F.count(F.lit(1)).alias("n")).select(F.col("s.start").alias("start"), F.col("s.end").alias("end"), *keys, "n")
 
 
-def windowed_energy(samples: DataFrame, windows: DataFrame, key: str, t: str, margin: float = 2.0) -> DataFrame:
-    """SM-3: a stream of samples against static call windows of their key."""
-    return samples.join(windows, key).where((F.col(t) >= F.col("t0") - margin) & (F.col(t) <= F.col("t1") + margin))
+def segments(stream: DataFrame, key: str, t: str, v: str) -> DataFrame:
+    """A stream of samples as one of stretches between neighbours: key, ta, va, tb, vb. State is the last sample of a key, so stretches
+    go on over triggers. Within a trigger samples go by time; one no later than the last of an earlier trigger makes no stretch."""
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    kind = stream.schema[key].dataType.simpleString()
+    names = [key, "ta", "va", "tb", "vb"]
+
+    def run(k, frames, state):
+        last = tuple(state.get) if state.exists else None
+        rows = pd.concat([f[[t, v]].astype("float64") for f in frames]).dropna().sort_values([t, v], ignore_index=True)
+        if last is not None:
+            rows = pd.concat([pd.DataFrame([last], columns=[t, v]), rows[rows[t] > last[0]]], ignore_index=True)
+        if len(rows):
+            state.update((float(rows[t].iloc[-1]), float(rows[v].iloc[-1])))
+        a, b = rows.iloc[:-1].reset_index(drop=True), rows.iloc[1:].reset_index(drop=True)
+        yield pd.DataFrame({key: k[0], "ta": a[t], "va": a[v], "tb": b[t], "vb": b[v]}, columns=names)[lambda d: d["tb"] > d["ta"]]
+
+    own = stream.select(key, F.col(t).cast("double").alias(t), F.col(v).cast("double").alias(v))
+    return own.groupBy(key).applyInPandasWithState(run, f"`{key}` {kind}, ta double, va double, tb double, vb double", "t double, v double", "append", GroupStateTimeout.NoTimeout)
+
+
+def call_pieces(stream: DataFrame, windows: DataFrame, key: str, t: str, v: str, margin: float = 2.0, bucket: float = 60.0) -> DataFrame:
+    """SM-3: key, call, ta, tb, piece: what each stretch of a stream of samples adds to the integral of each call of its key. windows: key, call, t0, t1.
+
+    Stretches and calls are cut into time buckets and meet by an equal join on key and bucket, in the first bucket that both
+    have; a stretch counts if both its samples are within the margin of the call, as in timeseries.integrate."""
+    cut = lambda df, a, b: df.withColumn("first", F.floor(F.col(a) / bucket)).withColumn("bucket", F.explode(F.sequence(F.floor(F.col(a) / bucket), F.floor(F.col(b) / bucket))))
+    calls = cut(windows.select(key, "call", "t0", "t1").withColumn("lo", F.col("t0") - margin).withColumn("hi", F.col("t1") + margin), "lo", "hi").withColumnRenamed("first", "begins")
+    own = cut(segments(stream, key, t, v).where(F.col("tb") - F.col("ta") <= F.lit(_longest(windows, margin))), "ta", "tb")
+    met = own.join(calls, [key, "bucket"]).where((F.col("bucket") == F.greatest("first", "begins")) & (F.col("ta") >= F.col("lo")) & (F.col("tb") <= F.col("hi")))
+    at = lambda edge: F.col("va") + (F.col("vb") - F.col("va")) * (edge - F.col("ta")) / (F.col("tb") - F.col("ta"))
+    a, b = F.greatest("ta", "t0"), F.least("tb", "t1")
+    return met.select(key, "call", "ta", "tb", F.when(b > a, (at(a) + at(b)) / 2 * (b - a)).alias("piece"))
+
+
+def _longest(windows: DataFrame, margin: float) -> float:
+    """A stretch longer than the longest call with its margins counts for none, and would only fill buckets."""
+    return float(windows.agg(F.max(F.col("t1") - F.col("t0"))).first()[0] or 0.0) + 2 * margin
+
+
+def call_energy(pieces: DataFrame, windows: DataFrame, key: str, margin: float = 2.0) -> DataFrame:
+    """SM-3: windows with their integral from the stored pieces; null unless the samples reach both edges within the margin."""
+    sums = pieces.groupBy(key, "call").agg(F.sum("piece").alias("all"), F.min("ta").alias("from"), F.max("tb").alias("to"))
+    whole = (F.col("from") <= F.col("t0") + margin) & (F.col("to") >= F.col("t1") - margin)
+    return windows.join(sums, [key, "call"], "left").withColumn("integral", F.when(whole, F.col("all"))).drop("all", "from", "to")
 
 
 def budget_stop(stream: DataFrame, key: str, seq: str, amount: str, limit: float) -> DataFrame:

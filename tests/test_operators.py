@@ -64,7 +64,11 @@ def test_text_expressions(spark):
     assert one(spark, text.sentences("v", 1, False), t, ("One. two. 3",)) == [["One.", "two.", "3"]]
     assert one(spark, text.clean_doi("v"), t, (" https://doi.org/10.1234/AbC.",), ("none",), ("doi:10.1/x",), (None,)) == ["10.1234/abc.", "none", "doi:10.1/x", ""]
     assert one(spark, text.surname("v"), t, ("José Müller ",), ("Müller, José",), ("O'Brien-Smith",), ("",), (None,)) == ["muller", "jose", "o brien smith", "", ""]
-    assert one(spark, text.code_block("v"), t, ("a\n```python\nx=1\n```\n```\nlonger text\n```",)) == ["x=1"]
+    fences = [
+        ("a\n```python\nx=1\n```\n```\nlonger text\n```", "x=1\n"), ("```Python\na\n```\nbehind", "a\n"), ("```python title=a\nb\n```", "b\n"), ("```text\nno\n```\nand\n```py\nc\n```\n```py\nccc\n```", "ccc\n"),
+        ("```\nd\n```", "d\n"), ("```sql\nselect\n```", "select\n```"), ("```python\nopen", "open"), ("no block", None), ("", None), (None, None),
+    ]
+    assert one(spark, text.code_block("v"), t, *[(f,) for f, _ in fences]) == [w for _, w in fences]
     assert one(spark, text.model_spec("v"), t, ("eng:ven/m@high",))[0].asDict() == {"engine": "eng", "model": "ven/m", "effort": "high", "slug": "eng_ven_m_high"}
     r = spark.createDataFrame([(r"A \textbf{b} $x$ {c}",)], t).select("v", tex.mask_latex("v").alias("m")).select("v", tex.unmask_latex("m.masked", "m.held", "m.tags").alias("back")).first()
     assert r.v == r.back
