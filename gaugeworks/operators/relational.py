@@ -118,21 +118,29 @@ def islands(df: DataFrame, partition: list[str], order: str, value: str) -> Data
 
 
 def size_batches(df: DataFrame, partition: str, order: str, size: str, limit: int) -> DataFrame:
-    """WN-12: greedy batches: one more begins where a row would take the running size over the limit. State is a number, so rows stream by."""
-    import pandas as pd
-
-    schema = StructType([*df.schema.fields, StructField("batch", IntegerType())])
+    """WN-12: df with batch, from 0 in each group: one more begins where a row would take the running size over the limit; a row beyond it is
+    alone. A null size is 0.
 
-    def run(own: pd.DataFrame) -> pd.DataFrame:
-        own, total, k, out = own.sort_values(order), 0, 0, []
-        for n in own[size]:
-            if out and total + n > limit:
-                k, total = k + 1, 0
-            total += n
-            out.append(k)
-        return own.assign(batch=pd.Series(out, own.index, dtype="int32"))
+    Which row begins a batch depends on all before it, so a group goes through one task in order; rows stream by, sorted by
+    Spark, and what is held is a batch of rows and two numbers."""
+    import pandas as pd
 
-    return df.groupBy(partition).applyInPandas(run, schema)
+    out = StructType([*df.schema.fields, StructField("batch", IntegerType())])
+
+    def run(frames):
+        group, total, k = None, 0, -1
+        for own in frames:
+            batches = []
+            for key, n in zip(own[partition].astype(object).where(own[partition].notna(), None), own[size].fillna(0)):
+                if k < 0 or key != group:
+                    group, total, k = key, 0, 0
+                elif total + n > limit:
+                    k, total = k + 1, 0
+                total += n
+                batches.append(k)
+            yield own.assign(batch=pd.Series(batches, own.index, dtype="int32"))
+
+    return df.repartition(partition).sortWithinPartitions(partition, order).mapInPandas(run, out)
 
 
 def fix_point_reach(edges: DataFrame, roots: DataFrame) -> DataFrame:

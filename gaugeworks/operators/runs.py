@@ -204,3 +204,48 @@ def usage_fold(events: Column, sums: list[str]) -> Column:
     known = lambda f: F.filter(F.transform(events, lambda e: e[f]), lambda v: v.isNotNull())
     total = lambda f: F.when(F.size(known(f)) > 0, F.aggregate(known(f), F.lit(0.0), lambda s, v: s + v.cast("double")))
     return F.struct(F.size(events).cast("long").alias("api_calls"), *[total(f).alias(f) for f in sums], F.try_element_at(F.filter(known("model"), lambda m: m != ""), F.lit(-1)).alias("model"), F.get(known("ttft_s"), F.lit(0)).alias("ttft_s"))
+
+
+def diagnostics(scores: DataFrame, keys: list[str], requested: int = 5) -> DataFrame:
+    """AG-12: keys, task, name, value: what the score rows of each task say beyond the score, by model, to four places.
+
+    scores: keys, task and the columns named below (flags count as 0 where null, figures with "or 0" too; other nulls are left
+    out), one pass of conditional aggregates. fields is a map: each of its keys becomes a name `field:<key>`."""
+    c = F.col
+    flag = lambda x: F.avg(F.coalesce(c(x).cast("double"), F.lit(0.0)))
+    zero = lambda x: F.coalesce(c(x), F.lit(0))
+    some = lambda x: F.avg((zero(x) > 0).cast("double"))
+    share = lambda a: F.try_divide(F.sum(a), F.sum(zero("returned")))
+    of_kind = lambda k, v: F.avg(F.when(c("kind") == k, v))
+    wanted = {
+        "references": {"returned_mean": F.avg(zero("returned")), "hallucination_rate": share(zero("returned") - zero("found")), "doi_correct_rate": share(zero("doi_correct")), "doi_unresolvable": F.sum(zero("doi_unresolvable")), "abstained_items": F.count_if(zero("returned") < requested), "returned": F.sum(zero("returned"))},
+        "coding": {"pass1": flag("pass1"), "pass_repair": flag("pass_repair"), "ran_first": flag("ran_first"), "repaired_items": F.count_if(F.coalesce("repaired", F.lit(False)))},
+        "structure": {"generic_ch4_rate": flag("generic_ch4"), **{n: F.avg(n) for n in ("ch3_f1", "ch4_f1", "ch3_recall", "ch3_precision")}},
+        "extraction": {"evidence_verbatim": F.avg("evidence_verbatim")},
+        "grounded": {"unsupported_per_answer": F.avg(zero("unsupported_numbers")), "answers_with_unsupported": some("unsupported_numbers"), "foreign_citation_answers": some("foreign_citations"), **{n: F.avg(n) for n in ("coverage", "cited_sentences", "words")}},
+        "language": {"nonstandard_per_answer": F.avg(zero("nonstandard_count")), "english_ratio": F.avg("english_ratio"), "numbers_kept": F.avg("numbers_kept"), "answers_with_new_numbers": some("numbers_fabricated")},
+        "latex": {"fix_compiled": of_kind("fix", F.coalesce(c("compiled").cast("double"), F.lit(0.0))), "fix_score": of_kind("fix", c("score")), "table_cells": of_kind("table", zero("cell_accuracy")), "table_score": of_kind("table", c("score")), "bibtex": of_kind("bibtex", c("score"))},
+        "methodology": {"accuracy": F.avg("score"), "unparsed": F.count_if(~F.coalesce("parsed", F.lit(False)))},
+    }
+    named = {t: {n: v for n, v in w.items()} for t, w in wanted.items()}
+    g = scores.groupBy(*keys, "task").agg(*[v.cast("double").alias(f"{t}:{n}") for t, w in named.items() for n, v in w.items()])
+    rows = F.flatten(F.array(*[F.when(c("task") == t, F.array(*[F.struct(F.lit(n).alias("name"), c(f"`{t}:{n}`").alias("value")) for n in w])).otherwise(F.array().cast("array<struct<name: string, value: double>>")) for t, w in named.items()]))
+    out = g.select(*keys, "task", F.explode(rows).alias("r")).select(*keys, "task", "r.name", "r.value")
+    if "fields" in scores.columns:
+        each = scores.where("task = 'extraction'").select(*keys, "task", F.explode("fields").alias("key", "v")).groupBy(*keys, "task", "key").agg(F.avg("v").alias("value"))
+        out = out.unionByName(each.select(*keys, "task", F.concat(F.lit("field:"), "key").alias("name"), "value"))
+    return out.withColumn("value", F.round("value", 4))
+
+
+def latency(records: DataFrame, keys: list[str]) -> DataFrame:
+    """AG-12: keys, median_s, p90_s (of the sorted seconds, the one at floor(0.9 (n - 1))), and means of tokens and thinking: out_tokens_mean,
+    reasoning_tokens_mean, thinking_chars_mean, nulls as 0. The quantile comes from counts of distinct seconds; no list of a model's calls is made."""
+    from pyspark.sql import Window
+
+    zero = lambda x: F.round(F.avg(F.coalesce(F.col(x), F.lit(0))), 4)
+    own = records.groupBy(*keys).agg(F.round(F.percentile(F.when(F.col("seconds") > 0, F.col("seconds")), 0.5), 4).alias("median_s"), zero("output_tokens").alias("out_tokens_mean"), zero("reasoning_tokens").alias("reasoning_tokens_mean"), zero("thinking_chars").alias("thinking_chars_mean"))
+    n = records.where("seconds > 0").groupBy(*keys, "seconds").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy(*keys)
+    n = n.withColumn("upto", F.sum("n").over(w.orderBy("seconds").rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("all", F.sum("n").over(w))
+    p90 = n.where(F.col("upto") >= F.floor(0.9 * (F.col("all") - 1)) + 1).groupBy(*keys).agg(F.round(F.min("seconds"), 4).alias("p90_s"))
+    return own.join(p90, keys, "left").select(*keys, "median_s", "p90_s", "out_tokens_mean", "reasoning_tokens_mean", "thinking_chars_mean")

@@ -8,7 +8,15 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions import text as T
 
-VERSION = 1
+#: UD-4: raised when a scorer changes what it gives; scores of an older version are made anew.
+VERSIONS = {"methodology": 1, "structure": 1, "extraction": 2, "grounded": 1, "language": 1, "coding": 2, "references": 2, "latex": 2}
+
+
+def versioned(answers: DataFrame, task: str = "task") -> DataFrame:
+    """UD-4: answers with scorer_version, that of their task's scorer (null for tasks without one), to be a key of relational.split_reuse."""
+    known = F.create_map(*[F.lit(x) for t, v in VERSIONS.items() for x in (t, v)])
+    return answers.withColumn("scorer_version", F.try_element_at(known, F.col(task)))
+
 
 
 def methodology(answers: DataFrame) -> DataFrame:

@@ -199,8 +199,11 @@ def overall(item_scores: DataFrame, pick: Column, tasks: Column | None = None) -
 
 
 def sensitivities(item_scores: DataFrame, private: list, top: int = 4) -> DataFrame:
-    """ST-20, SO-6, WN-4: name, rho, max_shift, leader_same, top_same of the ranking under automatic scores, judges' scores, and without private tasks."""
+    """ST-20, SO-6, WN-4: name, rho, max_shift, leader_same, top_same of the ranking under automatic scores, judges' scores, without private tasks, and,
+    where item_scores has a column credited (the score with the credit of references found elsewhere, see runs.corrected), with that."""
     kinds = {"auto_only": (F.col("auto"), None), "judge_only": (F.coalesce("judge", "score"), None), "public_only": (F.col("score"), ~F.col("task").isin(private))}
+    if "credited" in item_scores.columns:
+        kinds["audit_credited"] = (F.col("credited"), None)
     place = lambda d, c: d.withColumn(c, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("overall"), "model")))
     main = place(overall(item_scores, F.col("score")), "was").withColumnRenamed("overall", "before")
     out = None

@@ -1,4 +1,4 @@
-"""Title joins: pairs of strings of a Ratcliff-Obershelp ratio of `least` or more, by an inverted index of q-grams (JN-18, FN-31)."""
+"""Title joins: pairs of strings of a Ratcliff-Obershelp ratio of `least` or more, by an inverted index of q-grams and their places (JN-18, FN-31)."""
 
 from __future__ import annotations
 
@@ -24,62 +24,51 @@ def _common(na, nb, least: float) -> Column:
     return F.ceil(F.lit(least) * (na + nb) / 2 - 1e-9)
 
 
-def _lost(na, nb, least: float, q: int) -> Column:
-    """q-grams of the first string that the second can lack: each character left out breaks q of them, each put in q - 1."""
-    common = _common(na, nb, least)
-    return q * (na - common) + (q - 1) * (nb - common)
+def _lengths(n, least: float) -> tuple[Column, Column]:
+    """The lengths that a partner of a string of length n can have."""
+    return F.ceil(n * least / (2 - least) - 1e-9).cast("int"), F.floor(n * (2 - least) / least + 1e-9).cast("int")
 
 
-def _index(strings: DataFrame, least: float, q: int) -> DataFrame:
-    """f, n, g: strings, lengths and their distinct q-grams as (q-gram, place if it stands once); c: how many of them any partner shares
-    at least (null: only an equal string can be a partner)."""
-    n = F.length("f")
-    out = strings.select("f", n.alias("n"), F.when(n >= q, F.transform(F.sequence(F.lit(1), n - (q - 1)), lambda i: F.substr("f", i, F.lit(q)))).otherwise(F.array().cast("array<string>")).alias("all"))
-    out = out.withColumn("g", F.array_distinct("all"))
-    lo, hi = F.ceil(F.col("n") * least / (2 - least) - 1e-9).cast("int"), F.floor(F.col("n") * (2 - least) / least + 1e-9).cast("int")
-    near = F.filter(F.sequence(lo, hi), lambda m: (2 * F.least(F.col("n"), m) >= F.lit(least) * (F.col("n") + m) - 1e-9) & (2 * _common(F.col("n"), m, least) < F.col("n") + m))
-    most = F.array_max(F.transform(near, lambda m: _lost(F.col("n"), m, least, q)))
-    return out.withColumn("c", F.size("g") - most)
+def _index(strings: DataFrame, least: float) -> DataFrame:
+    """f, n, lo, hi (lengths of partners), d: the characters that a string and any partner lack of each other, together, at most."""
+    out = strings.select("f", F.length("f").alias("n"))
+    lo, hi = _lengths(F.col("n"), least)
+    out = out.withColumn("lo", lo).withColumn("hi", hi)
+    near = F.filter(F.sequence("lo", "hi"), lambda m: _common(F.col("n"), m, least) <= F.least(F.col("n"), m))
+    return out.withColumn("d", F.array_max(F.transform(near, lambda m: F.col("n") + m - 2 * _common(F.col("n"), m, least))).cast("int"))
 
 
-def alike_strings(a: DataFrame, b: DataFrame, least: float, q: int = 3) -> DataFrame:
+def alike_strings(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
     """fa, fb, ratio: the pairs of a string f of a and a string f of b (both distinct) of a ratio of `least` or more.
 
-    The ratio counts characters in common blocks, so both strings lack only few characters of each other, and few q-grams.
-    Of the q-grams in order of how many strings have them, rare ones first, two partners share one among the first of both
-    (all but c - 1 of them); where that q-gram stands once in each, its places are no further apart than the characters
-    lacking. Pairs so found are counted by q-grams and characters, and what is left gets its exact ratio. Equal strings meet
-    by an equal join. Strings of so few distinct q-grams that none need be shared (`aaaa`) meet those of a fitting length."""
-    ia, ib = (kept(_index(x.select("f").distinct(), least, q)) for x in (a, b))
-    often = ia.select("f", "g").union(ib.select("f", "g")).distinct().select(F.explode("g").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("often"))
-
-    def prefixes(i: DataFrame, s: str) -> DataFrame:
-        grams = i.where("c > 0").select("f", "n", "c", F.size("g").alias("d"), F.posexplode("all").alias("at", "x"))
-        grams = grams.groupBy("f", "n", "c", "d", "x").agg(F.count(F.lit(1)).alias("times"), F.min("at").alias("at"))
-        own = grams.join(often, "x").groupBy("f", "n", "c", "d").agg(F.array_sort(F.collect_list(F.struct("often", "x", F.when(F.col("times") == 1, F.col("at")).alias("at")))).alias("o"))
-        own = own.select("f", "n", "d", F.explode(F.slice("o", F.lit(1), F.col("d") - F.col("c") + 1)).alias("o"))
-        return own.select(F.col("o.x").alias("x"), *[F.col(c).alias(f"{c}{s}") for c in ("f", "n", "d")], F.col("o.at").alias(f"at{s}"))
-
-    na, nb, common = F.col("na"), F.col("nb"), _common(F.col("na"), F.col("nb"), least)
+    The ratio counts characters in common blocks, in order, so partners turn into each other by leaving out and putting in at
+    most d characters. A string of a is cut into d + 1 pieces, so some piece goes through untouched: among these is a piece i, from
+    0, before which just i characters were left out or put in, as fewer changes than pieces lie on either side of one such
+    piece. So it stands in b at its place plus -i, -i + 2 .. or i, and an inverted index of b's q-grams by place finds it: an equal join on
+    q-gram and place. What is met is held against lengths, the changes left for the rest, and the characters in common;
+    then it gets its exact ratio. Strings too short to be cut so (at low ratios only) meet those of a fitting length."""
+    ia, ib = (kept(_index(x.select("f").distinct(), least)) for x in (a, b))
+    pieces = ia.where("d < n").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("d"))))
+    cut = lambda i: F.floor(i * F.col("n") / (F.col("d") + 1)).cast("int")
+    pieces = pieces.withColumn("start", cut(F.col("i"))).withColumn("size", cut(F.col("i") + 1) - F.col("start")).withColumn("shift", F.explode(F.sequence(-F.col("i"), F.col("i"), F.lit(2))))
+    rest = F.col("d") - F.col("i")
+    pieces = pieces.where(F.col("shift").between(F.col("lo") - F.col("n") - rest, F.col("hi") - F.col("n") + rest) & (F.col("start") + F.col("shift") >= 0))
+    pieces = pieces.select(F.col("f").alias("fa"), F.col("n").alias("na"), "i", "shift", (F.col("start") + F.col("shift")).alias("at"), F.substr("f", F.col("start") + 1, F.col("size")).alias("gram"))
+    sizes = sorted(r[0] for r in pieces.select(F.length("gram")).distinct().collect())  # a few: n / (d + 1) hardly depends on n
+    grams = ib.withColumn("size", F.explode(F.array(*map(F.lit, sizes)))) if sizes else ib.limit(0).withColumn("size", F.lit(1))
+    grams = grams.where("size <= n").withColumn("at", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("size"))))
+    grams = grams.select(F.col("f").alias("fb"), F.col("n").alias("nb"), "at", F.substr("f", F.col("at") + 1, F.col("size")).alias("gram"))
+    na, nb = F.col("na"), F.col("nb")
+    common = _common(na, nb, least)
     fits = common <= F.least(na, nb)
-    near = F.coalesce((F.col("ata") - F.col("atb")).between(common - nb, na - common), F.lit(True))
-    met = prefixes(ia, "a").join(prefixes(ib, "b"), "x").where(fits & near & (F.col("fa") != F.col("fb")))
-    met = met.groupBy("fa", "fb", "na", "nb", "da", "db").agg(F.count(F.lit(1)).alias("seen"))
-    grams = lambda f: F.transform(F.sequence(F.lit(1), F.length(f) - (q - 1)), lambda i: F.substr(F.col(f), i, F.lit(q)))
-    need = F.greatest(F.col("da") - _lost(na, nb, least, q), F.col("db") - _lost(nb, na, least, q))
-    met = met.where(F.size(F.array_intersect(grams("fa"), grams("fb"))) >= need).select("fa", "fb")
-    # strings without a q-gram that must be shared: by length
-    rest = lambda i, s: i.where("c <= 0").select(F.col("f").alias(f"f{s}"), F.col("n").alias(f"n{s}"))
-    every = lambda i, s: i.select(F.col("f").alias(f"f{s}"), F.col("n").alias(f"n{s}"))
-    for one, other, n, m in ((rest(ia, "a"), every(ib, "b"), "na", "nb"), (every(ia, "a"), rest(ib, "b"), "na", "nb")):
-        lo, hi = F.ceil(F.col(n) * least / (2 - least) - 1e-9).cast("int"), F.floor(F.col(n) * (2 - least) / least + 1e-9).cast("int")
-        met = met.union(one.withColumn(m, F.explode(F.sequence(lo, hi))).join(other, m).where(fits & (F.col("fa") != F.col("fb"))).select("fa", "fb"))
+    left = na + nb - 2 * common - F.col("i")
+    met = pieces.join(grams, ["gram", "at"]).where(fits & (F.abs(nb - na - F.col("shift")) <= left)).select("fa", "fb")
+    few = ia.where("d >= n").select(F.col("f").alias("fa"), F.col("n").alias("na"), F.explode(F.sequence("lo", "hi")).alias("nb"))
+    met = met.union(few.join(ib.select(F.col("f").alias("fb"), F.col("n").alias("nb")), "nb").where(fits).select("fa", "fb")).distinct()
     counts = lambda f: [F.length(f) - F.length(F.replace(F.col(f), F.lit(x), F.lit(""))) for x in CHARACTERS]
     shared = sum((F.least(x, y) for x, y in zip(counts("fa")[1:], counts("fb")[1:])), F.least(counts("fa")[0], counts("fb")[0]))
-    met = met.distinct().where(2 * shared >= F.lit(least) * (F.length("fa") + F.length("fb")) - 1e-9)
-    scored = met.withColumn("ratio", edit_ratio("fa", "fb")).where(F.col("ratio") >= least)
-    equal = ia.select(F.col("f").alias("fa")).join(ib.select(F.col("f").alias("fb")), F.col("fa") == F.col("fb")).select("fa", "fb", F.lit(1.0).alias("ratio"))
-    return scored.union(equal)
+    met = met.where(2 * shared >= F.lit(least) * (F.length("fa") + F.length("fb")) - 1e-9)
+    return met.withColumn("ratio", edit_ratio("fa", "fb")).where(F.col("ratio") >= least)
 
 
 def alike_titles(seeds: DataFrame, candidates: DataFrame, least: float) -> DataFrame:

@@ -182,3 +182,24 @@ def pick_sources(works: DataFrame, n: int = 6, least: int = 500, languages: tupl
     if strict:
         enough = F.when(enough, True).otherwise(F.raise_error(F.concat(F.lit("too few sources: "), F.col("topic").cast("string"))).cast("boolean"))
     return out.select("topic", F.transform("s", lambda x: x["id"]).alias("ids"), enough.alias("enough"), F.sha2(F.concat(F.lit("["), F.array_join(F.transform("s", lambda x: x["j"]), ","), F.lit("]")), 256).alias("sha256"))
+
+
+def selected_stage(units: DataFrame, stages: tuple[str, ...] = ("draft", "review"), margin: float = 0.02, qa: bool = True) -> DataFrame:
+    """FN-47: units with metrics and selected: the stage whose text is final, and final, that text.
+
+    units: out map<string,string>, metrics map<string,double>. A stage's quality qa_<stage> is the mean of its cosine and that of its
+    back translation, to three places, or its cosine alone without one. The last stage wins unless its quality is more than
+    `margin` below the first one's; a missing quality is 0. A winner without a text gives way to the first stage; without qa, or with one
+    stage, no quality counts."""
+    at = lambda m, k: F.try_element_at(m, F.lit(k))
+    made = lambda k: F.array_contains(F.map_keys("out"), k)
+    first, last = stages[0], stages[-1]
+    for s in stages:
+        d, b = at("metrics", f"sim_{s}"), F.coalesce(at("metrics", f"back_{s}_sim"), F.lit(0.0))
+        blend = F.when(made(s) & d.isNotNull(), F.when(made(f"back_{s}"), F.round(0.5 * d + 0.5 * b, 3)).otherwise(F.round(d, 3)))
+        rest = F.map_filter("metrics", lambda k, v: k != f"qa_{s}")  # noqa: B023
+        units = units.withColumn("metrics", F.when(blend.isNotNull(), F.map_concat(rest, F.create_map(F.lit(f"qa_{s}"), blend))).otherwise(F.col("metrics")))
+    score = lambda s: F.coalesce(at("metrics", f"qa_{s}"), F.lit(0.0))
+    best = F.when(score(last) >= score(first) - margin, last).otherwise(first) if qa and len(stages) > 1 else F.lit(last)
+    units = units.withColumn("selected", F.when(made(best), best).otherwise(first))
+    return units.withColumn("final", F.try_element_at("out", F.col("selected")))

@@ -370,13 +370,16 @@ put(
 
 def sensitivities(spark, sf_dir):
     """ST-20, SO-6, WN-4, UD-5."""
-    return significance.sensitivities(item_scores(fact(spark, sf_dir)), [2]).select("name", F.round("rho", 6).alias("rho"), "max_shift", "leader_same", "top_same")
+    own = item_scores(fact(spark, sf_dir))
+    found_later = F.when(F.col("task") == 2, F.least(F.lit(1.0), F.col("score") + F.col("item") % 3 * F.col("model") / 50)).otherwise(F.col("score"))
+    return significance.sensitivities(own.withColumn("credited", found_later), [2]).select("name", F.round("rho", 6).alias("rho"), "max_shift", "leader_same", "top_same")
 
 
 put(
     "sensitivities",
     sensitivities,
-    """WITH @FACT, v AS (SELECT 'main' AS name, model, task, score AS s FROM item_score UNION ALL SELECT 'auto_only', model, task, auto FROM item_score UNION ALL SELECT 'judge_only', model, task, coalesce(judge, score) FROM item_score UNION ALL SELECT 'public_only', model, task, score FROM item_score WHERE task <> 2),
+    """WITH @FACT, v AS (SELECT 'main' AS name, model, task, score AS s FROM item_score UNION ALL SELECT 'auto_only', model, task, auto FROM item_score UNION ALL SELECT 'judge_only', model, task, coalesce(judge, score) FROM item_score UNION ALL SELECT 'public_only', model, task, score FROM item_score WHERE task <> 2
+UNION ALL SELECT 'audit_credited', model, task, CASE WHEN task = 2 THEN least(1.0, score + item % 3 * model / 50.0) ELSE score END FROM item_score),
 tm AS (SELECT name, model, task, avg(s) AS m FROM v GROUP BY ALL), o AS (SELECT name, model, avg(m) AS o FROM tm GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY o DESC, model) AS place, rank() OVER (PARTITION BY name ORDER BY o) + (count(*) OVER (PARTITION BY name, o) - 1) / 2 AS rk FROM o)
 SELECT b.name, round(corr(a.rk, b.rk), 6) AS rho, max(abs(a.place - b.place)) AS max_shift, bool_or(a.place = 1 AND b.place = 1) AS leader_same, count(CASE WHEN a.place <= 4 AND b.place <= 4 THEN 1 END) = 4 AS top_same FROM r a JOIN r b ON a.model = b.model AND a.name = 'main' AND b.name <> 'main' GROUP BY b.name""",
 )

@@ -254,7 +254,14 @@ def greedy_batches(spark, sf_dir):
     return relational.size_batches(d, "source", "doc_id", "n_chars", 20_000)
 
 
-put("greedy_batches", greedy_batches)
+put(
+    "greedy_batches",
+    greedy_batches,
+    """WITH RECURSIVE d AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM {documents}),
+r AS (SELECT source, doc_id, n_chars, k, CAST(0 AS BIGINT) AS batch, CAST(coalesce(n_chars, 0) AS BIGINT) AS total FROM d WHERE k = 1
+UNION ALL SELECT d.source, d.doc_id, d.n_chars, d.k, CASE WHEN total + coalesce(d.n_chars, 0) > 20000 THEN batch + 1 ELSE batch END, CASE WHEN total + coalesce(d.n_chars, 0) > 20000 THEN 0 ELSE total END + coalesce(d.n_chars, 0)
+FROM r JOIN d ON d.source IS NOT DISTINCT FROM r.source AND d.k = r.k + 1) SELECT source, doc_id, n_chars, CAST(batch AS INTEGER) AS batch FROM r""",
+)
 
 
 def set_f1(spark, sf_dir):

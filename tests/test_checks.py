@@ -104,3 +104,53 @@ def test_programs_by_what_they_print(spark):
     rows = [(1, ['{"a": 1.4, "b": " X", "c": [1, 2.001]}'], expected, tol), (2, ["boom", '{"a": 1, "b": "x", "c": [1, 2]}'], expected, tol), (3, ['{"a": 2, "b": "x"}', '{"a": 1}', '{"a": 1, "b": "y", "c": [1]}'], expected, tol), (4, [], expected, tol), (5, ["{}"], "{}", None)]
     got = {r.item: tuple(r)[1:] for r in scorers.coding_json(spark.createDataFrame(rows, "item int, attempts array<string>, expected string, tolerance string")).collect()}
     assert got == {1: (1.0, True, True, 1.0), 2: (0.0, False, True, 1.0), 3: (0.3333, False, False, 0.3333), 4: (0.0, False, False, 0.0), 5: (0.0, False, False, 0.0)}
+
+
+def test_versions_invalidate_scores(spark):
+    from gaugeworks.operators import relational
+
+    now = scorers.versioned(spark.createDataFrame([(1, "coding"), (2, "grounded"), (3, "other")], "item int, task string"))
+    old = spark.createDataFrame([(1, "coding", 1, 0.5), (2, "grounded", scorers.VERSIONS["grounded"], 0.5)], "item int, task string, scorer_version int, score double")
+    same, anew = relational.split_reuse(now, old, ["item", "task", "scorer_version"])
+    assert [r.item for r in same.collect()] == [2] and sorted(r.item for r in anew.collect()) == [1, 3]
+
+
+def test_selected_stages(spark):
+    from gaugeworks.operators import translation
+
+    rows = [
+        (1, {"draft": "d", "review": "r"}, {"sim_draft": 0.9, "sim_review": 0.88}), (2, {"draft": "d", "review": "r"}, {"sim_draft": 0.9, "sim_review": 0.87}), (3, {"draft": "d"}, {"sim_draft": 0.0}),
+        (4, {"draft": "d", "review": "r", "back_draft": "x"}, {"sim_draft": 0.9, "back_draft_sim": 0.5, "sim_review": 0.7}), (5, {}, {}),
+    ]
+    df = spark.createDataFrame(rows, "unit int, out map<string,string>, metrics map<string,double>")
+    got = {r.unit: (r.selected, r.final, r.metrics.get("qa_draft")) for r in translation.selected_stage(df).collect()}
+    assert got == {1: ("review", "r", 0.9), 2: ("draft", "d", 0.9), 3: ("draft", "d", 0.0), 4: ("review", "r", 0.7), 5: ("draft", None, None)}
+    assert {r.selected for r in translation.selected_stage(df.where("unit < 3"), qa=False).collect()} == {"review"}
+
+
+def test_batches_stream_by(spark):
+    from gaugeworks.operators import relational
+
+    rnd = random.Random(2)
+    rows = [(rnd.choice("ab") if k % 9 else None, k, rnd.choice([None, 0, 3, 7, 25])) for k in range(300)]
+    want, state = {}, {}
+    for g, k, n in rows:
+        total, b = state.get(g, (0, 0))
+        if g in state and total + (n or 0) > 20:
+            total, b = 0, b + 1
+        state[g] = (total + (n or 0), b)
+        want[k] = b
+    df = spark.createDataFrame(rows, "g string, k int, n int").repartition(5)
+    assert {r.k: r.batch for r in relational.size_batches(df, "g", "k", "n", 20).collect()} == want
+
+
+def test_latency(spark):
+    from gaugeworks.operators.runs import latency
+
+    rnd = random.Random(3)
+    rows = [(m, rnd.choice([None, 0.0, round(rnd.random() * 9, 1)]), rnd.choice([None, 5])) for m in (1, 2) for _ in range(50)] + [(3, None, 1)]
+    got = {r.m: r for r in latency(spark.createDataFrame([(*r, None, 4) for r in rows], "m int, seconds double, output_tokens int, reasoning_tokens int, thinking_chars int"), ["m"]).collect()}
+    for m in (1, 2):
+        s = sorted(x for k, x, _ in rows if k == m and x)
+        assert got[m].p90_s == s[int(0.9 * (len(s) - 1))] and got[m].reasoning_tokens_mean == 0 and got[m].thinking_chars_mean == 4
+    assert (got[3].median_s, got[3].p90_s, got[3].out_tokens_mean) == (None, None, 1.0)
