@@ -150,7 +150,8 @@ def _inputs(docs: DataFrame, id_col: str, text_col: str, chars_col: str, more: t
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows: int = 12_000, exclude=None, epochs: int = 8, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> Model:
     """Fit on at most max_rows labelled documents, the ones of smallest hash of id; exclude is a condition on id_col of rows not to learn from.
 
-    Only labels, texts and n_chars are read. Null labels are no labels; one document with several labels counts by its smallest.
+    Only labels, texts and n_chars are read. Null labels are no labels; one document with several labels counts by its smallest,
+    an id that stands in many rows by the row of smallest text, so the bound holds for rows too.
     """
     own = labels.where(F.col(label_col).isNotNull())
     if exclude is not None:
@@ -170,6 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_ro
                 yield pa.RecordBatch.from_arrays([ids.slice(a, z - a), pa.array(blobs, pa.binary()), pa.array(label[a:z], pa.int32())], ["id", "features", "label"])
 
     inputs = _inputs(docs, id_col, text_col, chars_col).join(F.broadcast(own), "id")
+    inputs = inputs.groupBy("id").agg(F.min(F.struct("text", "stated", "label")).alias("r")).select("id", "r.*")
     got = inputs.select("id", "text", "stated", "label").mapInArrow(lean(run), "id long, features binary, label int").toArrow()
     order = np.argsort(got.column("id").to_numpy(), kind="stable")
     blobs = got.column("features").to_pylist()

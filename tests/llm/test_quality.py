@@ -59,3 +59,15 @@ def test_empty(spark):
     model = quality.train(docs.limit(0), labels)
     assert quality.classify(docs.limit(0), model).count() == 0
     assert quality.classify(docs, model).count() == docs.count()
+
+
+def test_rows_of_one_id_count_once(spark, monkeypatch):
+    """max_rows bounds rows, also where one labelled id stands in many."""
+    rows = [(1, f"text {k} of many", None) for k in range(3000)] + [(k, "good words here", None) for k in range(2, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 40)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda doc, feature, label, **how: seen.append(len(label)))
+    quality.train(docs, labels, max_rows=10)
+    quality.train(docs, labels)
+    assert seen == [10, 39]
