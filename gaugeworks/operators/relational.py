@@ -249,11 +249,13 @@ def quotes(docs: DataFrame, items: DataFrame, doc_key: str, item_key: str) -> Da
     containment is then checked on these. Quotes without three inner words meet every document."""
     own = items.withColumn("_w", F.split(F.trim(F.regexp_replace("quote", r"\s+", " ")), " "))
     inner = F.slice("_w", 2, F.greatest(F.size("_w") - 2, F.lit(0)))
-    grams = lambda a: F.transform(F.sequence(F.lit(1), F.size(a) - 2), lambda k: F.array_join(F.slice(a, k, 3), " "))
-    own = own.withColumn("_inner", inner).withColumn("_key", F.when(F.size("_inner") >= 3, F.xxhash64(F.array_max(F.transform(grams(F.col("_inner")), lambda g: F.struct(F.length(g).alias("n"), g.alias("g"))))["g"])))
+    third = lambda a: F.slice(a, F.lit(1), F.size(a) - 2)
+    hashes = lambda a: F.transform(third(a), lambda x, i: F.xxhash64(x, F.get(a, i + 1), F.get(a, i + 2)))
+    sized = lambda a: F.transform(third(a), lambda x, i: F.struct((F.length(x) + F.length(F.get(a, i + 1)) + F.length(F.get(a, i + 2))).alias("n"), F.xxhash64(x, F.get(a, i + 1), F.get(a, i + 2)).alias("h")))
+    own = own.withColumn("_inner", inner).withColumn("_key", F.when(F.size("_inner") >= 3, F.array_max(sized(F.col("_inner")))["h"]))
     keys = own.where("_key IS NOT NULL").select("_key", item_key, "quote")
     w = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
-    place = docs.withColumn("_w", w).where(F.size("_w") >= 3).select(doc_key, F.explode(F.array_distinct(F.transform(grams(F.col("_w")), lambda g: F.xxhash64(g)))).alias("_key"))
+    place = docs.withColumn("_w", w).where(F.size("_w") >= 3).select(doc_key, F.explode(hashes(F.col("_w"))).alias("_key"))
     met = place.join(keys.select("_key", item_key), "_key").select(doc_key, item_key).distinct()
     found = met.join(items, item_key).join(docs, doc_key).where(F.col("text").contains(F.col("quote"))).select(doc_key, item_key)
     rest = own.where("_key IS NULL").select(item_key, "quote")

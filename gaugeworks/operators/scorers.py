@@ -126,7 +126,7 @@ def language(answers: DataFrame, english: list[str], nonstandard: list[str], lo:
         "numbers": F.when(F.size("numbers") > 0, 1 - F.size("numbers_missing") / F.size("numbers")).otherwise(1.0),
         "invented": F.when(F.size(said) > 0, 1 - F.size("numbers_new") / F.size(said)).otherwise(1.0),
         "terms": F.when(F.size("terms") > 0, F.size(F.filter("terms", lambda t: F.contains(key_terms("text"), norm(t)))) / F.size("terms")).otherwise(1.0),
-        "sentences": 1 - F.when(F.size(s) > 0, F.size(F.filter(s, lambda x: F.size(T.words(x)) > 40)) / F.size(s)).otherwise(1.0),
+        "sentences": 1 - F.when(F.size(s) > 0, F.size(F.filter(s, lambda x: T.n_words(x) > 40)) / F.size(s)).otherwise(1.0),
     }
     if one_paragraph:
         parts["one_paragraph"] = ((F.size(F.filter(F.split("text", r"\n\s*\n"), lambda p: T.strip(p) != "")) == 1) & ~F.col("text").rlike(r"(?im)^\s*(#|\*\*|abstrak\b)")).cast("double")

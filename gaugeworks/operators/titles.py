@@ -9,6 +9,8 @@ from gaugeworks.functions.text import edit_ratio, fold
 from gaugeworks.operators.relational import kept
 
 CHARACTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
+#: Letters counted first, as most pairs differ in these.
+FREQUENT = "eaionrt "
 #: A head, the part of a title before a colon, counts from this length on.
 HEAD = 15
 
@@ -38,6 +40,16 @@ def _index(strings: DataFrame, least: float) -> DataFrame:
     return out.withColumn("d", F.array_max(F.transform(near, lambda m: F.col("n") + m - 2 * _common(F.col("n"), m, least))).cast("int"))
 
 
+def _shared(letters: str, rest: bool, least: float) -> Column:
+    """Whether fa and fb have enough characters in common at any place, by the counts of each of the letters and, with rest, of all others together."""
+    count = lambda f, x: F.length(f) - F.length(F.replace(F.col(f), F.lit(x), F.lit("")))
+    each = {f: [count(f, x) for x in letters] for f in ("fa", "fb")}
+    if rest:
+        each = {f: [*c, F.length(f) - sum(c[1:], c[0])] for f, c in each.items()}
+    both = [F.least(x, y) for x, y in zip(each["fa"], each["fb"])]
+    return 2 * sum(both[1:], both[0]) >= F.lit(least) * (F.length("fa") + F.length("fb")) - 1e-9
+
+
 def alike_strings(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
     """fa, fb, ratio: the pairs of a string f of a and a string f of b (both distinct) of a ratio of `least` or more.
 
@@ -65,9 +77,7 @@ def alike_strings(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
     met = pieces.join(grams, ["gram", "at"]).where(fits & (F.abs(nb - na - F.col("shift")) <= left)).select("fa", "fb")
     few = ia.where("d >= n").select(F.col("f").alias("fa"), F.col("n").alias("na"), F.explode(F.sequence("lo", "hi")).alias("nb"))
     met = met.union(few.join(ib.select(F.col("f").alias("fb"), F.col("n").alias("nb")), "nb").where(fits).select("fa", "fb")).distinct()
-    counts = lambda f: [F.length(f) - F.length(F.replace(F.col(f), F.lit(x), F.lit(""))) for x in CHARACTERS]
-    shared = sum((F.least(x, y) for x, y in zip(counts("fa")[1:], counts("fb")[1:])), F.least(counts("fa")[0], counts("fb")[0]))
-    met = met.where(2 * shared >= F.lit(least) * (F.length("fa") + F.length("fb")) - 1e-9)
+    met = met.where(_shared(FREQUENT, True, least)).where(_shared(CHARACTERS, False, least))
     return met.withColumn("ratio", edit_ratio("fa", "fb")).where(F.col("ratio") >= least)
 
 

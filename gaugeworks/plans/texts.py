@@ -60,7 +60,7 @@ put("dictionary_hits", dictionary_hits, f"WITH w AS (SELECT doc_id, lower(unnest
 def long_sentence_share(spark, sf_dir):
     """FN-21, FN-28: share of sentences of over 40 words; 1 where there is none."""
     s = docs(spark, sf_dir).select("doc_id", text.sentences("text", 1, False).alias("s"))
-    return s.select("doc_id", F.size("s").cast("long").alias("sentences"), F.round(F.when(F.size("s") == 0, F.lit(1.0)).otherwise(F.size(F.filter("s", lambda x: F.size(text.words(x)) > 40)) / F.size("s")), 8).alias("share"))
+    return s.select("doc_id", F.size("s").cast("long").alias("sentences"), F.round(F.when(F.size("s") == 0, F.lit(1.0)).otherwise(F.size(F.filter("s", lambda x: (text.n_words(x)) > 40)) / F.size("s")), 8).alias("share"))
 
 
 put(
