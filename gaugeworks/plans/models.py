@@ -29,7 +29,7 @@ b AS (SELECT *, (zz * xy - xz * zy) / (xx * zz - xz * xz) AS bx, (xx * zy - xz *
 e AS (SELECT *, my - bx * mx - bz * mz AS b0, (yy - bx * xy - bz * zy) / (n - 3) AS mse, (bx * xy + bz * zy) / yy AS r2 FROM b),
 t AS (SELECT g, n, r2, 'l_quantity' AS term, bx AS coef, sqrt(mse * zz / det) AS se FROM e UNION ALL SELECT g, n, r2, 'l_discount', bz, sqrt(mse * xx / det) FROM e
 UNION ALL SELECT g, n, r2, 'const', b0, sqrt(mse * (1.0 / n + (mx * mx * zz + mz * mz * xx - 2 * mx * mz * xz) / det)) FROM e)
-SELECT g AS l_linenumber, term, round(coef, 6) AS coef, round(se, 6) AS se, round(coef / se, 6) AS t, round({sql_t('(coef / se)', '(n - 3)')}, 6) AS p, n, round(r2, 6) AS r2, round(1 - (1 - r2) * (n - 1) / (n - 3), 6) AS adj_r2 FROM t""",
+SELECT g AS l_linenumber, term, round(coef, 6) AS coef, round(se, 6) AS se, round(coef / se, 6) AS t, round(greatest(0, {sql_t('(coef / se)', '(n - 3)')}), 6) AS p, n, round(r2, 6) AS r2, round(1 - (1 - r2) * (n - 1) / (n - 3), 6) AS adj_r2 FROM t""",
 )
 
 
@@ -49,20 +49,20 @@ b{k + 1} AS MATERIALIZED (SELECT g, b + (h1 * gq - hq * g1) / (hqq * h1 - hq * h
     return ",\n".join(steps) + f""",
 f AS (SELECT r.g, count(*) AS n, avg(y) AS s, sum(y * ln(p) + (1 - y) * ln(1 - p)) AS ll, avg(CASE WHEN (p >= 0.5) = (y = 1) THEN 1.0 ELSE 0.0 END) AS accuracy FROM (SELECT r.*, 1 / (1 + exp(-(b * q + c))) AS p FROM r JOIN b{rounds} USING (g)) r GROUP BY r.g),
 t AS (SELECT g, 'q' AS term, b AS coef, sqrt(vb) AS se FROM b{rounds} UNION ALL SELECT g, 'const', c, sqrt(vc) FROM b{rounds})
-SELECT g AS l_linenumber, term, round(coef, 6) AS coef, round(exp(coef), 6) AS odds, round(se, 6) AS se, round(2 * {sql_norm(z)}, 6) AS p, n, round(1 - ll / (n * (s * ln(s) + (1 - s) * ln(1 - s))), 6) AS mcfadden, round(accuracy, 6) AS accuracy FROM t JOIN f USING (g)"""
+SELECT g AS l_linenumber, term, round(coef, 6) AS coef, round(exp(coef), 6) AS odds, round(se, 6) AS se, round(greatest(0, 2 * {sql_norm(z)}), 6) AS p, n, round(1 - ll / (n * (s * ln(s) + (1 - s) * ln(1 - s))), 6) AS mcfadden, round(accuracy, 6) AS accuracy FROM t JOIN f USING (g)"""
 
 
 put("return_odds", return_odds, logit_sql())
 
 
 def chosen_tests(spark, sf_dir):
-    """RA-7, RA-28: balances of a nation's odd and even customers, compared by the test that suits their shape."""
-    own = table(spark, sf_dir, "customer").select("c_nationkey", F.when(F.col("c_custkey") % 2 == 0, "a").otherwise("b").alias("side"), (F.col("c_acctbal") + F.when(F.col("c_nationkey") % 2 == 0, F.pow(F.col("c_acctbal") / 4000, F.lit(5.0))).otherwise(0.0)).alias("v"))
-    return rounded(models.chosen_tests(own, ["c_nationkey"], "side", "v"), 5)
+    """RA-7, RA-28: balances of odd and even customers of five groups of nations, compared by the test that suits their shape."""
+    own = table(spark, sf_dir, "customer").select((F.col("c_nationkey") % 5).alias("nations"), F.when(F.col("c_custkey") % 2 == 0, "a").otherwise("b").alias("side"), (F.col("c_acctbal") + F.when(F.col("c_nationkey") % 5 < 2, F.pow(F.col("c_acctbal") / 4000, F.lit(5.0))).otherwise(0.0)).alias("v"))
+    return rounded(models.chosen_tests(own, ["nations"], "side", "v"), 5)
 
 
 def shapiro_sql(source: str) -> str:
-    """CTEs from source(g, side, v) to sw(g, side, n, p) for groups of 12 values and more."""
+    """CTEs from source(g, side, v) to sw(g, side, n, p) for groups of 6 values and more."""
     poly = lambda c, x: "(" + " + ".join(f"{v}::DOUBLE * pow({x}, {k})" for k, v in enumerate(c)) + ")"
     steps = [
         f"v AS (SELECT g, side, CAST(v AS DOUBLE) AS v, row_number() OVER (PARTITION BY g, side ORDER BY v) AS i, count(*) OVER (PARTITION BY g, side) AS n FROM {source})",
@@ -71,7 +71,9 @@ def shapiro_sql(source: str) -> str:
     for k in range(4):
         steps.append(f"q{k + 1} AS MATERIALIZED (SELECT n, i, p, z + (p - 1 + {sql_norm('z')}) * sqrt(2 * pi()) * exp(z * z / 2) AS z FROM q{k})")
     u, log_n = "(1 / sqrt(n))", "(ln(n))"
-    tail = sql_norm(f"((ln(1 - w) - {poly(models.C5, log_n)}) / exp({poly(models.C6, log_n)}))")
+    large = f"(ln(1 - w) - {poly(models.C5, log_n)}) / exp({poly(models.C6, log_n)})"
+    small = f"(-ln({poly(models.G, 'n')} - ln(1 - w)) - {poly(models.C3, 'n')}) / exp({poly(models.C4, 'n')})"
+    tail = sql_norm(f"(CASE WHEN n <= 11 THEN {small} ELSE {large} END)")
     steps += [
         "m AS (SELECT n, sum(z * z) AS mm, max(z) AS m1, max(CASE WHEN i = n - 1 THEN z END) AS m2 FROM q4 GROUP BY n)",
         f"a AS (SELECT *, m1 / sqrt(mm) + {poly(models.C1, u)} AS a1, m2 / sqrt(mm) + {poly(models.C2, u)} AS a2 FROM m)",
@@ -85,15 +87,15 @@ def shapiro_sql(source: str) -> str:
 put(
     "chosen_tests",
     chosen_tests,
-    f"""WITH s AS (SELECT c_nationkey AS g, CASE WHEN c_custkey % 2 = 0 THEN 'a' ELSE 'b' END AS side, c_acctbal + CASE WHEN c_nationkey % 2 = 0 THEN pow(CAST(c_acctbal AS DOUBLE) / 4000, 5.0) ELSE 0 END AS v FROM {{customer}}),
+    f"""WITH s AS (SELECT c_nationkey % 5 AS g, CASE WHEN c_custkey % 2 = 0 THEN 'a' ELSE 'b' END AS side, c_acctbal + CASE WHEN c_nationkey % 5 < 2 THEN pow(CAST(c_acctbal AS DOUBLE) / 4000, 5.0) ELSE 0 END AS v FROM {{customer}}),
 {shapiro_sql('s')},
 r AS (SELECT *, rank() OVER (PARTITION BY g ORDER BY v) + (count(*) OVER (PARTITION BY g, v) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY g, v) AS ties FROM s),
 k AS (SELECT g, count(*) FILTER (side = 'a') AS na, count(*) FILTER (side = 'b') AS nb, avg(v) FILTER (side = 'a') AS ma, avg(v) FILTER (side = 'b') AS mb, var_samp(v) FILTER (side = 'a') AS va, var_samp(v) FILTER (side = 'b') AS vb,
 CAST(sum(r) FILTER (side = 'a') AS DOUBLE) AS ra, sum(CAST(ties AS DOUBLE) * ties - 1) AS tie FROM r GROUP BY g),
 j AS (SELECT k.*, x.p AS pa, y.p AS pb, x.p > 0.05 AND y.p > 0.05 AS normal, na + nb AS n, ra - na * (na + 1) / 2 AS u FROM k JOIN sw x ON x.g = k.g AND x.side = 'a' JOIN sw y ON y.g = k.g AND y.side = 'b'),
 z AS (SELECT *, (ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (n - 2) * (1.0 / na + 1.0 / nb)) AS t, greatest(0, (abs(u - na * nb / 2.0) - 0.5) / sqrt(na * nb / 12.0 * (n + 1 - tie / (CAST(n AS DOUBLE) * (n - 1))))) AS zz FROM j)
-SELECT g AS c_nationkey, n, round(pa, 5) AS sw_p_a, round(pb, 5) AS sw_p_b, CASE WHEN normal THEN 'student' ELSE 'mann_whitney' END AS test, round(CASE WHEN normal THEN t ELSE u END, 5) AS statistic,
-round(CASE WHEN normal THEN {sql_t('t', '(n - 2)')} ELSE least(1, 2 * {sql_norm('zz')}) END, 5) AS p FROM z""",
+SELECT g AS nations, n, round(greatest(0, pa), 5) AS sw_p_a, round(greatest(0, pb), 5) AS sw_p_b, CASE WHEN normal THEN 'student' ELSE 'mann_whitney' END AS test, round(CASE WHEN normal THEN t ELSE u END, 5) AS statistic,
+round(greatest(0, CASE WHEN normal THEN {sql_t('t', '(n - 2)')} ELSE least(1, 2 * {sql_norm('zz')}) END), 5) AS p FROM z""",
 )
 
 
@@ -151,7 +153,7 @@ u AS (SELECT 'two-way' AS design, 'a' AS source, sa AS ss, da AS df, (tot - sc)
 UNION ALL SELECT 'two-way', 'a:b', sc - sa - sb, dc - da - db, (tot - sc) / (n - 1 - dc), n - 1 - dc FROM x UNION ALL SELECT 'two-way', 'error', tot - sc, n - 1 - dc, (tot - sc) / (n - 1 - dc), n - 1 - dc FROM x
 UNION ALL SELECT 'blocks', 'a', sa, da, (tot - sa - sb) / (n - 1 - da - db), n - 1 - da - db FROM x UNION ALL SELECT 'blocks', 'b', sb, db, (tot - sa - sb) / (n - 1 - da - db), n - 1 - da - db FROM x
 UNION ALL SELECT 'blocks', 'error', tot - sa - sb, n - 1 - da - db, (tot - sa - sb) / (n - 1 - da - db), n - 1 - da - db FROM x)
-SELECT source, round(ss, 5) AS ss, CAST(df AS DOUBLE) AS df, round(ss / df, 5) AS ms, CASE WHEN source <> 'error' THEN round(ss / df / mse, 5) END AS f, CASE WHEN source <> 'error' THEN round({sql_f('(ss / df / mse)', 'df', 'dfe')}, 5) END AS p, design FROM u""",
+SELECT source, round(ss, 5) AS ss, CAST(df AS DOUBLE) AS df, round(ss / df, 5) AS ms, CASE WHEN source <> 'error' THEN round(ss / df / mse, 5) END AS f, CASE WHEN source <> 'error' THEN round(greatest(0, {sql_f('(ss / df / mse)', 'df', 'dfe')}), 5) END AS p, design FROM u""",
 )
 
 
