@@ -9,7 +9,7 @@ from gaugeworks.functions.text import edit_ratio, fold
 from gaugeworks.operators.relational import kept
 
 CHARACTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
-#: Letters counted first, as most pairs differ in these.
+#: Eight letters counted first, as most pairs differ in these.
 FREQUENT = "eaionrt "
 #: A head, the part of a title before a colon, counts from this length on.
 HEAD = 15
@@ -32,21 +32,36 @@ def _lengths(n, least: float) -> tuple[Column, Column]:
 
 
 def _index(strings: DataFrame, least: float) -> DataFrame:
-    """f, n, lo, hi (lengths of partners), d: the characters that a string and any partner lack of each other, together, at most."""
-    out = strings.select("f", F.length("f").alias("n"))
+    """f, n, k (counts of frequent letters), lo, hi (lengths of partners), d: the characters that a string and any partner lack of each other, together, at most."""
+    out = strings.select("f", F.length("f").alias("n"), _packed("f").alias("k"))
     lo, hi = _lengths(F.col("n"), least)
     out = out.withColumn("lo", lo).withColumn("hi", hi)
     near = F.filter(F.sequence("lo", "hi"), lambda m: _common(F.col("n"), m, least) <= F.least(F.col("n"), m))
     return out.withColumn("d", F.array_max(F.transform(near, lambda m: F.col("n") + m - 2 * _common(F.col("n"), m, least))).cast("int"))
 
 
-def _shared(letters: str, rest: bool, least: float) -> Column:
-    """Whether fa and fb have enough characters in common at any place, by the counts of each of the letters and, with rest, of all others together."""
-    count = lambda f, x: F.length(f) - F.length(F.replace(F.col(f), F.lit(x), F.lit("")))
-    each = {f: [count(f, x) for x in letters] for f in ("fa", "fb")}
-    if rest:
-        each = {f: [*c, F.length(f) - sum(c[1:], c[0])] for f, c in each.items()}
-    both = [F.least(x, y) for x, y in zip(each["fa"], each["fb"])]
+def _count(f: str, x: str) -> Column:
+    return F.length(f) - F.length(F.replace(F.col(f), F.lit(x), F.lit("")))
+
+
+def _packed(f: str) -> Column:
+    """How often each of the eight frequent letters stands in f, a byte each."""
+    each = [F.shiftleft(F.least(_count(f, x), F.lit(127)).cast("long"), 8 * k) for k, x in enumerate(FREQUENT)]
+    return sum(each[1:], each[0])
+
+
+def _may(least: float) -> Column:
+    """Whether two strings can have enough characters in common, by the packed counts ka and kb; strings of over 127 characters can."""
+    part = lambda c, k: F.shiftright(c, 8 * k).bitwiseAND(F.lit(127))
+    own = {c: [part(c, k) for k in range(len(FREQUENT))] for c in ("ka", "kb")}
+    n = {"ka": F.col("na"), "kb": F.col("nb")}
+    both = [F.least(x, y) for x, y in zip(own["ka"], own["kb"])] + [F.least(*[n[c] - sum(own[c][1:], own[c][0]) for c in own])]
+    return (F.greatest("na", "nb") > 127) | (2 * sum(both[1:], both[0]) >= F.lit(least) * (F.col("na") + F.col("nb")) - 1e-9)
+
+
+def _all_shared(least: float) -> Column:
+    """The same by the counts of all characters."""
+    both = [F.least(_count("fa", x), _count("fb", x)) for x in CHARACTERS]
     return 2 * sum(both[1:], both[0]) >= F.lit(least) * (F.length("fa") + F.length("fb")) - 1e-9
 
 
@@ -65,19 +80,19 @@ def alike_strings(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
     pieces = pieces.withColumn("start", cut(F.col("i"))).withColumn("size", cut(F.col("i") + 1) - F.col("start")).withColumn("shift", F.explode(F.sequence(-F.col("i"), F.col("i"), F.lit(2))))
     rest = F.col("d") - F.col("i")
     pieces = pieces.where(F.col("shift").between(F.col("lo") - F.col("n") - rest, F.col("hi") - F.col("n") + rest) & (F.col("start") + F.col("shift") >= 0))
-    pieces = pieces.select(F.col("f").alias("fa"), F.col("n").alias("na"), "i", "shift", (F.col("start") + F.col("shift")).alias("at"), F.substr("f", F.col("start") + 1, F.col("size")).alias("gram"))
+    pieces = pieces.select(F.col("f").alias("fa"), F.col("n").alias("na"), F.col("k").alias("ka"), "i", "shift", (F.col("start") + F.col("shift")).alias("at"), F.substr("f", F.col("start") + 1, F.col("size")).alias("gram"))
     sizes = sorted(r[0] for r in pieces.select(F.length("gram")).distinct().collect())  # a few: n / (d + 1) hardly depends on n
     grams = ib.withColumn("size", F.explode(F.array(*map(F.lit, sizes)))) if sizes else ib.limit(0).withColumn("size", F.lit(1))
     grams = grams.where("size <= n").withColumn("at", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("size"))))
-    grams = grams.select(F.col("f").alias("fb"), F.col("n").alias("nb"), "at", F.substr("f", F.col("at") + 1, F.col("size")).alias("gram"))
+    grams = grams.select(F.col("f").alias("fb"), F.col("n").alias("nb"), F.col("k").alias("kb"), "at", F.substr("f", F.col("at") + 1, F.col("size")).alias("gram"))
     na, nb = F.col("na"), F.col("nb")
     common = _common(na, nb, least)
     fits = common <= F.least(na, nb)
     left = na + nb - 2 * common - F.col("i")
-    met = pieces.join(grams, ["gram", "at"]).where(fits & (F.abs(nb - na - F.col("shift")) <= left)).select("fa", "fb")
-    few = ia.where("d >= n").select(F.col("f").alias("fa"), F.col("n").alias("na"), F.explode(F.sequence("lo", "hi")).alias("nb"))
-    met = met.union(few.join(ib.select(F.col("f").alias("fb"), F.col("n").alias("nb")), "nb").where(fits).select("fa", "fb")).distinct()
-    met = met.where(_shared(FREQUENT, True, least)).where(_shared(CHARACTERS, False, least))
+    met = pieces.join(grams, ["gram", "at"]).where(fits & (F.abs(nb - na - F.col("shift")) <= left) & _may(least)).select("fa", "fb")
+    few = ia.where("d >= n").select(F.col("f").alias("fa"), F.col("n").alias("na"), F.col("k").alias("ka"), F.explode(F.sequence("lo", "hi")).alias("nb"))
+    met = met.union(few.join(ib.select(F.col("f").alias("fb"), F.col("n").alias("nb"), F.col("k").alias("kb")), "nb").where(fits & _may(least)).select("fa", "fb")).distinct()
+    met = met.where(_all_shared(least))
     return met.withColumn("ratio", edit_ratio("fa", "fb")).where(F.col("ratio") >= least)
 
 
