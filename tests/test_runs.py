@@ -138,6 +138,17 @@ def test_tolerant_comparison(spark):
     assert {k: v for k, v in out.items() if k[0] >= 100} == {(100, "wide"): True, (100, "bare"): False, (100, "gone"): False, (101, "v"): False, (102, "v"): False, (103, "v"): False, (104, "v"): True}
 
 
+def test_comparison_stays_in_the_row(spark):
+    from gaugeworks.operators import compare
+
+    deep = lambda v: '{"v": ' + '[{"a": ' * 9 + v + "}]" * 9 + "}"
+    rows = [(1, deep("1"), deep("1"), None), (1, deep("2"), deep("1"), None), (2, '{"v": "[{"}', '{"v": "[{"}', None), (3, "{}", '{"v": ' + "[" * 50, None)]
+    out = compare.compare(spark.createDataFrame(rows, "id int, got string, want string, tol string"), "id", "got", "want", "tol")
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "v", False), (1, "v", True), (2, "v", True)]
+    flat = compare.compare(spark.createDataFrame(rows[2:3], "id int, got string, want string, tol string"), "id", "got", "want", "tol")
+    assert "Exchange" not in flat._jdf.queryExecution().executedPlan().toString()
+
+
 def test_drained_streams_are_stored(spark, tmp_path):
     spark.range(20).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema("id long").parquet(f"{tmp_path}/in")
