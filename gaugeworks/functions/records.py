@@ -67,6 +67,16 @@ def headings(direct, nested) -> Column:
     return F.filter(F.transform(F.coalesce(direct, nested, F.array().cast("array<string>")), lambda h: F.trim(h)), lambda h: F.coalesce(h != "", F.lit(False)))
 
 
+def inverted_index(words) -> Column:
+    """FN-17: map<word, array<position>> of an array of words, inside the row; null without words."""
+    bound = lambda c, f: F.get(F.transform(F.array(c), f), F.lit(0))
+    placed = F.sort_array(F.transform(words, lambda w, p: F.struct(w.alias("w"), p.alias("p"))))
+    first = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["w"] != F.get(s, i - 1)["w"]))
+    run = lambda s, i, end: F.struct(F.get(s, i)["w"].alias("w"), F.transform(F.slice(s, i + 1, end - i), lambda x: x["p"]).alias("ps"))
+    runs = lambda s: bound(first(s), lambda f: F.transform(f, lambda i, k: run(s, i, F.coalesce(F.get(f, k + 1), F.size(s)))))
+    return F.when(F.size(words) > 0, F.map_from_entries(bound(placed, runs)))
+
+
 def from_inverted_index(index) -> Column:
     """FN-17: text of map<word, array<position>>: words by position, ties by word."""
     e = F.flatten(F.transform(F.map_entries(index), lambda x: F.transform(x["value"], lambda p: F.struct(p.alias("p"), x["key"].alias("w")))))

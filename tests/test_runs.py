@@ -149,6 +149,17 @@ def test_comparison_stays_in_the_row(spark):
     assert "Exchange" not in flat._jdf.queryExecution().executedPlan().toString()
 
 
+def test_source_lines_stay_in_the_row(spark, tmp_path):
+    from gaugeworks.plans import runs as plan
+
+    w = "v array<string>"
+    assert one(spark, R.inverted_index(F.col("v")), w, (["b", "a", "b", "c", "b"],), ([],), (None,), (["x"],)) == [{"a": [1], "b": [0, 2, 4], "c": [3]}, None, None, {"x": [0]}]
+    spark.createDataFrame([(1, "b a  b", "en", "s"), (1, None, "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = plan.source_lines(spark, str(tmp_path))
+    assert sorted(r.n for r in out.collect()) == [0, 5]
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_drained_streams_are_stored(spark, tmp_path):
     spark.range(20).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema("id long").parquet(f"{tmp_path}/in")
