@@ -284,3 +284,17 @@ def test_what_is_not_built_is_named():
     for label in ("FN-41", "FN-43", "FN-45", "FN-46"):
         assert label in tex.__doc__
     assert "FN-1 to FN-47" not in text.__doc__
+
+
+def test_equal_sums_are_equal_in_any_order(spark):
+    from pyspark.sql import functions as F
+
+    from gaugeworks.operators.composite import even_mean, even_sum
+    from gaugeworks.operators.significance import overall
+
+    rows = [(g, v) for g, vs in (("a", [0.1, 0.2, 0.3]), ("b", [0.3, 0.2, 0.1]), ("c", [0.2, 0.3, 0.1]), ("nan", [float("nan"), 1.0]), ("inf", [float("inf"), None]), ("none", [None])) for v in vs]
+    df = spark.createDataFrame(rows, "g string, v double").coalesce(1)
+    got = {r.g: (r.m, r.s) for r in df.groupBy("g").agg(even_mean("v").alias("m"), even_sum("v").alias("s")).collect()}
+    assert got["a"] == got["b"] == got["c"] == (0.2, 0.6) and str(got["nan"]) == "(nan, nan)" and got["inf"] == (float("inf"), float("inf")) and got["none"] == (None, None)
+    items = df.where("g IN ('a', 'b', 'c')").select(F.col("g").alias("model"), F.lit(1).alias("task"), "v")
+    assert {r.overall for r in overall(items, F.col("v")).collect()} == {0.2}
