@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from gaugeworks.operators import judging, relational, significance, timeseries
 from gaugeworks.operators.composite import composite, even_sum, item_scores, rank_models, task_scores
 from gaugeworks.plans.dual import Dual
-from gaugeworks.plans.fact import N_TASKS, fact, table
+from gaugeworks.plans.fact import N_TASKS, fact, in_order, table
 
 D = Dual()
 add, put = D.add, D.put
@@ -139,7 +139,8 @@ RATING_SQL = "ratings AS (SELECT model, item, judge_id, avg(judge) AS rating FRO
 
 
 def ratings(spark, sf_dir):
-    return fact(spark, sf_dir).where("judge IS NOT NULL").groupBy("model", "item", "judge_id").agg(F.avg("judge").alias("rating"))
+    rated = in_order(fact(spark, sf_dir).where("judge IS NOT NULL"), "model", "item")
+    return rated.groupBy("model", "item", "judge_id").agg(F.avg("judge").alias("rating"))
 
 
 def leniency_offsets(spark, sf_dir):
