@@ -516,6 +516,12 @@ def _places(spark, sf_dir, value="score"):
     return means.select("model", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("o"), "model")).cast("long").alias("rank"))
 
 
+def top_scores(spark, sf_dir, top):
+    """Item scores of the models of top, added up in the table's order: equal ones are equal in all pairs, on any cluster."""
+    rows = fact(spark, sf_dir).join(F.broadcast(top.select("model")), "model", "left_semi")
+    return item_scores(in_order(rows, "model", "item")).select("model", "item", "score")
+
+
 def _pairs(spark, sf_dir):
     scores = item_scores(fact(spark, sf_dir)).select("model", "item", "score")
     return relational.top_pairs(scores, _places(spark, sf_dir), 6).select("model_a", "model_b", (F.col("score_a") - F.col("score_b")).alias("d"))
