@@ -523,8 +523,8 @@ def top_scores(spark, sf_dir, top):
 
 
 def _pairs(spark, sf_dir):
-    scores = item_scores(fact(spark, sf_dir)).select("model", "item", "score")
-    return relational.top_pairs(scores, _places(spark, sf_dir), 6).select("model_a", "model_b", (F.col("score_a") - F.col("score_b")).alias("d"))
+    places = _places(spark, sf_dir)
+    return relational.top_pairs(top_scores(spark, sf_dir, places.where("rank <= 6")), places, 6).select("model_a", "model_b", (F.col("score_a") - F.col("score_b")).alias("d"))
 
 
 _BOTH = ["model_a", "model_b"]

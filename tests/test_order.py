@@ -21,7 +21,7 @@ def stacked(tmp_path_factory):
     return con, str(d)
 
 
-@pytest.mark.parametrize("name", ["auto_vs_judge", "judge_reliability", "pairwise_tests"])
+@pytest.mark.parametrize("name", ["auto_vs_judge", "judge_reliability", "pairwise_tests", "wilcoxon_signed_z", "wilcoxon_stat"])
 def test_means_in_the_order_of_rows(spark, stacked, name):
     con, d = stacked
     spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
