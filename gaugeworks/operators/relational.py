@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 
-def latest_wins(records: DataFrame, keys: list[str], seq: str, failed: Column) -> DataFrame:
-    """SRC-5, WN-1, SM-7: the last record of a key that did not fail, else its last."""
-    w = Window.partitionBy(*keys).orderBy(failed.cast("int"), F.desc(seq))
+def latest_wins(records: DataFrame, keys: list[str], seq: str, failed: Column, ties: Sequence[str] = ()) -> DataFrame:
+    """SRC-5, WN-1, SM-7: the last record of a key that did not fail, else its last; of those of one seq, the first by the columns of ties."""
+    w = Window.partitionBy(*keys).orderBy(failed.cast("int"), F.desc(seq), *ties)
     return records.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 

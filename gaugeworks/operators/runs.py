@@ -3,6 +3,8 @@ AG-5, AG-6, PRJ-3, PRJ-6, PRJ-14, PRJ-15, FLT-2 to FLT-5, JN-9, JN-19, AG-14, AG
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,9 +32,9 @@ def norm_rating(ratings) -> Column:
     return (F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.size(v) - 1) / 4
 
 
-def last_scores(log: DataFrame, seq: str) -> DataFrame:
-    """SRC-6: the last row of each model, item and repetition, whatever it says."""
-    return relational.latest_wins(log, KEY, seq, F.lit(False))
+def last_scores(log: DataFrame, seq: str, ties: Sequence[str] = ()) -> DataFrame:
+    """SRC-6: the last row of each model, item and repetition, whatever it says; of those of one seq, the first by the columns of ties."""
+    return relational.latest_wins(log, KEY, seq, F.lit(False), ties)
 
 
 def independent(judgements: DataFrame, judge_family: str = "judge_family", family: str = "family") -> DataFrame:
@@ -40,9 +42,9 @@ def independent(judgements: DataFrame, judge_family: str = "judge_family", famil
     return judgements.where(~F.col(judge_family).eqNullSafe(F.col(family)) | F.col(family).isNull())
 
 
-def last_judgements(log: DataFrame, seq: str) -> DataFrame:
-    """SRC-7: rows with ratings, the last of each judge and answer."""
-    return relational.latest_wins(log.where("ratings IS NOT NULL"), ["judge_id", *KEY, "answer_hash"], seq, F.lit(False))
+def last_judgements(log: DataFrame, seq: str, ties: Sequence[str] = ()) -> DataFrame:
+    """SRC-7: rows with ratings, the last of each judge and answer; of those of one seq, the first by the columns of ties."""
+    return relational.latest_wins(log.where("ratings IS NOT NULL"), ["judge_id", *KEY, "answer_hash"], seq, F.lit(False), ties)
 
 
 def auto_score(error, score, answer_hash) -> Column:

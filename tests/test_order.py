@@ -36,3 +36,15 @@ def test_means_in_the_order_of_rows(spark, stacked, name):
     cur = con.execute(catalogue.SQL[name])
     at = [[c[0] for c in cur.description].index(c) for c in columns]
     assert got == {tuple(f"{float(r[i]):.6g}" if not isinstance(r[i], str) else r[i] for i in at) for r in cur.fetchall()}
+
+
+def test_of_tied_lines_the_first_counts(spark, tmp_path):
+    """Two files, the second with all lines again and other quantities, so larger and read first: seq leaves open which of two is the last, the place does not."""
+    con = duckdb.connect(config={"threads": 1})
+    (tmp_path / "lineitem.parquet").mkdir()
+    con.execute(f"COPY (FROM '{SF}/lineitem.parquet' WHERE l_orderkey % 3 > 0) TO '{tmp_path}/lineitem.parquet/a.parquet' (FORMAT parquet)")
+    con.execute(f"COPY (SELECT * REPLACE (51 - l_quantity AS l_quantity) FROM '{SF}/lineitem.parquet') TO '{tmp_path}/lineitem.parquet/b.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    got = {(r.model, r.item, r.task, round(r.score, 6), round(r.auto, 6), r.n_reps) for r in catalogue.QUERIES["judged_item_scores"](spark, str(tmp_path)).collect()}
+    want = con.execute(f"SELECT model, item, task, score, auto, n_reps FROM ({catalogue.SQL['judged_item_scores']})").fetchall()
+    assert len(got) == len(want) and got == {(m, i, t, round(s, 6), round(a, 6), n) for m, i, t, s, a, n in want}
