@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from gaugeworks.functions import special
 from gaugeworks.operators.composite import even_mean
 from gaugeworks.operators.judging import seeded_picks
-from gaugeworks.operators.relational import running
+from gaugeworks.operators.relational import kept, running
 
 
 def ranked(df: DataFrame, value: str, keys: list[str], out: str) -> DataFrame:
@@ -186,9 +186,11 @@ def judge_pairs(ratings: DataFrame, answer: list[str]) -> DataFrame:
 
 
 def auto_against_judge(item_scores: DataFrame) -> DataFrame:
-    """ST-21: task, level (answers, models), n, rho: the automatic score and the judges' mean, on answers and on models' means."""
-    own = item_scores.where("judge IS NOT NULL")
-    by_model = own.groupBy("task", "model").agg(F.avg("auto").alias("auto"), F.avg("judge").alias("judge"))
+    """ST-21: task, level (answers, models), n, rho: the automatic score and the judges' mean, on answers and on models' means.
+
+    Both are stored: ranks are joined back by value, and a mean of doubles computed twice may differ in its last digit."""
+    own = kept(item_scores.where("judge IS NOT NULL"))
+    by_model = kept(own.groupBy("task", "model").agg(F.avg("auto").alias("auto"), F.avg("judge").alias("judge")))
     parts = [spearman(d, "auto", "judge", ["task"]).select("task", F.lit(k).alias("level"), "n", "rho") for k, d in (("answers", own), ("models", by_model))]
     return parts[0].unionByName(parts[1])
 

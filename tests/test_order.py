@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from gaugeworks.operators import significance
 from gaugeworks.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -59,3 +60,19 @@ def test_segments_keep_the_digits_of_their_length(spark, tmp_path):
         con.execute(f"COPY {t} TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
     got = sorted(tuple(r) for r in catalogue.QUERIES["run_costs"](spark, str(tmp_path)).select("model", "gpu_hours", "usd_per_100", "kwh_gross").collect())
     assert got == con.execute(f"SELECT model, gpu_hours, usd_per_100, kwh_gross FROM ({catalogue.SQL['run_costs']}) ORDER BY 1").fetchall()
+
+
+def unsteady(df, *columns):
+    """df with columns that differ in their last digits each time they are computed, as means of doubles do on a cluster."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    shaken = F.udf(lambda x: None if x is None else x + random.random() * 1e-9, "double").asNondeterministic()
+    return df.withColumns({c: shaken(c) for c in columns})
+
+
+def test_auto_against_judge_keeps_all_rows(spark):
+    rows = spark.sql("SELECT id % 10 AS model, id AS item, 3L AS task, double(pmod(id * 37, 101)) AS auto, double(pmod(id * 53, 103)) AS judge FROM range(100)")
+    got = {r.level: (r.n, r.rho is not None) for r in significance.auto_against_judge(unsteady(rows, "auto", "judge")).collect()}
+    assert got == {"answers": (100, True), "models": (10, True)}
