@@ -203,7 +203,10 @@ def overall(item_scores: DataFrame, pick: Column, tasks: Column | None = None) -
 
 def sensitivities(item_scores: DataFrame, private: list, top: int = 4) -> DataFrame:
     """ST-20, SO-6, WN-4: name, rho, max_shift, leader_same, top_same of the ranking under automatic scores, judges' scores, without private tasks, and,
-    where item_scores has a column credited (the score with the credit of references found elsewhere, see runs.corrected), with that."""
+    where item_scores has a column credited (the score with the credit of references found elsewhere, see runs.corrected), with that.
+
+    Item scores are stored, and a row a model of each ranking: ranks are joined back by value, and a mean of doubles computed twice may differ in its last digit."""
+    item_scores = kept(item_scores)
     kinds = {"auto_only": (F.col("auto"), None), "judge_only": (F.coalesce("judge", "score"), None), "public_only": (F.col("score"), ~F.col("task").isin(private))}
     if "credited" in item_scores.columns:
         kinds["audit_credited"] = (F.col("credited"), None)
@@ -211,7 +214,7 @@ def sensitivities(item_scores: DataFrame, private: list, top: int = 4) -> DataFr
     main = place(overall(item_scores, F.col("score")), "was").withColumnRenamed("overall", "before")
     out = None
     for name, (pick, tasks) in kinds.items():
-        both = main.join(place(overall(item_scores, pick, tasks), "now"), "model")
+        both = kept(main.join(place(overall(item_scores, pick, tasks), "now"), "model"))
         own = both.agg(
             F.max(F.abs(F.col("was") - F.col("now"))).cast("long").alias("max_shift"),
             F.max((F.col("was") == 1) & (F.col("now") == 1)).alias("leader_same"),

@@ -76,3 +76,9 @@ def test_auto_against_judge_keeps_all_rows(spark):
     rows = spark.sql("SELECT id % 10 AS model, id AS item, 3L AS task, double(pmod(id * 37, 101)) AS auto, double(pmod(id * 53, 103)) AS judge FROM range(100)")
     got = {r.level: (r.n, r.rho is not None) for r in significance.auto_against_judge(unsteady(rows, "auto", "judge")).collect()}
     assert got == {"answers": (100, True), "models": (10, True)}
+
+
+def test_sensitivities_keep_all_models(spark):
+    rows = spark.sql("SELECT id % 25 AS model, id AS item, id % 2 AS task, sqrt(pmod(id * 37, 501)) AS score, sqrt(pmod(id * 53, 503)) AS auto, sqrt(pmod(id * 71, 509)) AS judge FROM range(500)")
+    own = lambda d: {(r.name, round(r.rho, 9), r.max_shift, r.leader_same, r.top_same) for r in significance.sensitivities(d, [1]).collect()}
+    assert own(unsteady(rows, "score", "auto", "judge")) == own(rows)
