@@ -36,3 +36,10 @@ def test_pairs_of_blocks_are_all_pairs(spark, monkeypatch, num, den, size, words
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan  # no pair goes through a shuffle
     assert {(r.a, r.b): r.jaccard for r in got.collect()} == pytest.approx(want(own, num, den))
+
+
+def test_blocks_come_with_the_order_of_their_words(spark):
+    """Blocks are sorted once, when they are cut, not at every meeting."""
+    df = spark.createDataFrame([(k, [int(x) for x in s]) for k, s in enumerate(sets())], "node long, w array<long>")
+    for r in relational._set_blocks(df).collect():
+        assert [r.w[i] for i in r.up] == sorted(r.w)
